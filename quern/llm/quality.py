@@ -24,18 +24,39 @@ from .common import bounded_batches
 
 LABELLED, POOL, ROUNDS, EACH = 4000, 3000, 4, 150
 KEEP_GOOD = 0.998
-PAIRS, PAGE = 1024, 64
+#: Hashed byte pairs, further shares, page features; texts well below SHORT bytes count as short.
+PAIRS, SHARES, PAGE, SHORT = 1024, 8, 64, 300
 SEED = 10
 
 
 def text_view(data: bytes) -> np.ndarray:
-    """Hashed byte-pair counts, damped by the square root, of length one."""
+    """Hashed byte-pair counts, damped by the square root, and shares of letter cases, signs and repeats.
+
+    All values shrink towards zero where a text is short, so that a few words decide little.
+    """
+    v = np.zeros(PAIRS + SHARES, np.float32)
     if len(data) < 2:
-        return np.zeros(PAIRS, np.float32)
-    b = np.frombuffer(data, np.uint8).astype(np.uint16)
-    counts = np.bincount((b[:-1] * np.uint16(251) + b[1:] * np.uint16(13)) & np.uint16(PAIRS - 1), minlength=PAIRS)
-    v = np.sqrt(counts, dtype=np.float32)
-    return v / np.linalg.norm(v)
+        return v
+    b = np.frombuffer(data, np.uint8)
+    wide = b.astype(np.uint16)
+    counts = np.bincount((wide[:-1] * np.uint16(251) + wide[1:] * np.uint16(13)) & np.uint16(PAIRS - 1), minlength=PAIRS)
+    n = len(b)
+    v[:PAIRS] = np.sqrt(counts / (n + SHORT))
+    words = data.split()
+    kinds = np.bincount(b, minlength=256)
+    m = max(1, len(words))
+    v[PAIRS:] = (
+        kinds[65:91].sum() / n,
+        kinds[48:58].sum() / n,
+        (kinds[33:48].sum() + kinds[58:65].sum() + kinds[91:97].sum() + kinds[123:127].sum()) / n,
+        sum(x == y for x, y in zip(words, words[1:])) / m,
+        1 - len(set(words)) / m,
+        counts.max() / n,
+        float(np.count_nonzero(counts)) / min(n, PAIRS),
+        n / m / 20,
+    )
+    v[PAIRS:] *= 2 * n / (n + SHORT)
+    return v
 
 
 def _slot(name: str, value: str | None, low: int, n: int) -> int:
@@ -152,7 +173,7 @@ def co_train(a: np.ndarray, b: np.ndarray, y: np.ndarray, pool_a: np.ndarray, po
 
 
 def _features(texts: list[str], langs: list, sources: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
-    a = np.zeros((len(texts), PAIRS), np.float32)
+    a = np.zeros((len(texts), PAIRS + SHARES), np.float32)
     b = np.zeros((len(texts), PAGE), np.float32)
     for i, (t, lang, source, n) in enumerate(zip(texts, langs, sources, counts, strict=True)):
         t = t or ""
@@ -187,7 +208,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
 
     got = rows.mapInPandas(features, "_id long, _y int, a binary, b binary").toPandas()
     got = got.assign(key=[x + y for x, y in zip(got.a, got.b, strict=True)]).sort_values(["_id", "key"], kind="stable").drop_duplicates("_id")
-    a = np.frombuffer(b"".join(got.a), np.float32).reshape(-1, PAIRS)
+    a = np.frombuffer(b"".join(got.a), np.float32).reshape(-1, PAIRS + SHARES)
     b = np.frombuffer(b"".join(got.b), np.float32).reshape(-1, PAGE)
     has = got._y.notna().to_numpy()
     return co_train(a[has], b[has], got._y[has].astype(int).to_numpy(), a[~has], b[~has], rounds)
