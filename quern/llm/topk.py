@@ -37,37 +37,54 @@ def _matrix(table: pa.Table, width: int) -> np.ndarray:
     return out
 
 
-def threshold_search(x: np.ndarray, ids: np.ndarray, order: np.ndarray, q: np.ndarray, own: int, k: int, step: int = STEP) -> list[tuple[int, int]]:
+def sorted_lists(x: np.ndarray) -> np.ndarray:
+    """Rows in reading order: column d lists dimension d by ascending value, column width + d by descending value."""
+    order = np.argsort(x, axis=0, kind="stable").astype(np.int32)
+    return np.ascontiguousarray(np.concatenate((order, order[::-1]), axis=1))
+
+
+def threshold_search(x: np.ndarray, ids: np.ndarray, lists: np.ndarray, q: np.ndarray, own: int, k: int, step: int = STEP) -> list[tuple[int, int]]:
     """The k best (score, id) for ``q`` among the rows of ``x`` but those of id ``own``, ties to the smaller id.
 
-    ``order`` has each column's rows by ascending value.
+    Steps double, and once a step would read more list entries than there are rows not yet met,
+    these are met at once.
     """
     dims = np.flatnonzero(q)
     n = len(x)
     if not len(dims):  # all scores are zero
         best = np.sort(ids[ids != own])[:k]
         return [(0, int(i)) for i in best]
-    # lists in reading order: largest contribution first
-    lists = np.where(q[dims] > 0, order[::-1, dims], order[:, dims])
-    seen = np.zeros(n, bool)
-    best_score, best_id = np.empty(0, np.int64), np.empty(0, np.int64)
-    at = 0
-    while at < n:
-        stop = min(n, at + step)
-        met = np.unique(lists[at:stop])
-        met = met[~seen[met]]
-        seen[met] = True
-        met = met[ids[met] != own]
-        score = x[met] @ q
-        best_score, best_id = np.append(best_score, score), np.append(best_id, ids[met])
-        keep = np.lexsort((best_id, -best_score))[:k]
-        best_score, best_id = best_score[keep], best_id[keep]
-        last = lists[stop - 1]
-        bound = int((x[last, dims] * q[dims]).sum())
-        if len(best_score) == k and best_score[-1] > bound:  # a tie could still have a smaller id
-            break
-        at, step = stop, 2 * step
-    return list(zip(best_score.tolist(), best_id.tolist(), strict=True))
+    columns = np.where(q[dims] > 0, x.shape[1] + dims, dims)
+    unseen = np.ones(n, bool)
+    best_score, best_id = np.empty(0, x.dtype), np.empty(0, np.int64)
+    every = None
+    at, left = 0, n
+    while left:
+        if left <= step * len(dims):
+            met = np.flatnonzero(unseen)
+        else:
+            mark = np.zeros(n, bool)
+            mark[lists[at : at + step][:, columns]] = True
+            met = np.flatnonzero(mark & unseen)
+        unseen[met] = False
+        left -= len(met)
+        if every is None and len(met) * 8 > n:
+            every = x @ q  # cheaper than fetching the rows one by one
+        score = every[met] if every is not None else x[met] @ q
+        other = ids[met] != own
+        best_score, best_id = np.append(best_score, score[other]), np.append(best_id, ids[met][other])
+        if len(best_score) > k:
+            edge = np.partition(best_score, len(best_score) - k)[-k]
+            best_score, best_id = best_score[best_score >= edge], best_id[best_score >= edge]
+            keep = np.lexsort((best_id, -best_score))[:k]
+            best_score, best_id = best_score[keep], best_id[keep]
+        at, step = at + step, 2 * step
+        if left and len(best_score) == k:
+            bound = (x[lists[at - 1][columns], dims] * q[dims]).sum()
+            if best_score.min() > bound:  # a tie could still have a smaller id
+                break
+    keep = np.lexsort((best_id, -best_score))[:k]
+    return list(zip(best_score[keep].tolist(), best_id[keep].tolist(), strict=True))
 
 
 def _meet(k: int):
@@ -81,9 +98,9 @@ def _meet(k: int):
                 raise OverflowError("scores do not fit a long")
             if bound < 1 << 53:  # products of doubles are exact, and faster
                 x, q = x.astype(float), q.astype(float)
-            ids, order = vectors.column("vec_id").to_numpy(), np.argsort(x, axis=0, kind="stable")
+            ids, lists = vectors.column("vec_id").to_numpy(), sorted_lists(x)
             for own, one in zip(queries.column("vec_id").to_pylist(), q, strict=True):
-                out += [(own, i, int(s)) for s, i in threshold_search(x, ids, order, one, own, k)]
+                out += [(own, i, int(s)) for s, i in threshold_search(x, ids, lists, one, own, k)]
         columns = list(zip(*out, strict=True)) or [(), (), ()]
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), columns, strict=True)})
 
