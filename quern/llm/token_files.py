@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import blocks_of, keyed_text, map_arrow, shared_path, shuffle_partitions, tokenizer_path
-from .word_pieces import Encoder, word_pieces
+from .word_pieces import encoder
 
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 #: Totals of so many ranges may be broadcast (some 40 bytes each).
@@ -27,12 +27,12 @@ BROADCAST_RANGES = 100_000
 
 def _encode(file: str, end_id: int | None):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(word_pieces(tokenizer_path(file)))
+        known = encoder(tokenizer_path(file))
         part = TaskContext.get().partitionId()
         at = 0
         for held in blocks_of(batches, "text", 1_000_000):
             table = pa.Table.from_batches(held)
-            ids, per = encoder.encode(table.column("text").to_pylist(), end_id)
+            ids, per = known.encode(table.column("text").to_pylist(), end_id)
             ends = np.cumsum(per)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([table.column("id").combine_chunks(), pa.array(np.full(len(per), part, np.int32)), pa.array(at + ends - per), pa.array(per), lists], names=["doc_id", "part", "local_start", "n_tokens", "ids"])

@@ -17,8 +17,10 @@ LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zA-ZªµºÀ-ÖØ-öø-ÿ]+|[0-9
 GENERAL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Characters whose class, lower case and composed form no Unicode version has changed.
 UNSETTLED = re.compile("[^\u0000-ɏ‐-‧€]")
-#: A worker forgets what it knows beyond so many pre-tokens.
-KNOWN = 400_000
+#: Fixed value: what the vocabulary puts behind a pre-token's last piece.
+END = "</w>"
+#: Pre-tokens that are encoded in one call; a worker forgets what it knows beyond KNOWN of them.
+TOGETHER, KNOWN = 128, 500_000
 
 
 class WordPieces:
@@ -35,11 +37,15 @@ class WordPieces:
         self.whole = Tokenizer.from_file(path)
         self.special = {t["content"]: t["id"] for t in json.loads(self.whole.to_str())["added_tokens"]}
         self.cut = re.compile("|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True))) if self.special else None
-        bare = Tokenizer.from_file(path)  # the same merges without normaliser and split: a pre-token goes in as it is
+        bare = Tokenizer.from_file(path)  # the same merges without normaliser and split: pre-tokens go in as they are, many at once
         bare.normalizer = normalizers.Sequence([])
-        bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         bare.encode_special_tokens = True
         self.bare = bare
+        vocabulary = bare.get_vocab(with_added_tokens=False)
+        #: Whether an id ends its pre-token, as the vocabulary marks it.
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith(END)]] = True
 
     def _plain(self, text: str) -> list[str]:
         try:
@@ -64,14 +70,24 @@ class WordPieces:
             at = m.end()
         return out + self._plain(text[at:])
 
-    def ids(self, words: list[str]) -> list[list[int]]:
-        """The ids of each pre-token."""
+    def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pre-tokens on end, ids of each)."""
         plain = [w for w in words if w[0] != " "]
-        got = iter(self.bare.encode_batch_fast(plain, add_special_tokens=False)) if plain else iter(())
-        return [[self.special[w[1:]]] if w[0] == " " else next(got).ids for w in words]
+        joined = [" ".join(plain[i : i + TOGETHER]) for i in range(0, len(plain), TOGETHER)]
+        got = [np.array(e.ids, np.int32) for e in self.bare.encode_batch_fast(joined, add_special_tokens=False)]
+        flat = np.concatenate(got) if got else np.empty(0, np.int32)
+        size = np.diff(np.flatnonzero(self.ends[flat]), prepend=-1)
+        if len(size) != len(plain):
+            raise ValueError("a pre-token without an end")
+        if len(plain) < len(words):
+            special = [k for k, w in enumerate(words) if w[0] == " "]
+            at = np.array(special) - np.arange(len(special))
+            flat = np.insert(flat, np.concatenate(([0], np.cumsum(size)))[at], [self.special[words[k][1:]] for k in special]).astype(np.int32)
+            size = np.insert(size, at, 1)
+        return flat, size
 
     def counts(self, words: list[str]) -> np.ndarray:
-        return np.fromiter((len(x) for x in self.ids(words)), np.int32, len(words))
+        return self.ids(words)[1]
 
 
 @lru_cache(maxsize=2)
@@ -113,10 +129,9 @@ class Encoder:
             self._forget()
         new = [w for w in words if w not in self.number]
         if new:
-            ids = self.pieces.ids(new)
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            ids, size = self.pieces.ids(new)
             self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
-            self.flat.append(np.fromiter((x for y in ids for x in y), np.int32, int(size.sum())))
+            self.flat.append(ids)
             self.starts.append(self.total + np.cumsum(size) - size)
             self.lengths.append(size)
             self.total += int(size.sum())
@@ -132,3 +147,9 @@ class Encoder:
             ids = np.insert(ids, ends, np.int32(end))
             per = per + 1
         return ids, per
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One per worker process, so that its tasks share what it knows."""
+    return Encoder(word_pieces(path))
