@@ -145,7 +145,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     """
     cut = materialize(repeated_runs(docs, min_words, id_col, text_col), "cut").select(F.col("id").alias("_cut_id"), F.col("th").alias("_cut_hash"), F.col("cut").alias("_cut"))
     same = F.col(id_col).cast("long").eqNullSafe(F.col("_cut_id")) & (F.col("_row_hash") == F.col("_cut_hash"))
-    joined = docs.withColumn("_row_hash", _text_hash(text_col)).join(cut, same, "left")
+    # the cuts grow with the documents, so they are never broadcast: the plan is the same at every size
+    joined = docs.withColumn("_row_hash", _text_hash(text_col)).join(cut.hint("merge"), same, "left")
     lines = F.split(F.col(text_col).cast("string"), "\n")
     kept = F.filter(lines, lambda _, i: ~F.exists(F.col("_cut"), lambda s: (i >= s["lo"]) & (i <= s["hi"])))
     text = F.when(F.col("_cut").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
