@@ -41,5 +41,6 @@ def components(links: DataFrame) -> DataFrame:
         edges = materialize(small, "small-star")
         before, state = state, _state(edges)
         if before == state:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            own = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(own)
     raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
