@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches
 
 LABELLED, POOL, ROUNDS, EACH = 4000, 3000, 4, 150
-KEEP_GOOD = 0.998
+#: Below this score a document is rejected; lower where that would reject more than the rest of KEEP_GOOD among good held-out rows.
+REJECT, KEEP_GOOD = 0.2, 0.998
 #: Hashed byte pairs, further shares, page features; texts well below SHORT bytes count as short.
 PAIRS, SHARES, PAGE, SHORT = 1024, 8, 64, 300
 SEED = 10
@@ -164,11 +165,15 @@ def co_train(a: np.ndarray, b: np.ndarray, y: np.ndarray, pool_a: np.ndarray, po
     calibrate(view_b, b[check], y[check])
     both = np.column_stack((view_a.margin(a[check]), view_b.margin(b[check])))
     spread = np.maximum(both.std(axis=0), 1e-9)
+    use = np.array([True, True])
     joint = fit(both / spread, y[check], 1e-3, 400)
-    mix = (float(joint.weights[0] / spread[0]), float(joint.weights[1] / spread[1]), joint.bias)
-    model = Model(view_a, view_b, mix, 0.5)
+    if (joint.weights < 0).any():  # a view never speaks against itself
+        use = joint.weights > 0
+        joint = fit(np.where(use, both / spread, 0), y[check], 1e-3, 400)
+    weight = np.where(use, joint.weights, 0) / spread
+    model = Model(view_a, view_b, (float(weight[0]), float(weight[1]), joint.bias), REJECT)
     good = np.sort(model.score(a[check], b[check])[2][y[check] == 1])
-    model.threshold = float(min(0.5, good[int((1 - keep_good) * len(good))])) if len(good) else 0.5
+    model.threshold = float(min(REJECT, good[int((1 - keep_good) * len(good))])) if len(good) else REJECT
     return model
 
 
