@@ -108,6 +108,19 @@ def coded(texts: list[str], pieces: WordPieces) -> tuple[np.ndarray, np.ndarray,
     return table.indices.to_numpy(zero_copy_only=False).astype(np.int64), lengths, table.dictionary.to_pylist()
 
 
+class Numbers(dict):
+    """Numbers of words in the order they are first asked for; ``new`` collects those not yet encoded."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+
 class Encoder:
     """Ids of whole texts; remembers the ids of pre-tokens it has met, up to a bound."""
 
@@ -116,31 +129,31 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.flat = [np.empty(0, np.int32)]
-        self.starts = [np.empty(0, np.int64)]
-        self.lengths = [np.empty(0, np.int64)]
-        self.total = 0
+        self.number = Numbers()
+        self.flat = np.empty(0, np.int32)
+        self.size = np.empty(0, np.int64)
+        self.start = np.empty(0, np.int64)
 
     def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts on end, ids per text); ``end`` is put behind each text."""
-        codes, lengths, words = coded(texts, self.pieces)
-        if len(self.number) + len(words) > KNOWN:
+        if len(self.number) > KNOWN:
             self._forget()
-        new = [w for w in words if w not in self.number]
-        if new:
-            ids, size = self.pieces.ids(new)
-            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
-            self.flat.append(ids)
-            self.starts.append(self.total + np.cumsum(size) - size)
-            self.lengths.append(size)
-            self.total += int(size.sum())
-            self.flat, self.starts, self.lengths = ([np.concatenate(x)] for x in (self.flat, self.starts, self.lengths))
-        known = np.fromiter((self.number[w] for w in words), np.int64, len(words))
-        which = known[codes]
-        size = self.lengths[0][which]
+        words: list[str] = []
+        lengths = np.empty(len(texts), np.int64)
+        for i, text in enumerate(texts):
+            own = self.pieces.split(text)
+            lengths[i] = len(own)
+            words += own
+        which = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        if self.number.new:
+            ids, size = self.pieces.ids(self.number.new)
+            self.flat = np.concatenate((self.flat, ids))
+            self.size = np.concatenate((self.size, size))
+            self.start = np.cumsum(self.size) - self.size
+            self.number.new = []
+        size = self.size[which]
         ends = np.cumsum(size)
-        ids = self.flat[0][np.repeat(self.starts[0][which] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        ids = self.flat[np.repeat(self.start[which] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
         ends = np.concatenate(([0], ends))[np.cumsum(lengths)]
         per = np.diff(ends, prepend=0)
         if end is not None:
