@@ -138,7 +138,8 @@ class Mix:
         self.rows = materialize(placed(sized, goals), "placed")
         self.slots = slots(plan(goals, block_words, seed), block_words, seed=seed)
         shown = self.slots.select(F.col("sid").alias("_sid"), F.col("block").alias("_block"), "pass", "words")
-        joined = pieces(self.rows, block_words).join(shown, (F.col("sid") == F.col("_sid")) & (F.col("block") == F.col("_block")))
+        # Spark takes an exploded table to be as small as its source; none of these sides is, so none may be broadcast
+        joined = pieces(self.rows, block_words).join(shown.hint("merge"), (F.col("sid") == F.col("_sid")) & (F.col("block") == F.col("_block")))
         self.taken = joined.filter("words > lo").select("doc_id", "h", "source", "copy", "pass", "at", (F.least("hi", "words") - F.col("lo")).alias("words"))
 
     def per_document(self) -> DataFrame:
@@ -147,7 +148,7 @@ class Mix:
         took = took.select(*(F.col(c).alias(f"_{c}") for c in ("doc_id", "h", "source", "copy")), "taken")
         every = self.rows.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
         same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("h") == F.col("_h")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("copy") == F.col("_copy"))
-        return every.join(took, same, "left").select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+        return every.join(took.hint("merge"), same, "left").select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mix_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", count_col: str | None = "n_chars", **options) -> DataFrame:
@@ -161,7 +162,7 @@ def mix_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     once = docs.withColumn("_hash", F.xxhash64(text)).dropDuplicates([id_col, "_hash", source_col])
     same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")) & F.col(source_col).cast("string").eqNullSafe(F.col("_source"))
-    joined = once.join(took, same).withColumn("_words", F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)))
+    joined = once.join(took.hint("merge"), same).withColumn("_words", F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)))
     parts = F.transform("_parts", lambda p: F.array_join(F.slice(F.col("_words"), (p["at"] + 1).cast("int"), p["n"].cast("int")), " "))
     out = joined.withColumn("_text", F.when(F.col("_taken") == F.size("_words"), F.col(text_col)).otherwise(F.array_join(parts, " ")))
     new = {text_col: F.col("_text")} | ({count_col: F.length("_text").cast("long")} if count_col and count_col in docs.columns else {})
