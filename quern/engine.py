@@ -35,6 +35,7 @@ class Engine:
         self.catalog = catalog or Catalog()
         self.rownum_mode = rownum_mode
         self.functions: dict[str, tuple[str, str | None]] = {}
+        self.methods: dict[str, str] = {}
         self.variables: list[Callable[[tuple[str, ...]], str | None]] = []
         self.known_views: dict[str, dict[str, str | None]] = {}
         self.triggers: dict[str, list] = {}
@@ -135,6 +136,12 @@ class Engine:
         self.spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name(target)}({args}) RETURNS {out} RETURN cast({text} as {out})")
         self.register_function(function, target, returns)
 
+    def create_method(self, type_name: str, method: str, params: dict[str, str], returns: str, body: str) -> None:
+        """A member function of an object type: type__method(self, ...), called as value.method(...)."""
+        function = f"{type_name}__{method}"
+        self.create_function(function, {"self": type_name} | params, returns, body)
+        self.methods[method.upper()] = function.upper()
+
     def function_kind(self, function: str) -> str | None:
         return self.functions.get(function, (None, None))[1]
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame
@@ -82,8 +83,7 @@ def change(engine: Engine, statement: A.Node, binds: dict[str, object] | None =
             rows = engine.spark.sql("SELECT " + ", ".join(f"{_value(engine, low, v)} AS v{i}" for i, v in enumerate(statement.values or [])))
         rows = materialize(rows.toDF(*[f"v{i}" for i in range(len(rows.columns))]), "insert")
         added = insert_rows(target.limit(0), rows, statement.columns or None)
-        for hook in hooks:
-            added = hook("INSERT", added, None)
+        added = _fired(hooks, "INSERT", added, None)
         out, n = target.unionByName(added), rows.count()
     else:
         alias = statement.alias or statement.table[-1]  # type: ignore[attr-defined]
@@ -105,23 +105,34 @@ def change(engine: Engine, statement: A.Node, binds: dict[str, object] | None =
                     if not isinstance(block, A.Block) or len(block.items) != len(names):
                         raise UnsupportedFeature("SET of several columns by this query")
                     for c, item in zip(names, block.items, strict=True):
-                        from dataclasses import replace
-
                         sets[c.lower()] = low.emit(A.Scalar(replace(value.query, body=replace(block, items=[item]))))
                 elif isinstance(value, A.Tuple):
                     sets.update({c.lower(): low.emit(v) for c, v in zip(names, value.items, strict=True)})
             flagged = engine.spark.sql(f"SELECT *, {', '.join(f'{v} AS `_set_{c}`' for c, v in sets.items())}, coalesce({where}, false) AS `_hit` FROM {source}")
-            old = flagged
             new = [F.when(F.col("_hit"), F.col(f"_set_{f.name.lower()}").cast(f.dataType)).otherwise(F.col(f.name)).alias(f.name) if f.name.lower() in sets else F.col(f.name) for f in target.schema]
-            out = old.select(*new)
-            for hook in hooks:
-                out = hook("UPDATE", out, target)
+            if hooks:
+                flagged = materialize(flagged, "update")
+                old = [F.col(c).alias(f"_old_{c.lower()}") for c in target.columns]
+                changed = _fired(hooks, "UPDATE", flagged.filter("_hit").select(*new, *old), target.columns)
+                out = flagged.filter("NOT _hit").select(*target.columns).unionByName(changed)
+            else:
+                out = flagged.select(*new)
         else:
             raise UnsupportedFeature(type(statement).__name__)
     materialize(out, "changed").createOrReplaceTempView(view)
     return n
 
 
+def _fired(hooks: list, event: str, rows: DataFrame, columns: list[str] | None) -> DataFrame:
+    """The rows after all row triggers; old values are in columns _old_<name>, null for new rows."""
+    names = columns or rows.columns
+    if hooks and columns is None:
+        rows = rows.select("*", *[F.lit(None).cast(rows.schema[c].dataType).alias(f"_old_{c.lower()}") for c in names])
+    for hook in hooks:
+        rows = hook(event, rows)
+    return rows.select(*names)
+
+
 def _value(engine: Engine, low, v: A.Node) -> str:
     if isinstance(v, A.Column) and v.name.upper() == "NEXTVAL" and len(v.parts) > 1:
         return str(engine.catalog.sequence(v.parts[:-1]).nextval())

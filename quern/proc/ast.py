@@ -67,6 +67,17 @@ class Package:
     init: list = field(default_factory=list)
 
 
+@dataclass
+class Trigger:
+    name: str
+    timing: str  # BEFORE, AFTER, INSTEAD OF
+    events: list[str]
+    table: tuple[str, ...]
+    each_row: bool
+    when: A.Node | None
+    block: "Block"
+
+
 @dataclass
 class Block:
     declarations: list

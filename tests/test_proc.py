@@ -139,3 +139,31 @@ def test_refused(run):
     for body in ("FORALL i IN 1..2 DELETE FROM t;", "EXECUTE IMMEDIATE 'x';", "SELECT a BULK COLLECT INTO b FROM t;"):
         with pytest.raises(UnsupportedFeature):
             run.run(f"BEGIN {body} END;")
+
+
+def test_trigger_body(run, spark):
+    run.run(
+        """CREATE OR REPLACE TRIGGER t BEFORE INSERT OR UPDATE ON hr.employees FOR EACH ROW
+           BEGIN
+             IF INSERTING THEN :NEW.employee_name := UPPER(:NEW.employee_name); :NEW.salary := NVL(:NEW.salary, 7); END IF;
+             IF UPDATING AND :NEW.salary < :OLD.salary THEN RAISE_APPLICATION_ERROR(-20002, 'no cuts'); END IF;
+           END;"""
+    )
+    run.engine.sql("INSERT INTO hr.employees (employee_id, employee_name) VALUES (12, 'new')")
+    assert tuple(spark.table("hr__employees").filter("employee_id = 12").select("employee_name", "salary").first()) == ("NEW", 7)
+    run.engine.sql("UPDATE hr.employees SET salary = salary + 1 WHERE employee_id = 1")
+    assert spark.table("hr__employees").filter("employee_id = 1").first().salary == 50001
+    with pytest.raises(Exception, match="no cuts"):
+        run.engine.sql("UPDATE hr.employees SET salary = 1 WHERE employee_id = 1")
+    with pytest.raises(UnsupportedFeature):
+        run.run("CREATE TRIGGER a AFTER INSERT ON hr.employees FOR EACH ROW BEGIN NULL; END;")
+
+
+def test_page_buffer(run):
+    run.run("BEGIN HTP.P('a'); HTP.PRN('b'); END;")
+    assert "".join(run.page) == "a\nb"
+
+
+def test_date_variable_in_sql(run):
+    run.run("DECLARE d DATE := DATE '2024-01-31'; v DATE; BEGIN SELECT ADD_MONTHS(d, 1) + 1 INTO v FROM dual; DBMS_OUTPUT.PUT_LINE(TO_CHAR(v, 'YYYY-MM-DD')); END;")
+    assert run.output == ["2024-03-01"]

@@ -196,3 +196,11 @@ def test_pushdown(engine):
 def test_parse_keeps_precedence():
     a = parse("SELECT 1 FROM t WHERE NOT a = 1 AND b = 2 OR c = 3").body.where
     assert a.op == "OR" and a.left.op == "AND" and a.left.left.op == "NOT"
+
+
+def test_member_methods(spark):
+    engine = Engine(spark)
+    engine.catalog.add_types({"point": {"x": "NUMBER(5)", "y": "NUMBER(5)"}})
+    engine.create_method("point", "norm1", {"k": "NUMBER(5)"}, "NUMBER(10)", "(ABS(self.x) + ABS(self.y)) * k")
+    engine.register("shapes", spark.sql("SELECT 1 AS id, named_struct('x', cast(-3 as decimal(5,0)), 'y', cast(4 as decimal(5,0))) AS p"))
+    assert engine.sql("SELECT s.p.norm1(10) AS n FROM shapes s").first()[0] == 70
