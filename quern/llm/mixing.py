@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, shuffle_partitions
 
 BLOCK_WORDS, SHARD_SLOTS, CHUNKS, SEED, ROUNDS = 64, 4096, 1024, 42, 14
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
@@ -85,7 +85,8 @@ def slots(planned: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int =
     """(shard, slot, sid, pass, block, words): the mix, a row per slot; words is how many of the block it shows."""
     j, b = F.col("j"), F.col("blocks")
     runs = planned.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / 4096)))).filter("slots > 0")
-    s = runs.repartition("sid", "run").withColumn("j", F.explode(F.sequence(F.col("run") * 4096, F.least(F.col("run") * 4096 + 4095, F.col("slots") - 1))))
+    # a number of partitions of its own: by their bytes, the rows before the explosion would be put into one task
+    s = runs.repartition(shuffle_partitions(planned.sparkSession), "sid", "run").withColumn("j", F.explode(F.sequence(F.col("run") * 4096, F.least(F.col("run") * 4096 + 4095, F.col("slots") - 1))))
     s = s.withColumn("pass", F.floor(j / b).cast("long")).withColumn("k", F.pmod(j, b))
     s = s.withColumn("block", permuted(F.col("k"), b, F.xxhash64("key", "pass")))
     s = s.withColumn("out", permuted(F.col("first") + j, F.col("all_slots"), F.lit(seed)))
