@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -11,37 +9,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch: long texts keep a batch small enough for a Python worker.
-BATCH_ROWS = 256
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a temporary one only where it is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="quern-shared-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
+from ..storage import materialize, shared_path
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when the session's JVM ends."""
-    path = f"{shared_dir(spark)}/quern-{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return path
+__all__ = ["BATCH_ROWS", "blocks_of", "bounded_batches", "keyed_text", "map_arrow", "materialize", "shared_path", "shuffle_partitions", "tokenizer_path"]
 
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
-
-    Lost executors cost nothing afterwards, since the files do not live with them.
-    """
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Rows of one Arrow batch: long texts keep a batch small enough for a Python worker.
+BATCH_ROWS = 256
 
 
 def bounded_batches(spark: SparkSession) -> None:
