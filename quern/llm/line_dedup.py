@@ -126,13 +126,14 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "do
     rows = map_arrow(keyed_text(docs, id_col, text_col, _text_hash(text_col).alias("th")), _lines(min_words), LINES)
     lines = materialize(rows.dropDuplicates(["id", "th"]), "lines")
     chosen = lines.select("id", "th", F.explode("picks").alias("at"), "hashes").select("id", "th", "at", F.get("hashes", F.col("at")).alias("h"))
-    frequent = chosen.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    # written tables on both sides of the joins: what an exchange deals out for a frequent hash can then be split
+    frequent = materialize(chosen.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "frequent")
     met = materialize(chosen.join(frequent, "h").select("id", "th", "at"), "met").groupBy("id", "th").agg(F.collect_list("at").alias("at"))
     met = met.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "at")
     around = lines.join(met, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("id", "th", "hashes", "words", "at")
     runs = materialize(map_arrow(around, _extend(min_words), "id long, th long, lo int, hi int, run long"), "runs")
     place = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("th"), F.col("lo"))
-    first = runs.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1").select("run", "first")
+    first = materialize(runs.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1").select("run", "first"), "first-places")
     later = materialize(runs.join(first, "run").filter(place > F.col("first")).select("id", "th", "lo", "hi"), "later-runs")
     return map_arrow(later.groupBy("id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), _merge, "id long, th long, cut array<struct<lo:int,hi:int>>")
 
