@@ -96,8 +96,21 @@ def test_many_groups(spark):
     values = [rng.getrandbits(63) for _ in range(120)]
     values += [v ^ (1 << rng.randrange(60)) for v in values[:60]]
     df = spark.createDataFrame([(v,) for v in sorted(set(values))], "fp long")
-    roots = lambda size: {r.node: r.root for r in components(simhash.links(df, group=size)).collect()}
-    assert roots(8) == roots(10_000)
+    roots = lambda size, parts=None: {r.node: r.root for r in components(simhash.links(df, group=size, parts=parts)).collect()}
+    whole = roots(10_000)
+    assert len(whole) >= 100
+    assert roots(8) == roots(8, 2) == roots(8, 4) == roots(1000, 4) == whole
+
+
+@pytest.mark.parametrize("parts", [1, 2, 4])
+def test_cells(spark, parts):
+    rng = random.Random(6)
+    values = [rng.getrandbits(64) - (1 << 63) for _ in range(50)] + [0, -1, 1]
+    got = {r.fp: r.cell for r in spark.createDataFrame([(v,) for v in values], "fp long").select("fp", simhash._cell(parts).alias("cell")).collect()}
+    base = 64 // parts + 1
+    for v in values:
+        digits = simhash._parts(np.array([v], np.int64).view(np.uint64), parts)[0].tolist()
+        assert got[v] == sum(d * base ** (parts - 1 - k) for k, d in enumerate(digits))
 
 
 def test_components(spark):
