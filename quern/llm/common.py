@@ -9,6 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import importable
 from ..storage import materialize, shared_path
 
 __all__ = ["BATCH_ROWS", "blocks_of", "bounded_batches", "keyed_text", "map_arrow", "materialize", "shared_path", "shuffle_partitions", "tokenizer_path"]
@@ -18,7 +19,8 @@ BATCH_ROWS = 256
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch brings to a Python worker."""
+    """Prepare Python workers: this package within reach, and a bound on what one Arrow batch brings."""
+    importable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
