@@ -45,11 +45,14 @@ def write(docs: DataFrame, path: str, file: str = "word_bpe_49k.json", end_id: i
     """Write the ids of every text, ``end_id`` behind each, in ascending order of the id (null first).
 
     Null and empty texts have the end id only.  Rows of one id stand together, ordered by the text's
-    hash; rows repeated in full are equal, so their order shows nowhere.  An empty table writes no row.
+    hash and then by place; rows repeated in full are equal, so their order shows nowhere.  An empty table writes no row.
     """
     spark = docs.sparkSession
     n = ranges or shuffle_partitions(spark)
-    ordered = keyed_text(docs, id_col, text_col).repartitionByRange(n, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"))
+    # rows that share an id, or have none, are dealt on by text and place, so that they need not fit one range
+    rows = keyed_text(docs, id_col, text_col).select("*", F.xxhash64("text").alias("th"), F.monotonically_increasing_id().alias("row"))
+    keys = (F.col("id").asc_nulls_first(), F.col("th"), F.col("row"))
+    ordered = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys).select("id", "text")
     (
         map_arrow(ordered, _encode(file, end_id), SCHEMA)
         .write.option("orc.compress", "ZSTD")

@@ -121,6 +121,18 @@ def test_files_odd(odd, odd_rows, library, empty, clashing, same_rows):
     assert same_rows(token_files.checksums(token_files.write_and_read(clashing)), token_files.checksums(token_files.write_and_read(odd)))
 
 
+def test_files_hot_id(spark, library):
+    rows = [(5, f"text {k}") for k in range(60)] + [(5, "same")] * 40 + [(None, f"none {k}") for k in range(50)] + [(k, f"own {k}") for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = token_files.checksums(token_files.write_and_read(df)).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda i: (i is not None, i or 0))
+    starts = [0]
+    for r in got:
+        assert r.start == starts[-1]
+        starts.append(r.start + r.n_tokens)
+    assert sorted(r.n_tokens for r in got) == sorted(len(ids_of(library, t)) + 1 for _, t in rows)
+
+
 def test_point_lookup_prunes(spark, documents, tmp_path):
     path = str(tmp_path / "orc")
     token_files.write(documents, path)
