@@ -8,8 +8,8 @@ with exclusive-or and bit counts and skips tile pairs out of reach.  A unit retu
 group of thousands of near copies makes as many rows as it has members.
 
 The comparison is quadratic in the number of distinct fingerprints; the population counts of the
-whole leave about half of the pairs, those of quarters (used from some 8 million fingerprints on)
-about a tenth.  Copies of a text share a fingerprint and are compared once.
+whole leave about half of the pairs, those of quarters (used from some 4 million fingerprints on)
+about a fifth.  Copies of a text share a fingerprint and are compared once.
 """
 
 from __future__ import annotations
@@ -22,12 +22,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks_of, keyed_text, map_arrow, materialize, shuffle_partitions
+from .common import blocks_of, bounded_batches, keyed_text, map_arrow, materialize, shuffle_partitions
 from .components import components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
-#: Fingerprints in a group, and the number of groups beyond which groups grow instead.
-GROUP, MOST_GROUPS = 16_384, 4096
+#: Fingerprints in a group at most; the number of groups below which they are smaller and beyond which they are larger.
+GROUP, LEAST_GROUPS, MOST_GROUPS = 65_536, 16, 4096
 #: Rows of the two sides of a tile.
 TILE = (128, 512)
 
@@ -170,12 +170,15 @@ def links(distinct: DataFrame, radius: int = RADIUS, group: int = GROUP, parts:
     out more pairs of groups.
     """
     spark = distinct.sparkSession
+    bounded_batches(spark)
     total = distinct.count()
     if not total:
         return distinct.select(F.col("fp").alias("u"), F.col("fp").alias("v"))
-    parts = parts or (1 if total < 32 * group else 2 if total < 512 * group else 4)
+    parts = parts or (1 if total < 16 * group else 2 if total < 64 * group else 4)
+    # the number of groups that a fingerprint goes to stays the same as long as the groups can grow
+    size = max(min(group, -(-total // LEAST_GROUPS)), -(-total // MOST_GROUPS))
     counts = dict(distinct.groupBy(_cell(parts).alias("cell")).count().collect())  # 65, 33^2 or 17^4 rows at most
-    cells, low, high = _groups(counts, parts, max(group, -(-total // MOST_GROUPS)))
+    cells, low, high = _groups(counts, parts, size)
     reach = []
     for i in range(len(low)):
         gap = np.maximum(np.maximum(low - high[i], low[i] - high), 0).sum(axis=1)
