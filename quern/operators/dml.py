@@ -75,6 +75,8 @@ def change(engine: Engine, statement: A.Node, binds: dict[str, object] | None =
     low = engine._lowering(binds)
     columns = {f.name.lower(): kind(f.dataType) for f in target.schema}
     hooks = engine.triggers.get(view, [])
+    if isinstance(statement, A.Merge):
+        return merge(engine, statement, view, binds)
     if isinstance(statement, A.Insert):
         if statement.query is not None:
             rows = engine.spark.sql(low.query(statement.query)[0])
@@ -92,8 +94,9 @@ def change(engine: Engine, statement: A.Node, binds: dict[str, object] | None =
         source = f"{name(view)} AS {name(alias)}"
         n = engine.spark.sql(f"SELECT 1 FROM {source} WHERE {where}").count()
         if isinstance(statement, A.Delete):
-            gone = f"SELECT * FROM {source}"
-            out = engine.spark.sql(f"{gone} WHERE NOT coalesce({where}, false)") if not _has_query(statement.where) else _without(engine, source, where, target)
+            # subqueries are kept to plain conditions: what is not hit is what is false or unknown
+            rest = f"NOT ({where}) OR ({where}) IS NULL" if _has_query(statement.where) else f"NOT coalesce({where}, false)"
+            out = engine.spark.sql(f"SELECT * FROM {source} WHERE {rest}")
         elif isinstance(statement, A.Update):
             sets: dict[str, str] = {}
             for names, value in statement.sets:
@@ -123,6 +126,49 @@ def change(engine: Engine, statement: A.Node, binds: dict[str, object] | None =
     return n
 
 
+def merge(engine: Engine, m: A.Merge, view: str, binds: dict[str, object] | None) -> int:
+    """MERGE: a target row may match one source row only; what is updated may then be deleted, what is missing inserted."""
+    target = engine.spark.table(view)
+    hooks = engine.triggers.get(view, [])
+    low = engine._lowering(binds)
+    low.frames.append(Frame())
+    source = low.source(m.source)
+    alias = m.alias or m.table[-1]
+    low.frames[-1].sources.append((alias, {f.name.lower(): kind(f.dataType) for f in target.schema}))
+    numbered = materialize(target.withColumn("_row", F.monotonically_increasing_id()), "merge-target")
+    numbered.createOrReplaceTempView(own := f"{view}__merging")
+    mine = f"{name(own)} AS {name(alias)}"
+    on = low.emit(m.on)
+    columns = [f"{name(alias)}.{name(c)}" for c in target.columns]
+    sets = {names[0].lower(): low.emit(v) for names, v in m.sets or []}
+    hit = low.emit(m.update_where) if m.update_where is not None else "true"
+    new = [f"{sets[c.lower()]} AS {name(f'_new_{c.lower()}')}" for c in target.columns if c.lower() in sets]
+    matched = materialize(engine.spark.sql(f"SELECT {', '.join([f'{name(alias)}._row', *columns, *new, f'coalesce({hit}, false) AS _hit'])} FROM {mine} JOIN {source} ON {on}"), "merge-matched")
+    if matched.groupBy("_row").count().filter("count > 1").limit(1).count():
+        raise QuernError("MERGE: a row of the target matches several rows of the source")
+    changed = matched.filter("_hit") if m.sets is not None else matched.limit(0)
+    made = [(F.col(f"_new_{f.name.lower()}").cast(f.dataType) if f.name.lower() in sets else F.col(f.name)).alias(f.name) for f in target.schema]
+    updated = changed.select("_row", *made, *[F.col(c).alias(f"_old_{c.lower()}") for c in target.columns])
+    updated = _fired(hooks, "UPDATE", updated.drop("_row"), target.columns) if hooks else updated.select(*target.columns)
+    if m.delete_where is not None:
+        updated.createOrReplaceTempView(gone := f"{view}__merged")
+        low.frames[-1] = Frame([(alias, {f.name.lower(): kind(f.dataType) for f in target.schema})])
+        updated = engine.spark.sql(f"SELECT * FROM {name(gone)} AS {name(alias)} WHERE NOT coalesce({low.emit(m.delete_where)}, false)")
+    out = numbered.join(changed.select("_row"), "_row", "left_anti").select(*target.columns).unionByName(updated)
+    n = changed.count()
+    if m.values is not None:
+        low.frames[-1] = Frame()
+        source = low.source(m.source)
+        values = [low.emit(v) for v in m.values]
+        where = f" WHERE {low.emit(m.insert_where)}" if m.insert_where is not None else ""
+        rows = engine.spark.sql(f"SELECT {', '.join(f'{v} AS v{i}' for i, v in enumerate(values))} FROM {source} LEFT ANTI JOIN {mine} ON {on}{where}")
+        rows = materialize(rows, "merge-new")
+        out = out.unionByName(_fired(hooks, "INSERT", insert_rows(target.limit(0), rows, m.columns or None), None))
+        n += rows.count()
+    materialize(out, "merged").createOrReplaceTempView(view)
+    return n
+
+
 def _fired(hooks: list, event: str, rows: DataFrame, columns: list[str] | None) -> DataFrame:
     """The rows after all row triggers; old values are in columns _old_<name>, null for new rows."""
     names = columns or rows.columns
@@ -141,8 +187,3 @@ def _value(engine: Engine, low, v: A.Node) -> str:
 
 def _has_query(e: A.Node | None) -> bool:
     return e is not None and any(isinstance(n, A.Query) for n in A.walk(e))
-
-
-def _without(engine: Engine, source: str, where: str, target: DataFrame) -> DataFrame:
-    """For conditions with subqueries, which Spark keeps to filters: flag by a scalar where it can, else keep what is not hit."""
-    return engine.spark.sql(f"SELECT * FROM {source} WHERE NOT ({where}) OR ({where}) IS NULL") if "EXISTS" not in where else engine.spark.sql(f"SELECT * FROM {source} WHERE NOT ({where})")

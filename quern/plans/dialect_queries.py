@@ -127,6 +127,8 @@ pair("listagg", "SELECT n_regionkey, LISTAGG(n_name, ', ') WITHIN GROUP (ORDER B
 pair("keep_first_last", "SELECT o_custkey, MIN(o_orderkey) KEEP (DENSE_RANK FIRST ORDER BY o_orderdate) AS f, MAX(o_orderkey) KEEP (DENSE_RANK LAST ORDER BY o_orderdate) AS l FROM orders GROUP BY o_custkey", "SELECT o_custkey, MIN(o_orderkey) FILTER (o_orderdate = lo) AS f, MAX(o_orderkey) FILTER (o_orderdate = hi) AS l FROM (SELECT *, MIN(o_orderdate) OVER (PARTITION BY o_custkey) AS lo, MAX(o_orderdate) OVER (PARTITION BY o_custkey) AS hi FROM orders) GROUP BY o_custkey")
 pair("pivot", "SELECT * FROM (SELECT o_orderstatus, o_orderpriority, o_orderkey FROM orders) PIVOT (COUNT(o_orderkey) FOR o_orderstatus IN ('F' AS f, 'O' AS o, 'P' AS p))", "SELECT o_orderpriority, COUNT(*) FILTER (o_orderstatus = 'F') AS f, COUNT(*) FILTER (o_orderstatus = 'O') AS o, COUNT(*) FILTER (o_orderstatus = 'P') AS p FROM orders GROUP BY o_orderpriority")
 
+pair("unpivot", "SELECT k, what, price FROM (SELECT p_partkey AS k, p_retailprice AS a, NULLIF(p_retailprice * 2, p_retailprice * 2) AS b, p_retailprice * 3 AS c FROM part) UNPIVOT (price FOR what IN (a AS 'first', b, c AS 'third'))", "SELECT p_partkey AS k, 'first' AS what, p_retailprice AS price FROM part UNION ALL SELECT p_partkey, 'third', p_retailprice * 3 FROM part")
+
 # windows
 
 W = "PARTITION BY o_custkey ORDER BY o_orderkey"
@@ -163,6 +165,7 @@ pair("rownum_pagination", "SELECT k FROM (SELECT t.k, ROWNUM AS rn FROM (SELECT
 pair("rownum_dense", "SELECT MIN(rn) AS lo, MAX(rn) AS hi, COUNT(DISTINCT rn) AS n FROM (SELECT ROWNUM AS rn, o_orderkey FROM orders)", "SELECT CAST(1 AS BIGINT) AS lo, COUNT(*) AS hi, COUNT(*) AS n FROM orders")
 pair("top_k", "SELECT l_orderkey, l_partkey, l_suppkey, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_partkey, l_suppkey FETCH FIRST 20 ROWS ONLY", "SELECT l_orderkey, l_partkey, l_suppkey, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_partkey, l_suppkey LIMIT 20")
 pair("offset_fetch", "SELECT c_custkey FROM customer ORDER BY c_acctbal, c_custkey OFFSET 10 ROWS FETCH NEXT 15 ROWS ONLY", "SELECT c_custkey FROM customer ORDER BY c_acctbal, c_custkey LIMIT 15 OFFSET 10")
+pair("fetch_with_ties", "SELECT p_partkey, p_size AS s FROM part ORDER BY s DESC FETCH FIRST 5 ROWS WITH TIES", "SELECT p_partkey, p_size AS s FROM (SELECT *, rank() OVER (ORDER BY p_size DESC) AS r FROM part) WHERE r <= 5")
 both("order_by_alias_and_ordinal", "SELECT n_name AS label, n_regionkey FROM nation ORDER BY 2, label")
 
 # set operations and factoring

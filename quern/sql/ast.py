@@ -211,6 +211,16 @@ class Pivot(Node):
     alias: str | None = None
 
 
+@dataclass
+class Unpivot(Node):
+    source: Node
+    value: str
+    label: str
+    columns: list[tuple[Column, str | None]]
+    keep_nulls: bool = False
+    alias: str | None = None
+
+
 @dataclass
 class Grouping(Node):
     kind: str  # ROLLUP, CUBE, GROUPING SETS
@@ -282,6 +292,20 @@ class Delete(Node):
     where: Node | None
 
 
+@dataclass
+class Merge(Node):
+    table: tuple[str, ...]
+    alias: str | None
+    source: Node
+    on: Node
+    sets: list[tuple[list[str], Node]] | None = None
+    update_where: Node | None = None
+    delete_where: Node | None = None
+    columns: list[str] | None = None
+    values: list[Node] | None = None
+    insert_where: Node | None = None
+
+
 def _parts(value: Any):
     if isinstance(value, Node):
         yield value

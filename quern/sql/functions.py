@@ -25,7 +25,6 @@ class Function:
 
 FUNCTIONS: dict[str, Function] = {}
 AGGREGATES: set[str] = set()
-WINDOW_ONLY = {"ROW_NUMBER", "RANK", "DENSE_RANK", "PERCENT_RANK", "CUME_DIST", "NTILE", "LEAD", "LAG", "FIRST_VALUE", "LAST_VALUE", "NTH_VALUE"}
 
 
 def first_kind(low: Lowering, args: list[A.Node]) -> str | None:
@@ -92,7 +91,6 @@ FUNCTIONS["LEAST"] = Function(_strict("least"), first_kind)
 
 same("N", None, "ABS", "FLOOR", "POWER", "SQRT", "EXP", "LN", "SIGN", "SIN", "COS", "TAN", "ASIN", "ACOS", "ATAN", "ATAN2", "SINH", "COSH", "TANH")
 same("N", "ceil", "CEIL", "CEILING")
-same("N", "bitand_", "BITAND")
 FUNCTIONS["BITAND"] = Function(lambda low, c: f"(cast({low.emit(c.args[0])} as bigint) & cast({low.emit(c.args[1])} as bigint))", "N")
 same("N", "nanvl", "NANVL")
 
@@ -477,13 +475,10 @@ def kept(low: Lowering, c: A.Call) -> str:
     if len(orders) != 1 or c.name not in ("MIN", "MAX"):
         raise UnsupportedFeature(f"KEEP with {c.name}")
     value, by = low.emit(c.args[0]), low.emit(orders[0].value)
-    if by_last := (which == "LAST") != orders[0].descending:
-        edge, inner = "max", value if c.name == "MAX" else f"-({value})"
-    else:
-        edge, inner = "min", value if c.name == "MIN" else f"-({value})"
+    edge = "max" if (which == "LAST") != orders[0].descending else "min"
+    inner = value if edge.upper() == c.name else f"-({value})"  # the other end of the ties, by sign
     if inner != value and low.kind(c.args[0]) != "N":
         raise UnsupportedFeature(f"{c.name} KEEP {which} of anything but numbers")
-    del by_last
     got = _over(low, c, f"{edge}(struct({by} AS o, {inner} AS v))") + ".v"
     return got if inner == value else f"(-({got}))"
 

@@ -39,8 +39,8 @@ def test_lexer():
         "SELECT f(a => 1) FROM nation",
         "SELECT XMLELEMENT(\"a\") FROM nation",
         "SELECT n_name FROM nation WHERE CURRENT OF c",
-        "SELECT n_name FROM nation FETCH FIRST 3 ROWS WITH TIES",
-        "MERGE INTO a USING b ON (a.x = b.x) WHEN MATCHED THEN UPDATE SET y = 1",
+        "SELECT n_name FROM nation FETCH FIRST 3 PERCENT ROWS ONLY",
+        "SELECT * FROM nation UNPIVOT ((a, b) FOR c IN ((n_name, n_nationkey)))",
         "INSERT ALL INTO a VALUES (1) SELECT 1 FROM dual",
         "WITH FUNCTION f RETURN NUMBER IS BEGIN RETURN 1; END; SELECT f FROM dual",
         "SELECT nosuchfunction(1) FROM dual",
@@ -204,3 +204,18 @@ def test_member_methods(spark):
     engine.create_method("point", "norm1", {"k": "NUMBER(5)"}, "NUMBER(10)", "(ABS(self.x) + ABS(self.y)) * k")
     engine.register("shapes", spark.sql("SELECT 1 AS id, named_struct('x', cast(-3 as decimal(5,0)), 'y', cast(4 as decimal(5,0))) AS p"))
     assert engine.sql("SELECT s.p.norm1(10) AS n FROM shapes s").first()[0] == 70
+
+
+def test_merge(spark):
+    engine = Engine(spark)
+    engine.register("t", spark.createDataFrame([(1, 10), (2, 20), (3, 30)], "id int, v int"))
+    engine.register("s", spark.createDataFrame([(2, 5), (3, 0), (4, 7), (5, None)], "id int, w int"))
+    n = engine.sql(
+        """MERGE INTO t d USING (SELECT id, w FROM s) n ON (d.id = n.id)
+           WHEN MATCHED THEN UPDATE SET d.v = d.v + n.w DELETE WHERE d.v > 29
+           WHEN NOT MATCHED THEN INSERT (id, v) VALUES (n.id, n.w * 2) WHERE n.w IS NOT NULL"""
+    ).first()[0]
+    assert n == 3 and sorted(tuple(r) for r in spark.table("t").collect()) == [(1, 10), (2, 25), (4, 14)]
+    engine.register("s", spark.createDataFrame([(1, 1), (1, 2)], "id int, w int"))
+    with pytest.raises(QuernError):
+        engine.sql("MERGE INTO t USING s ON (t.id = s.id) WHEN MATCHED THEN UPDATE SET v = w")
