@@ -39,6 +39,7 @@ class Engine:
         self.variables: list[Callable[[tuple[str, ...]], str | None]] = []
         self.known_views: dict[str, dict[str, str | None]] = {}
         self.triggers: dict[str, list] = {}
+        spark.conf.set("spark.sql.session.timeZone", "UTC")  # dates have no zone: where one is needed in passing, it must not shift them
         spark.conf.set("spark.sql.cteRecursionLevelLimit", "10000")
         spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
 
