@@ -121,6 +121,23 @@ class Numbers(dict):
         return n
 
 
+class Growing:
+    """An array that doubles its room when it is full."""
+
+    def __init__(self, kind: type):
+        self.room = np.empty(1 << 16, kind)
+        self.used = 0
+
+    def add(self, values: np.ndarray) -> None:
+        end = self.used + len(values)
+        if end > len(self.room):
+            room = np.empty(max(end, 2 * len(self.room)), self.room.dtype)
+            room[: self.used] = self.room[: self.used]
+            self.room = room
+        self.room[self.used : end] = values
+        self.used = end
+
+
 class Encoder:
     """Ids of whole texts; remembers the ids of pre-tokens it has met, up to a bound."""
 
@@ -130,9 +147,7 @@ class Encoder:
 
     def _forget(self) -> None:
         self.number = Numbers()
-        self.flat = np.empty(0, np.int32)
-        self.size = np.empty(0, np.int64)
-        self.start = np.empty(0, np.int64)
+        self.flat, self.size, self.start = Growing(np.int32), Growing(np.int64), Growing(np.int64)
 
     def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts on end, ids per text); ``end`` is put behind each text."""
@@ -147,13 +162,13 @@ class Encoder:
         which = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
         if self.number.new:
             ids, size = self.pieces.ids(self.number.new)
-            self.flat = np.concatenate((self.flat, ids))
-            self.size = np.concatenate((self.size, size))
-            self.start = np.cumsum(self.size) - self.size
+            self.start.add(self.flat.used + np.cumsum(size) - size)
+            self.size.add(size)
+            self.flat.add(ids)
             self.number.new = []
-        size = self.size[which]
+        size = self.size.room[which]
         ends = np.cumsum(size)
-        ids = self.flat[np.repeat(self.start[which] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        ids = self.flat.room[np.repeat(self.start.room[which] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
         ends = np.concatenate(([0], ends))[np.cumsum(lengths)]
         per = np.diff(ends, prepend=0)
         if end is not None:
