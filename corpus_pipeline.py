@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import byte_bpe, common, line_dedup, mixing, quality, simhash
+from quern.llm import byte_bpe, common, line_dedup, mixing, near_copies, quality
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -26,8 +26,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies stays."""
-    return simhash.keep_one(docs)
+    """One document of each component of near copies (similarity 0.8 of five-word shingles) stays."""
+    return near_copies.keep_one(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

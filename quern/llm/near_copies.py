@@ -1,0 +1,176 @@
+"""Near copies by similarity: min-hash bands find pairs, shared shingles confirm them, components join them.
+
+Two texts are near copies if the Jaccard similarity of their sets of ``shingle``-word shingles is
+at least ``similarity``.
+
+1. Each text has ``BANDS`` keys, each of the minima of ``ROWS`` permutations of its shingle hashes.  A
+   pair of similarity s has a key in common with probability 1 - (1 - s^ROWS)^BANDS: 0.99995 at 0.8,
+   more above.
+2. Texts with a key in common are a bucket.  Those of a bucket of at most ``SMALL`` texts are all
+   compared with each other; those of a larger one with one of them, its leader.
+3. A pair is linked only if its shingle sets, made from the texts again, are similar enough, so no
+   text is linked by its keys alone.
+4. Large buckets whose texts are then in different components get another leader, a different one in
+   each bucket, until a round links nothing more.
+
+Pairs grow with the number of texts, never with the square of a bucket.  Only the texts of buckets
+are read again, once, for their shingles.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import blocks_of, map_arrow, materialize
+from .components import components
+
+SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
+BANDS, ROWS = 25, 5
+SMALL, MOST_ROUNDS = 16, 20
+
+
+def shingles(text: str, size: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """The hashes (uint64) of a text's shingles, sorted, each once; a text of fewer words is one shingle, one of none has none."""
+    words = text.encode().lower().split()  # on bytes: A-Z only, and the six white-space bytes
+    if not words:
+        return np.empty(0, np.uint64)
+    joined = b" ".join(words)
+    if len(words) <= size:
+        return np.array([xxhash.xxh64_intdigest(joined, seed)], np.uint64)
+    length = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(length + 1) - 1
+    starts = (ends - length)[: len(words) - size + 1].tolist()
+    return np.unique(np.array([xxhash.xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, ends[size - 1 :].tolist(), strict=True)], np.uint64))
+
+
+def _factors(seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_keys(hashes: np.ndarray, factors: np.ndarray) -> list[int]:
+    """A key (int64) of each band."""
+    if len(hashes):
+        least = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
+        for k in range(0, len(hashes), 4096):
+            part = hashes[k : k + 4096] * factors
+            least = np.minimum(least, (part ^ part >> np.uint64(32)).min(axis=1))
+    else:
+        least = np.zeros(len(factors), np.uint64)
+    return [xxhash.xxh64_intdigest(row.tobytes(), k) - (1 << 63) for k, row in enumerate(least.reshape(BANDS, ROWS))]
+
+
+def _keys(shingle: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        factors = _factors(SEED)
+        for held in blocks_of(batches, "text", 1_000_000):
+            table = pa.Table.from_batches(held)
+            keys = [band_keys(shingles(t, shingle), factors) for t in table.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([table.column("h").combine_chunks(), pa.array(keys, pa.list_(pa.int64()))], names=["h", "keys"])
+
+    return run
+
+
+def _sets(shingle: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in blocks_of(batches, "text", 1_000_000):
+            table = pa.Table.from_batches(held)
+            sets = [shingles(t, shingle).view(np.int64) for t in table.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([table.column("h").combine_chunks(), pa.array(sets, pa.list_(pa.int64()))], names=["h", "shingles"])
+
+    return run
+
+
+def _similar(least: float):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            a, b = batch.column("x"), batch.column("y")
+            for k in range(batch.num_rows):
+                x, y = (c[k].values.to_numpy() for c in (a, b))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common >= least * (len(x) + len(y) - common))
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
+def _shingle_sets(docs: DataFrame, hashes: DataFrame, shingle: int, text_col: str) -> DataFrame:
+    """(h, shingles) of the texts whose hash is in ``hashes`` (h)."""
+    texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), _text_hash(text_col).alias("h"))
+    texts = texts.join(hashes.hint("merge"), "h", "left_semi").groupBy("h").agg(F.first("text").alias("text"))
+    return materialize(map_arrow(texts, _sets(shingle), "h long, shingles array<long>"), "shingles")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (u, v: text hashes) whose shingle sets are similar."""
+    left = sets.select(F.col("h").alias("u"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("h").alias("v"), F.col("shingles").alias("y"))
+    both = pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").select("u", "v", "x", "y")
+    return materialize(map_arrow(both, _similar(similarity), "u long, v long"), "similar")
+
+
+def _led(buckets: DataFrame, order: Column, name: str) -> DataFrame:
+    """(u, v): every text of ``buckets`` (key, h) with the leader of each of its buckets, the first by ``order``."""
+    leaders = materialize(buckets.groupBy("key").agg(F.min(F.struct(order.alias("o"), "h")).alias("l")).select("key", F.col("l.h").alias("v")), f"{name}-leaders")
+    return buckets.join(leaders.hint("merge"), "key").filter("h <> v").select(F.greatest("h", "v").alias("u"), F.least("h", "v").alias("v")).distinct()
+
+
+def similar_links(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, text_col: str = "text") -> DataFrame:
+    """(node, root) by text hash, of the texts that are near copies of another one."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = map_arrow(docs.select(text.alias("text"), _text_hash(text_col).alias("h")), _keys(shingle), "h long, keys array<long>")
+    members = materialize(rows.select("h", F.explode("keys").alias("key")), "band-keys")
+    # copies of one text meet in all their buckets and count once
+    shared = materialize(members.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a < b").select("key"), "shared-keys")
+    buckets = materialize(members.join(shared.hint("merge"), "key").select("key", "h").distinct(), "buckets")
+    sizes = materialize(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "bucket-sizes")
+    sized = buckets.join(sizes.hint("merge"), "key")
+    small = sized.filter(F.col("n") <= SMALL).groupBy("key").agg(F.collect_set("h").alias("all")).select(F.explode("all").alias("v"), "all")
+    small = small.select("v", F.explode("all").alias("u")).filter("u > v").distinct()
+    large = materialize(sized.filter(F.col("n") > SMALL).select("key", "h"), "large-buckets")
+    pairs = materialize(small.unionByName(_led(large, F.col("h"), "first")).distinct(), "pairs")
+    sets = _shingle_sets(docs, materialize(buckets.select("h").distinct(), "met-texts"), shingle, text_col)
+    links = _confirmed(pairs, sets, similarity)
+    roots = materialize(components(links), "similar-roots")
+    for k in range(MOST_ROUNDS):
+        # what is not linked is a component of its own
+        placed = large.join(roots.hint("merge"), large.h == roots.node, "left").select("key", "h", F.coalesce("root", "h").alias("root"))
+        placed = materialize(placed, "placed")
+        split = materialize(placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("key"), "split-buckets")
+        if split.isEmpty():
+            break
+        open_ = materialize(placed.join(split.hint("merge"), "key"), "open")
+        root_of = open_.select(F.col("h").alias("_h"), F.col("root").alias("_root")).distinct()
+        led = _led(open_.select("key", "h"), F.xxhash64("h", "key", F.lit(k)), "next")
+        u, v = root_of.select(F.col("_h").alias("u"), F.col("_root").alias("ru")), root_of.select(F.col("_h").alias("v"), F.col("_root").alias("rv"))
+        apart = materialize(led.join(u.hint("merge"), "u").join(v.hint("merge"), "v").filter("ru <> rv").select("u", "v"), "apart")
+        more = _confirmed(apart, sets, similarity)
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        roots = materialize(components(links), "similar-roots")
+    return roots
+
+
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component of near copies: the one with the smallest id (then the smallest text hash).
+
+    Texts without words are near copies of each other; null ids come last; an empty table gives no rows.
+    """
+    roots = similar_links(docs, similarity, shingle, text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), _text_hash(text_col).alias("h"))
+    least = rows.groupBy("h").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("k"))
+    least = least.join(roots.hint("merge"), least.h == roots.node, "left").groupBy(F.coalesce("root", "h").alias("root")).agg(F.min("k").alias("k"))
+    kept = materialize(least.select(F.col("k.id").alias("_kept_id"), F.col("k.h").alias("_kept_hash")), "kept")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id")) & (F.col("_text_hash") == F.col("_kept_hash"))
+    return docs.withColumn("_text_hash", _text_hash(text_col)).join(kept, same, "left_semi").dropDuplicates([id_col, "_text_hash"]).drop("_text_hash")
