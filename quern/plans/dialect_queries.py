@@ -255,3 +255,22 @@ pair(
     "SELECT * FROM (SELECT o.o_orderkey, ROUND(SUM(l.l_extendedprice * (1 - l.l_discount)), 2) AS revenue, o.o_orderdate FROM customer c, orders o, lineitem l WHERE c.c_custkey = o.o_custkey AND l.l_orderkey = o.o_orderkey AND o.o_orderdate < DATE '1998-03-15' GROUP BY o.o_orderkey, o.o_orderdate ORDER BY revenue DESC, o.o_orderkey) WHERE ROWNUM <= 10",
     "SELECT o.o_orderkey, ROUND(SUM(l.l_extendedprice * (1 - l.l_discount)), 2) AS revenue, o.o_orderdate FROM customer c, orders o, lineitem l WHERE c.c_custkey = o.o_custkey AND l.l_orderkey = o.o_orderkey AND o.o_orderdate < DATE '1998-03-15' GROUP BY o.o_orderkey, o.o_orderdate ORDER BY revenue DESC, o.o_orderkey LIMIT 10",
 )
+
+# the same over whole tables: the texts above keep to some keys or rows
+
+
+def whole(name: str, oracle_cut: str, duckdb_cut: str) -> None:
+    oracle, duckdb = ORACLE[name], DUCKDB[name]
+    assert oracle_cut in oracle and duckdb_cut in duckdb, name
+    pair(f"{name}_whole", oracle.replace(oracle_cut, ""), duckdb.replace(duckdb_cut, ""))
+
+
+for _name in ("level", "path", "where_after", "prior_right", "filtered_edge", "upwards", "root_leaf", "order_siblings", "aggregate"):
+    whole(f"connect_by_{_name}", " WHERE p_partkey < 60", " WHERE p_partkey < 60")
+whole("plus_multi_column", " AND a.l_orderkey < 50", " WHERE a.l_orderkey < 50")
+whole("window_null_order", " WHERE p_partkey < 200", " WHERE p_partkey < 200")
+whole("arithmetic", " WHERE l_orderkey < 300", " WHERE l_orderkey < 300")
+whole("instr_forms", " WHERE c_custkey < 100", " WHERE c_custkey < 100")
+whole("order_nulls_default_desc", " FETCH FIRST 70 ROWS ONLY", " LIMIT 70")
+whole("order_nulls_default_asc", " FETCH FIRST 70 ROWS ONLY", " LIMIT 70")
+whole("order_nulls_explicit", " FETCH NEXT 40 ROWS ONLY", " LIMIT 40")

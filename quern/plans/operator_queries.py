@@ -89,6 +89,12 @@ def transfer_cleaning(spark: SparkSession, folder: str) -> DataFrame:
     return transferable(rows)
 
 
+@against("SELECT o_orderkey, 'ab' AS t, '[1,2]' AS a FROM orders")
+def transfer_cleaning_whole(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "orders").select("o_orderkey", F.lit("a\u0000b").alias("t"), F.array(F.lit(1), F.lit(2)).alias("a"))
+    return transferable(rows)
+
+
 @against("SELECT c_custkey, c_name, c_acctbal FROM customer")
 def csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     from ..sources.readers import read_files, write_files
