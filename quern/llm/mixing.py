@@ -1,16 +1,24 @@
 """Mixing sources to target weights, in DataFrame operations only.
 
-Each source's texts form one stream of words, packed into blocks of a fixed number of words.  The
-mix is a sequence of slots, cut into output shards.  Which slot shows which source is a uniform
-draw over all arrangements with the targets' totals: every shard's source counts are a multinomial
-draw conditioned on the totals, so the totals meet the targets exactly.  The j-th slot of a source
-shows block perm(j), where perm is a pseudorandom permutation of the source's block indexes, a new
-one for each pass over the source; only the last slot of the last pass is cut to the word.
+Each source's texts form one stream of words, packed into *blocks* of a fixed number of words.  The
+mix is a number of output *shards* of ``SHARD_SLOTS`` slots; a slot shows one block.
+
+1. For every shard the numbers of slots that each source gets are a multinomial draw: each slot draws
+   a source with the odds of the sources' target slots.  Only the counts (a row per shard and
+   source) are kept.
+2. Prefix sums of the counts over the shards number each source's slots.  What the draws take beyond a
+   source's target is left out, what they leave short of it fills closing shards, so the targets are
+   met to the word however few the shards are.
+3. The j-th slot of a source shows block perm(j), perm being a pseudorandom permutation of the
+   source's block indexes, a new one for each pass over the source; only the last slot of the last
+   pass is cut to the word.  Slots are joined with blocks by index, and a document's words come
+   from the slots that show its blocks.
 
 Permutations are swap-or-not shuffles: bijections of [0, n) for any n, evaluated per row, so nothing
 is sorted and no source is gathered.  Where a document starts in its source's stream comes from
 prefix sums in two levels (chunks of a source, then documents in a chunk), so a source with a third
-of all documents is spread over as many tasks as it has chunks.
+of all documents is spread over as many tasks as it has chunks.  Windows without a partition run
+over a row per source only.
 """
 
 from __future__ import annotations
@@ -18,9 +26,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions
+from .common import materialize, one_each, shuffle_partitions, text_hash, unused
 
 BLOCK_WORDS, SHARD_SLOTS, CHUNKS, SEED, ROUNDS = 64, 4096, 1024, 42, 14
+#: Equal parts of the odds by which a slot's draw finds its source.
+CELLS = 4096
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 #: Fixed value: words are runs of anything but the blank and bytes 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -81,25 +91,56 @@ def plan(goals: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) ->
     return p.withColumn("all_slots", F.sum("slots").over(Window.partitionBy(F.lit(0))))
 
 
-def slots(planned: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
-    """(shard, slot, sid, pass, block, words): the mix, a row per slot; words is how many of the block it shows."""
+def draws(planned: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
+    """(shard, sid, drawn): the multinomial draw of each output shard; the last shard may be shorter."""
+    spark = planned.sparkSession
+    total = planned.agg(F.max("all_slots")).first()[0] or 0
+    width = max(1, -(-total // CELLS))
+    # each cell lists the sources whose share of the odds reaches into it
+    cells = planned.filter("slots > 0").select("sid", F.col("first").alias("lo"), (F.col("first") + F.col("slots")).alias("hi"))
+    cells = cells.select("sid", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))).alias("cell"))
+    shards = spark.range(0, -(-total // shard_slots), 1, shuffle_partitions(spark)).withColumnRenamed("id", "shard")
+    slot = F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(shard_slots).cast("long"), F.lit(total) - F.col("shard") * shard_slots) - 1))
+    drawn = shards.select("shard", slot.alias("slot")).withColumn("u", F.pmod(F.xxhash64(F.lit(seed), F.lit("draw"), "shard", "slot"), F.lit(max(1, total))))
+    found = drawn.withColumn("cell", F.floor(F.col("u") / width)).join(cells, "cell").filter("u >= lo and u < hi")
+    return found.groupBy("shard", "sid").agg(F.count(F.lit(1)).alias("drawn"))
+
+
+def shard_counts(planned: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
+    """(shard, sid, n, j): how many slots of each source each output shard has, and the number of the first of them."""
+    drawn = materialize(draws(planned, shard_slots, seed), "draws").withColumn("run", F.floor(F.col("shard") / 4096))
+    # prefix sums in two levels: runs of shards, then shards in a run
+    runs = drawn.groupBy("sid", "run").agg(F.sum("drawn").alias("all"))
+    before = Window.partitionBy("sid").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("base", F.coalesce(F.sum("all").over(before), F.lit(0))).drop("all")
+    here = Window.partitionBy("sid", "run").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    placed = drawn.withColumn("within", F.coalesce(F.sum("drawn").over(here), F.lit(0))).join(runs, ["sid", "run"]).withColumn("j", F.col("base") + F.col("within"))
+    goal = planned.select("sid", "slots", F.ceil(F.col("all_slots") / shard_slots).alias("shards"))
+    counts = placed.join(goal, "sid").select("shard", "sid", F.least("drawn", F.col("slots") - F.col("j")).alias("n"), "j").filter("n > 0")
+    totals = drawn.groupBy("sid").agg(F.sum("drawn").alias("got"))
+    short = goal.join(totals, "sid", "left").withColumn("got", F.coalesce("got", F.lit(0))).filter("got < slots")
+    short = short.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - F.col("got") - 1) / shard_slots))))
+    first = F.col("got") + F.col("k") * shard_slots
+    closing = short.select((F.col("shards") + F.col("k")).cast("long").alias("shard"), "sid", F.least(F.lit(shard_slots), F.col("slots") - first).alias("n"), first.alias("j"))
+    return counts.unionByName(closing)
+
+
+def slots(planned: DataFrame, counts: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
+    """(shard, slot, sid, j, pass, block, words): the mix, a row per slot of the shards' ``counts``; words is how many of the block it shows."""
     j, b = F.col("j"), F.col("blocks")
-    runs = planned.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / 4096)))).filter("slots > 0")
+    in_shard = Window.partitionBy("shard")
+    before = in_shard.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("in_shard", F.sum("n").over(in_shard))
     # a number of partitions of its own: by their bytes, the rows before the explosion would be put into one task
-    s = runs.repartition(shuffle_partitions(planned.sparkSession), "sid", "run").withColumn("j", F.explode(F.sequence(F.col("run") * 4096, F.least(F.col("run") * 4096 + 4095, F.col("slots") - 1))))
+    s = placed.join(planned.drop("first", "slots", "all_slots"), "sid").repartition(shuffle_partitions(planned.sparkSession), "shard", "sid")
+    s = s.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).withColumn("j", j + F.col("i"))
     s = s.withColumn("pass", F.floor(j / b).cast("long")).withColumn("k", F.pmod(j, b))
     s = s.withColumn("block", permuted(F.col("k"), b, F.xxhash64("key", "pass")))
-    s = s.withColumn("out", permuted(F.col("first") + j, F.col("all_slots"), F.lit(seed)))
+    slot = permuted(F.col("offset") + F.col("i"), F.col("in_shard"), F.xxhash64(F.lit(seed), "shard"))
     length = F.when(F.col("block") == b - 1, block_words - F.col("short")).otherwise(F.lit(block_words))
     before = F.col("k") * block_words - F.when(F.col("k") > F.col("short_at"), F.col("short")).otherwise(F.lit(0))
     words = F.when(F.col("pass") < F.col("passes"), length).otherwise(F.least(length, F.greatest(F.col("rest") - before, F.lit(0))))
-    shard = F.floor(F.col("out") / shard_slots).cast("long")
-    return s.select(shard.alias("shard"), (F.col("out") - shard * shard_slots).alias("slot"), "sid", "pass", "block", words.cast("long").alias("words"))
-
-
-def shard_counts(mix: DataFrame) -> DataFrame:
-    """(shard, sid, slots): how many slots of each source each output shard has drawn."""
-    return mix.groupBy("shard", "sid").agg(F.count(F.lit(1)).alias("slots"))
+    return s.select("shard", slot.alias("slot"), "sid", "j", "pass", "block", words.cast("long").alias("words"))
 
 
 def placed(sized: DataFrame, goals: DataFrame) -> DataFrame:
@@ -126,45 +167,53 @@ def pieces(rows: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 
 
 class Mix:
-    """The mix of ``docs``: ``rows`` (a document each), ``slots`` and ``taken`` pieces.
+    """The mix of ``docs``: ``rows`` (a document each), ``counts`` of the shards, ``slots`` and ``taken`` pieces.
 
     Null texts and texts without words have size 0 and are never taken; rows repeated in full are so
     many copies of one document; documents without a source form the last source; an empty table
     makes an empty mix; other columns are ignored.
     """
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, block_words: int = BLOCK_WORDS, seed: int = SEED):
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED):
         sized = materialize(sizes(docs, id_col, text_col, source_col, seed), "sizes")
         goals = materialize(targets(sized, weights, share, most), "targets")
         self.rows = materialize(placed(sized, goals), "placed")
-        self.slots = slots(plan(goals, block_words, seed), block_words, seed=seed)
-        shown = self.slots.select(F.col("sid").alias("_sid"), F.col("block").alias("_block"), "pass", "words")
+        self.plan = materialize(plan(goals, block_words, seed), "plan")
+        self.counts = materialize(shard_counts(self.plan, shard_slots, seed), "shard-counts")
+        self.slots = slots(self.plan, self.counts, block_words, seed)
+        shown = self.slots.select(F.col("sid").alias("_sid"), F.col("block").alias("_block"), "shard", "slot", "pass", "words")
         # Spark takes an exploded table to be as small as its source; none of these sides is, so none may be broadcast
         joined = pieces(self.rows, block_words).join(shown.hint("merge"), (F.col("sid") == F.col("_sid")) & (F.col("block") == F.col("_block")))
-        self.taken = joined.filter("words > lo").select("doc_id", "h", "source", "copy", "pass", "at", (F.least("hi", "words") - F.col("lo")).alias("words"))
+        self.taken = joined.filter("words > lo").select("doc_id", "h", "source", "copy", "shard", "slot", "pass", "at", (F.least("hi", "words") - F.col("lo")).alias("words"))
 
     def per_document(self) -> DataFrame:
-        """(doc_id, size, source_size, target, taken) of every row of the documents."""
-        took = self.taken.groupBy("doc_id", "h", "source", "copy").agg(F.sum("words").alias("taken"))
-        took = took.select(*(F.col(c).alias(f"_{c}") for c in ("doc_id", "h", "source", "copy")), "taken")
+        """(doc_id, size, source_size, target, taken, first_shard) of every row of the documents; first_shard is the first that shows words of it."""
+        took = self.taken.groupBy("doc_id", "h", "source", "copy").agg(F.sum("words").alias("taken"), F.min("shard").alias("first_shard"))
+        took = took.select(*(F.col(c).alias(f"_{c}") for c in ("doc_id", "h", "source", "copy")), "taken", "first_shard")
         every = self.rows.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
         same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("h") == F.col("_h")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("copy") == F.col("_copy"))
-        return every.join(took.hint("merge"), same, "left").select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+        return every.join(took.hint("merge"), same, "left").select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_shard")
 
 
-def mix_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", count_col: str | None = "n_chars", **options) -> DataFrame:
+def mix_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", count_col: str | None = "n_chars", shard_col: str | None = None, slot_col: str | None = None, **options) -> DataFrame:
     """``docs`` as mixed: a row for each pass that takes words of a document, with the text it takes.
 
-    A pass that takes the whole document has its text unchanged; otherwise the words taken, joined by blanks.
+    A pass that takes the whole document has its text unchanged; otherwise the words taken, joined by
+    blanks.  ``shard_col`` and ``slot_col`` name further columns for the first shard and slot that show
+    the row's words.  Null texts and texts without words give no row, an empty table none; rows
+    repeated in id, text and source are so many copies, whose other columns are those of the row
+    whose columns have the least hash; other columns stay as they are, under whatever names.
     """
     mix = Mix(docs, id_col, text_col, source_col, **options)
-    took = mix.taken.groupBy("doc_id", "h", "source", "copy", "pass").agg(F.array_sort(F.collect_list(F.struct("at", F.col("words").alias("n")))).alias("_parts"), F.sum("words").alias("_taken"))
-    took = took.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("source").alias("_source"), "_parts", "_taken")
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    once = docs.withColumn("_hash", F.xxhash64(text)).dropDuplicates([id_col, "_hash", source_col])
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")) & F.col(source_col).cast("string").eqNullSafe(F.col("_source"))
-    joined = once.join(took.hint("merge"), same).withColumn("_words", F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)))
-    parts = F.transform("_parts", lambda p: F.array_join(F.slice(F.col("_words"), (p["at"] + 1).cast("int"), p["n"].cast("int")), " "))
-    out = joined.withColumn("_text", F.when(F.col("_taken") == F.size("_words"), F.col(text_col)).otherwise(F.array_join(parts, " ")))
-    new = {text_col: F.col("_text")} | ({count_col: F.length("_text").cast("long")} if count_col and count_col in docs.columns else {})
-    return out.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns))
+    p = unused(docs)
+    place = [F.min(F.struct("shard", "slot")).alias(f"{p}place")] if shard_col or slot_col else []
+    took = mix.taken.groupBy("doc_id", "h", "source", "copy", "pass").agg(F.array_sort(F.collect_list(F.struct("at", F.col("words").alias("n")))).alias(f"{p}parts"), F.sum("words").alias(f"{p}taken"), *place)
+    took = took.select(F.col("doc_id").alias(f"{p}id"), F.col("h").alias(f"{p}h"), F.col("source").alias(f"{p}source"), f"{p}parts", f"{p}taken", *([f"{p}place"] if place else []))
+    once = one_each(docs.withColumn(f"{p}hash", text_hash(text_col)), [id_col, f"{p}hash", source_col])
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(f"{p}id")) & (F.col(f"{p}hash") == F.col(f"{p}h")) & F.col(source_col).cast("string").eqNullSafe(F.col(f"{p}source"))
+    joined = once.join(took.hint("merge"), same).withColumn(f"{p}words", F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)))
+    parts = F.transform(f"{p}parts", lambda x: F.array_join(F.slice(F.col(f"{p}words"), (x["at"] + 1).cast("int"), x["n"].cast("int")), " "))
+    out = joined.withColumn(f"{p}text", F.when(F.col(f"{p}taken") == F.size(f"{p}words"), F.col(text_col)).otherwise(F.array_join(parts, " ")))
+    new = {text_col: F.col(f"{p}text")} | ({count_col: F.length(f"{p}text").cast("long")} if count_col and count_col in docs.columns else {})
+    more = [F.col(f"{p}place")[field].alias(name) for field, name in (("shard", shard_col), ("slot", slot_col)) if name]
+    return out.select(*(new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns), *more)

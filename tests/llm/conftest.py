@@ -2,7 +2,7 @@ import pytest
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns that operators use inside, so that a clash would show.
-CLASHING = "id long, h long, size long, block long, target double, keep boolean, score double, fp long, ids string, chunk long, n long, _hash long, words long"
+CLASHING = ("id", "h", "size", "block", "target", "keep", "score", "fp", "ids", "chunk", "n", "words", "_hash", "_text_hash", "_row_hash", "_quality", "_kept_id", "_kept_hash", "_id", "_h", "_y", "_source", "_cut", "_cut_id", "_cut_hash", "_text", "_q", "_qid", "_QHash", "k", "root", "row")
 
 LONG = ("lorem ipsum dolor sit amet consectetur " * 3000).strip()
 
@@ -43,9 +43,21 @@ def empty(spark):
 
 @pytest.fixture
 def clashing(spark, odd_rows):
-    """The same rows with further columns under names that the operators use."""
-    n = CLASHING.count(",") + 1
-    return spark.createDataFrame([(*r, *[None] * n) for r in odd_rows], f"{SCHEMA}, {CLASHING}")
+    """The same rows with further columns under names that the operators use, each holding 7."""
+    return spark.createDataFrame([(*r, *[7] * len(CLASHING)) for r in odd_rows], ", ".join([SCHEMA, *(f"{c} long" for c in CLASHING)]))
+
+
+@pytest.fixture
+def unharmed():
+    """Whether a result has the columns of ``clashing``, the further ones unchanged, and returns it without them."""
+
+    def check(df):
+        assert df.columns == [c.split()[0] for c in SCHEMA.split(", ")] + list(CLASHING)
+        for r in df.collect():
+            assert tuple(r)[5:] == (7,) * len(CLASHING)
+        return df.select(*df.columns[:5])
+
+    return check
 
 
 @pytest.fixture

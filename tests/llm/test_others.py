@@ -63,16 +63,59 @@ def test_mix_documents(documents):
     mix = check_mix(documents)
     slots = mix.slots.collect()
     assert len({(r.shard, r.slot) for r in slots}) == len(slots)
-    counts = mixing.shard_counts(mix.slots).collect()
-    assert sum(r.slots for r in counts) == len(slots)
-
-
-def test_mix_odd(odd, empty, clashing, same_rows):
+    assert len({(r.sid, r.j) for r in slots}) == len(slots)
+
+
+def test_shard_draws(documents):
+    """Each shard's counts are drawn by the odds; over all shards they sum to the targets, to the word."""
+    mix = mixing.Mix(documents, shard_slots=50)
+    goals = {r.sid: r for r in mix.plan.collect()}
+    drawn = mixing.draws(mix.plan, 50).collect()
+    total = sum(r.slots for r in goals.values())
+    shards = {r.shard for r in drawn}
+    assert shards == set(range(-(-total // 50))) and sum(r.drawn for r in drawn) == total
+    # a multinomial count of the source with most slots has the mean and spread of its odds
+    top = max(goals.values(), key=lambda r: r.slots)
+    odds = top.slots / total
+    per = [next((r.drawn for r in drawn if (r.shard, r.sid) == (t, top.sid)), 0) for t in sorted(shards)[:-1]]
+    assert abs(np.mean(per) - 50 * odds) < 4 * np.sqrt(50 * odds / len(per)) and np.std(per) > 0
+    kept = {(r.shard, r.sid): r.drawn for r in drawn}
+    counts = mix.counts.collect()
+    for sid, goal in goals.items():
+        assert sum(r.n for r in counts if r.sid == sid) == goal.slots
+    assert all(r.n <= kept[r.shard, r.sid] for r in counts if r.shard in shards)
+    assert sum(r.n for r in counts if r.shard in shards) > 0.8 * total
+    # what documents show comes from these slots
+    by_slot = {(r.shard, r.slot): r for r in mix.slots.collect()}
+    assert sum(r.words for r in by_slot.values()) == sum(g.words for g in goals.values())
+    shown = {}
+    for r in mix.taken.collect():
+        shown[r.shard, r.slot] = shown.get((r.shard, r.slot), 0) + r.words
+    assert all(by_slot[k].words == n for k, n in shown.items()) and len(shown) == sum(r.words > 0 for r in by_slot.values())
+
+
+def test_mix_plan_holds_the_draw(documents):
+    mix = mixing.Mix(documents)
+    files = mix.counts.inputFiles()
+    plan = mix.per_document()._jdf.queryExecution().optimizedPlan().toString()
+    assert files and "first_shard" in plan and "shard#" in plan
+
+
+def test_mix_odd(odd, empty, clashing, unharmed, same_rows):
     check_mix(odd)
     assert mixing.Mix(empty).per_document().collect() == []
+    assert mixing.mix_texts(empty).collect() == []
     assert same_rows(mixing.Mix(clashing).per_document(), mixing.Mix(odd).per_document())
-    wide = mixing.mix_texts(clashing)
-    assert wide.columns == clashing.columns
+    assert same_rows(unharmed(mixing.mix_texts(clashing)), mixing.mix_texts(odd))
+    placed = mixing.mix_texts(odd, shard_col="shard", slot_col="slot")
+    assert placed.columns[-2:] == ["shard", "slot"] and placed.filter("shard is null or slot is null").count() == 0
+
+
+def test_mix_repeats_differ(spark):
+    """Of rows that repeat in id, text and source, the same one gives the other columns in every run."""
+    rows = [(1, "a b c d", "en", "s", 7), (1, "a b c d", "de", "s", 8), (2, "e f", "en", "s", 3)]
+    run = lambda r: sorted(tuple(x) for x in mixing.mix_texts(spark.createDataFrame(r, "doc_id long, text string, lang string, source string, n_chars long")).collect())
+    assert run(rows) == run(rows[::-1])
 
 
 def test_permutations(spark):
