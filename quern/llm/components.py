@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 MOST_ROUNDS = 60
 
@@ -38,7 +38,8 @@ def components(links: DataFrame) -> DataFrame:
         large = materialize(large, "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
-        edges = materialize(small, "small-star")
+        old, edges = edges, materialize(small, "small-star")
+        discard(old, large)
         before, state = state, _state(edges)
         if before == state:
             own = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()

@@ -3,13 +3,18 @@
 Every pair of distinct fingerprints is compared, exactly, unless their population counts alone rule
 it out: fingerprints that differ in r bits differ by at most r in population count, and so does the
 sum of the differences of their parts' counts.  Distinct fingerprints are grouped by these counts
-into groups of bounded size; a pair of groups within reach is one unit of work, which compares tiles
-with exclusive-or and bit counts and skips tile pairs out of reach.  A unit returns a spanning forest of its links, not the links themselves, so a
-group of thousands of near copies makes as many rows as it has members.
-
-The comparison is quadratic in the number of distinct fingerprints; the population counts of the
-whole leave about half of the pairs, those of quarters (used from some 4 million fingerprints on)
-about a fifth.  Copies of a text share a fingerprint and are compared once.
+into groups of bounded size, of which there are as many as it takes; a pair of groups within reach is
+one unit of work, which compares tiles with exclusive-or and bit counts and skips tile pairs out of
+reach.  The comparison is quadratic in the number of distinct fingerprints.  Copies of a text share
+a fingerprint and are compared once.
+
+``near_copies`` links by the radius alone: a unit returns a spanning forest of its links, not the
+links themselves, so a group of thousands of near copies makes as many rows as it has members.
+
+``keep_one`` links by similarity.  Its fingerprints have 128 bits over distinct five-word shingles and
+the tiles find those within ``WIDE`` bits.  In rounds, each fingerprint has its nearest few outside its
+component confirmed by the texts' shingle sets; confirmed pairs join components, refuted ones are
+remembered, and the rounds end when no fingerprint has an unconfirmed neighbour outside its component.
 """
 
 from __future__ import annotations
@@ -22,91 +27,146 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks_of, bounded_batches, keyed_text, map_arrow, materialize, shuffle_partitions
+from .common import blocks_of, bounded_batches, discard, keyed_text, map_arrow, materialize, one_each, shuffle_partitions, text_hash, unused
 from .components import components
+from .shingle_sets import confirmed, shingle_sets
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
-#: Fingerprints in a group at most; the number of groups below which they are smaller and beyond which they are larger.
-GROUP, LEAST_GROUPS, MOST_GROUPS = 65_536, 16, 4096
-#: Rows of the two sides of a tile.
-TILE = (128, 512)
+#: For similarity: words of a shingle, similarity, bits of 128 that may differ.
+#: A pair of similarity 0.8 differs in 19.4 +- 4.1 of 128 bits, an unrelated one in 64 +- 5.7.
+SIMILAR_SHINGLE, SIMILARITY, WIDE = 5, 0.8, 32
+#: Neighbours of a fingerprint that one round confirms.
+NEAREST, MOST_ROUNDS = 3, 100
+#: Fingerprints in a group at most; the number of groups below which they are smaller.
+GROUP, LEAST_GROUPS = 65_536, 16
+#: Rows of the two sides of a tile, pairs that a unit holds before it drops all but the nearest, shingles turned into bits at once.
+TILE, HELD, AT_ONCE = (128, 512), 1_000_000, 200_000
+
+
+def _second(hashes: np.ndarray) -> np.ndarray:
+    """Another 64 bits of each hash."""
+    h = hashes ^ (hashes >> np.uint64(30))
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(27)
+    h *= np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _ones(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How many of each text's hashes have each bit; ``counts`` says how many of ``hashes`` belong to each text."""
+    out = np.zeros((len(counts), 64), np.int64)
+    ends = np.cumsum(counts)
+    for lo in range(0, len(hashes), AT_ONCE):
+        hi = min(len(hashes), lo + AT_ONCE)
+        first, last = np.searchsorted(ends, lo, "right"), np.searchsorted(ends, hi, "left")
+        starts = np.maximum(ends[first : last + 1] - counts[first : last + 1], lo) - lo
+        bits = np.unpackbits(np.ascontiguousarray(hashes[lo:hi], "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        out[first : last + 1] += np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
+    return out
 
 
-def fingerprint_block(texts: list[str], shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
-    """Fingerprints (uint64) of texts."""
+def fingerprint_block(texts: list[str], shingle: int = SHINGLE, seed: int = SEED, words: int = 1, distinct: bool = False) -> np.ndarray:
+    """Fingerprints of texts: (n, words) uint64.  ``distinct`` counts repeated shingles of a text once."""
     digest = xxhash.xxh64_intdigest
-    hashes: list[int] = []
+    hashes: list[np.ndarray] = []
     counts = np.zeros(len(texts), np.int64)
     for i, text in enumerate(texts):
-        words = text.encode().lower().split()  # on bytes: A-Z only, and the six white-space bytes
-        if not words:
-            continue
-        joined = b" ".join(words)
-        if len(words) <= shingle:
-            hashes.append(digest(joined, seed))
-            counts[i] = 1
+        parts = text.encode().lower().split()  # on bytes: A-Z only, and the six white-space bytes
+        if not parts:
             continue
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(size + 1) - 1
-        starts = (ends - size)[: len(words) - shingle + 1].tolist()
-        hashes += [digest(joined[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)]
-        counts[i] = len(starts)
-    out = np.zeros(len(texts), np.uint64)
+        joined = b" ".join(parts)
+        if len(parts) <= shingle:
+            own = np.array([digest(joined, seed)], np.uint64)
+        else:
+            size = np.fromiter(map(len, parts), np.int64, len(parts))
+            ends = np.cumsum(size + 1) - 1
+            starts = (ends - size)[: len(parts) - shingle + 1].tolist()
+            own = np.array([digest(joined[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)], np.uint64)
+            if distinct:
+                own = np.unique(own)
+        hashes.append(own)
+        counts[i] = len(own)
+    out = np.zeros((len(texts), words), np.uint64)
     full = np.flatnonzero(counts)
     if len(full):
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ends = np.cumsum(counts[full])
-        ones = np.add.reduceat(bits, ends - counts[full], axis=0, dtype=np.int64)
-        out[full] = np.packbits(2 * ones > counts[full][:, None], axis=1, bitorder="little").view("<u8").ravel()
+        every = np.concatenate(hashes)
+        for k in range(words):
+            every = every if k == 0 else _second(every)
+            ones = _ones(every, counts[full])
+            out[full, k] = np.packbits(2 * ones > counts[full][:, None], axis=1, bitorder="little").view("<u8").ravel()
     return out
 
 
-def _fingerprints(shingle: int, seed: int):
+def _fingerprints(shingle: int, seed: int, words: int, distinct: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in blocks_of(batches, "text", 1_000_000):
             table = pa.Table.from_batches(held)
-            fp = fingerprint_block(table.column("text").to_pylist(), shingle, seed)
-            yield pa.RecordBatch.from_arrays([table.column("id").combine_chunks(), table.column("h").combine_chunks(), pa.array(fp.view(np.int64))], names=["id", "h", "fp"])
+            fp = fingerprint_block(table.column("text").to_pylist(), shingle, seed, words, distinct).view(np.int64)
+            columns = {"id": table.column("id").combine_chunks(), "h": table.column("h").combine_chunks(), "fp": pa.array(np.ascontiguousarray(fp[:, 0]))}
+            if words == 2:
+                columns["fp2"] = pa.array(np.ascontiguousarray(fp[:, 1]))
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return run
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, h, fp) of every row; h is the text's hash.  Null and empty texts have fingerprint 0."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return map_arrow(keyed_text(docs, id_col, text_col, F.xxhash64(text).alias("h")), _fingerprints(shingle, seed), "id long, h long, fp long")
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", words: int = 1, distinct: bool = False) -> DataFrame:
+    """(id, h, fp) of every row, and fp2 for two words; h is the text's hash.  Null and empty texts have fingerprint 0."""
+    return map_arrow(keyed_text(docs, id_col, text_col, text_hash(text_col).alias("h")), _fingerprints(shingle, seed, words, distinct), "id long, h long, fp long" + (", fp2 long" if words == 2 else ""))
+
+
+def _order(fp: np.ndarray) -> np.ndarray:
+    """The order by the counts of the quarters, in which tiles are cut."""
+    return np.lexsort(_parts(fp, 4).T[::-1])
 
 
-def _tiles(fp: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(fingerprints ordered by the counts of their quarters, first row of each tile, its least and greatest counts)."""
-    counts = _parts(fp, 4)
-    order = np.lexsort(counts.T[::-1])
-    counts, starts = counts[order], np.arange(0, len(fp), rows)
-    return fp[order], starts, np.minimum.reduceat(counts, starts), np.maximum.reduceat(counts, starts)
+def _tiles(fp: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first row of each tile, its least and greatest counts by quarter) of ordered fingerprints."""
+    starts, counts = np.arange(0, len(fp), rows), _parts(fp, 4)
+    return starts, np.minimum.reduceat(counts, starts), np.maximum.reduceat(counts, starts)
+
+
+def _meetings(x: list[np.ndarray], y: list[np.ndarray], radius: int, same: bool) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(i, j, distances) of all tile pairs within reach; of ``x`` with itself each pair of tiles once.
+
+    ``x`` and ``y`` are the fingerprints by word, ordered by the first, whose counts say what is within reach.
+    """
+    i_start, i_low, i_high = _tiles(x[0], TILE[0])
+    j_start, j_low, j_high = _tiles(y[0], TILE[1])
+    for t, i in enumerate(i_start.tolist()):
+        near = np.maximum(np.maximum(i_low[t] - j_high, j_low - i_high[t]), 0).sum(axis=1) <= radius
+        if same:
+            near &= j_start + TILE[1] > i
+        for j in j_start[near].tolist():
+            yield i, j, sum(np.bitwise_count(p[i : i + TILE[0], None] ^ q[j : j + TILE[1]]) for p, q in zip(x, y, strict=True))
+
+
+def _roots(parent: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """The roots of ``nodes``, whose paths are shortened."""
+    top = parent[nodes]
+    while (parent[top] != top).any():
+        top = parent[parent[top]]
+    parent[nodes] = top
+    return top
 
 
 def forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Spanning stars of the links within ``a`` (b None) or between ``a`` and ``b``: (fingerprint, its root)."""
     if not len(a) or (b is not None and not len(b)):
         return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    x, i_start, i_low, i_high = _tiles(a, TILE[0])
-    y, j_start, j_low, j_high = _tiles(a if b is None else b, TILE[1])
+    x = a[_order(a)]
+    y = x if b is None else b[_order(b)]
     shift = 0 if b is None else len(x)
     every = x if b is None else np.concatenate((x, y))
-    root = np.arange(len(every))
-    gap = np.maximum(np.maximum(i_low[:, None] - j_high, j_low - i_high[:, None]), 0).sum(axis=2)
-    todo = gap <= radius
-    if b is None:
-        todo &= j_start + TILE[1] > i_start[:, None]
-    for i, j in zip(*(k.tolist() for k in np.nonzero(todo)), strict=True):
-        i, j = int(i_start[i]), int(j_start[j])
-        near = np.bitwise_count(x[i : i + TILE[0], None] ^ y[j : j + TILE[1]]) <= radius
+    parent = np.arange(len(every))
+    for i, j, distance in _meetings([x], [y], radius, b is None):
+        near = distance <= radius
         if not near.any():
             continue
         for r in np.flatnonzero(near.any(axis=1)).tolist():
-            labels = np.unique(np.append(root[shift + j + np.flatnonzero(near[r])], root[i + r]))
-            if len(labels) > 1:
-                root[np.isin(root, labels)] = labels[0]
+            labels = np.unique(_roots(parent, np.append(shift + j + np.flatnonzero(near[r]), i + r)))
+            parent[labels] = labels[0]
+    root = _roots(parent, np.arange(len(every)))
     linked = np.flatnonzero(root != np.arange(len(every)))
     return every[linked], every[root[linked]]
 
@@ -121,6 +181,67 @@ def _unit(radius: int):
     return run
 
 
+def nearest(fp: np.ndarray, label: np.ndarray, sides: tuple[np.ndarray, np.ndarray | None], refuted: np.ndarray, wide: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, other row, distance): for each row of ``fp`` (n, 2) the ``most`` nearest rows with other labels, refuted pairs left out.
+
+    ``sides`` are the rows to compare: the first with the second, or with itself where that is None.
+    ``refuted`` holds pairs as row * n + other row, both ways round.
+    """
+    n = len(fp)
+    a = sides[0][_order(fp[sides[0], 0])]
+    b = a if sides[1] is None else sides[1][_order(fp[sides[1], 0])]
+    kept = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint8))
+    worst = np.full(n, wide + 1, np.uint8)
+    buffer: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    held = 0
+
+    def reduced():
+        u, v, d = (np.concatenate(c) for c in zip(kept, *buffer, strict=True))
+        u, v, d = u[o := np.lexsort((v, d, u))], v[o], d[o]
+        first = np.r_[True, (u[1:] != u[:-1])] if len(u) else np.empty(0, bool)
+        rank = np.arange(len(u)) - np.maximum.accumulate(np.where(first, np.arange(len(u)), 0)) if len(u) else np.empty(0, np.int64)
+        last = rank == most - 1
+        worst[u[last]] = d[last]
+        return u[rank < most], v[rank < most], d[rank < most]
+
+    if len(a) and len(b):
+        words = lambda side: [np.ascontiguousarray(fp[side, k]) for k in range(fp.shape[1])]
+        for i, j, distance in _meetings(words(a), words(b), wide, sides[1] is None):
+            if not (close := distance <= wide).any():
+                continue
+            r, c = np.nonzero(close)
+            u, v, d = a[i + r], b[j + c], distance[r, c]
+            fine = (label[u] != label[v]) & ((d < worst[u]) | (d < worst[v]))
+            if sides[1] is None:
+                fine &= (i + r) < (j + c)
+            if not fine.any():
+                continue
+            u, v, d = u[fine], v[fine], d[fine]
+            if len(refuted):
+                open_ = ~np.isin(u * n + v, refuted)
+                u, v, d = u[open_], v[open_], d[open_]
+            buffer.append((np.append(u, v), np.append(v, u), np.append(d, d)))
+            held += 2 * len(u)
+            if held > HELD:
+                kept, buffer, held = reduced(), [], 0
+    return reduced()
+
+
+def _nearest_unit(wide: int, most: int):
+    def run(table: pa.Table) -> pa.Table:
+        column = lambda c: table.column(c).to_numpy()
+        fp = np.column_stack((column("fp"), column("fp2"))).view(np.uint64)
+        node, group = column("node"), column("g")
+        first, last = table.column("ga")[0].as_py(), table.column("gb")[0].as_py()
+        at = {x: i for i, x in enumerate(node.tolist())}
+        refuted = [i * len(node) + at[x] for i, no in enumerate(table.column("no").to_pylist()) for x in no or () if x in at]
+        sides = (np.flatnonzero(group == first), None if first == last else np.flatnonzero(group == last))
+        u, v, d = nearest(fp, column("label"), sides, np.array(refuted, np.int64), wide, most)
+        return pa.table({"u": node[u], "v": node[v], "d": pa.array(d.astype(np.int32))})
+
+    return run
+
+
 def _parts(fp: np.ndarray, parts: int) -> np.ndarray:
     """Population counts of ``parts`` equal parts of each fingerprint, the highest part first."""
     kind = {1: "<u8", 2: "<u4", 4: "<u2"}[parts]
@@ -162,8 +283,21 @@ def _groups(counts: dict[int, int], parts: int, size: int) -> tuple[list[tuple[i
     return cells, np.array(low, np.int64).reshape(-1, parts), np.array(high, np.int64).reshape(-1, parts)
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, group: int = GROUP, parts: int | None = None) -> DataFrame:
-    """(u, v): spanning links of the distinct fingerprints ``fp`` within ``radius`` bits.
+def _reach(low: np.ndarray, high: np.ndarray, radius: int):
+    """For each group the groups whose counts lie within reach, itself included."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for g in batch.column("id").to_pylist():
+                gap = np.maximum(np.maximum(low - high[g], low[g] - high), 0).sum(axis=1)
+                others = np.flatnonzero(gap <= radius).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(others), g, np.int32)), pa.array(others)], names=["g", "other"])
+
+    return run
+
+
+def _units(distinct: DataFrame, radius: int, group: int, parts: int | None) -> DataFrame | None:
+    """The rows of ``distinct``, each once for every pair of groups (ga, gb) in which it is compared; None without rows.
 
     Few fingerprints are grouped by the population count of the whole, more by those of halves or
     quarters: the sum of the parts' differences bounds the distance from below, and finer parts rule
@@ -173,28 +307,26 @@ def links(distinct: DataFrame, radius: int = RADIUS, group: int = GROUP, parts:
     bounded_batches(spark)
     total = distinct.count()
     if not total:
-        return distinct.select(F.col("fp").alias("u"), F.col("fp").alias("v"))
+        return None
     parts = parts or (1 if total < 16 * group else 2 if total < 64 * group else 4)
-    # the number of groups that a fingerprint goes to stays the same as long as the groups can grow
-    size = max(min(group, -(-total // LEAST_GROUPS)), -(-total // MOST_GROUPS))
+    size = min(group, -(-total // LEAST_GROUPS))
     counts = dict(distinct.groupBy(_cell(parts).alias("cell")).count().collect())  # 65, 33^2 or 17^4 rows at most
     cells, low, high = _groups(counts, parts, size)
-    reach = []
-    for i in range(len(low)):
-        gap = np.maximum(np.maximum(low - high[i], low[i] - high), 0).sum(axis=1)
-        reach.append((i, np.flatnonzero(gap <= radius).tolist()))
     placed = spark.createDataFrame(cells, "cell int, first int, divided int")
-    near = spark.createDataFrame(reach, "g int, others array<int>")
-    dealt = (
-        distinct.select("fp", _cell(parts).alias("cell"))
-        .join(F.broadcast(placed), "cell")
-        .select("fp", (F.col("first") + F.pmod(F.xxhash64("fp"), F.col("divided"))).cast("int").alias("g"))
-        .join(F.broadcast(near), "g")
-        .select("fp", "g", F.explode("others").alias("other"))
-        .select("fp", "g", F.least("g", "other").alias("ga"), F.greatest("g", "other").alias("gb"))
-    )
+    # the pairs of groups grow with the square of their number, so they are made and joined by the tasks
+    near = map_arrow(spark.range(0, len(low), 1, min(len(low), shuffle_partitions(spark))), _reach(low, high, radius), "g int, other int")
+    dealt = distinct.withColumn("cell", _cell(parts)).join(F.broadcast(placed), "cell").withColumn("g", (F.col("first") + F.pmod(F.xxhash64("fp"), F.col("divided"))).cast("int"))
+    dealt = dealt.drop("cell", "first", "divided").join(near, "g").withColumn("ga", F.least("g", "other")).withColumn("gb", F.greatest("g", "other")).drop("other")
     # a unit is much work on few bytes, so the units are spread by number, not put together by size
-    return dealt.repartition(shuffle_partitions(spark), "ga", "gb").groupBy("ga", "gb").applyInArrow(_unit(radius), "u long, v long")
+    return dealt.repartition(shuffle_partitions(spark), "ga", "gb")
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, group: int = GROUP, parts: int | None = None) -> DataFrame:
+    """(u, v): spanning links of the distinct fingerprints ``fp`` within ``radius`` bits."""
+    units = _units(distinct.select("fp"), radius, group, parts)
+    if units is None:
+        return distinct.select(F.col("fp").alias("u"), F.col("fp").alias("v"))
+    return units.groupBy("ga", "gb").applyInArrow(_unit(radius), "u long, v long")
 
 
 def near_copies(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -214,11 +346,55 @@ def near_copies(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, s
     return prints.join(classes, "fp").select(F.col("id").alias("doc_id"), F.col("h").alias("text_hash"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: the one with the smallest id (then the smallest text hash)."""
-    classes = near_copies(docs, radius, shingle, seed, id_col, text_col)
-    kept = classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("k")).select(F.col("k.doc_id").alias("_kept_id"), F.col("k.text_hash").alias("_kept_hash"))
-    kept = materialize(kept, "kept")
-    text = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id")) & (F.col("_text_hash") == F.col("_kept_hash"))
-    return docs.withColumn("_text_hash", text).join(kept, same, "left_semi").dropDuplicates([id_col, "_text_hash"]).drop("_text_hash")
+def similar_roots(docs: DataFrame, prints: DataFrame, similarity: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE, wide: int = WIDE, most: int = NEAREST, text_col: str = "text", group: int = GROUP) -> tuple[DataFrame, DataFrame | None]:
+    """(nodes, roots): the distinct fingerprints (fp, fp2, node, least) and (node, root) of those with near copies.
+
+    node is the least text hash of a fingerprint, least its least row.
+    """
+    row = F.struct(F.col("id").isNull().alias("none"), "id", "h")
+    nodes = materialize(prints.groupBy("fp", "fp2").agg(F.min("h").alias("node"), F.min(row).alias("least")), "nodes")
+    active = nodes.select("fp", "fp2", "node", F.col("node").alias("label"), F.array().cast("array<long>").alias("no"))
+    sets = found = refuted = roots = None
+    for _ in range(MOST_ROUNDS):
+        units = _units(active, wide, group, None)
+        if units is None:
+            return nodes, roots
+        close = units.groupBy("ga", "gb").applyInArrow(_nearest_unit(wide, most), "u long, v long, d int")
+        # of what the units bring, the nearest few of each
+        few = close.groupBy("u").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "v"))), 1, most).alias("few")).select("u", F.explode("few.v").alias("v"))
+        pairs = materialize(few.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "pairs")
+        if pairs.isEmpty():
+            return nodes, roots
+        ends = materialize(pairs.select("u").unionByName(pairs.select(F.col("v").alias("u"))).distinct().withColumnRenamed("u", "h"), "ends")
+        if sets is None:  # later rounds meet no other texts
+            sets = shingle_sets(docs, ends, shingle, text_col)
+        checked = confirmed(pairs, sets, similarity)
+        fine, wrong = checked.filter("similar").select("u", "v"), checked.filter("not similar").select("u", "v")
+        found = fine if found is None else found.unionByName(fine)
+        refuted = wrong if refuted is None else refuted.unionByName(wrong)
+        discard(*([roots] if roots is not None else []))
+        roots = materialize(components(found), "similar-roots")
+        no = refuted.unionByName(refuted.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy("u").agg(F.collect_set("v").alias("no"))
+        labelled = nodes.join(ends.withColumnRenamed("h", "node"), "node", "left_semi").join(roots, "node", "left").join(no.withColumnRenamed("u", "node"), "node", "left")
+        active = materialize(labelled.select("fp", "fp2", "node", F.coalesce("root", "node").alias("label"), "no"), "active")
+    raise RuntimeError(f"near copies did not settle in {MOST_ROUNDS} rounds")
+
+
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
+    """``docs`` with one row of each component of near copies: the one with the smallest id, then the smallest text hash.
+
+    Null and empty texts, and those without words, are copies of each other; a null id comes last;
+    of rows that repeat in id and text the one whose other columns have the least hash stays; an
+    empty table gives no rows; other columns stay as they are, under whatever names.  Texts whose
+    128 bits agree count as copies without a look at their shingles.
+    """
+    prints = materialize(fingerprints(docs, shingle, id_col=id_col, text_col=text_col, words=2, distinct=True), "fingerprints")
+    nodes, roots = similar_roots(docs, prints, similarity, shingle, text_col=text_col, group=group)
+    least = nodes.select("node", "least")
+    if roots is not None:
+        least = least.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
+    p = unused(docs)
+    kept = materialize(least.select(F.col("least.id").alias(f"{p}id"), F.col("least.h").alias(f"{p}kept")), "kept")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(f"{p}id")) & (F.col(f"{p}hash") == F.col(f"{p}kept"))
+    hashed = docs.withColumn(f"{p}hash", text_hash(text_col))
+    return one_each(hashed.join(kept, same, "left_semi"), [id_col, f"{p}hash"]).drop(f"{p}hash")

@@ -2,24 +2,11 @@
 
 import random
 
-import corpus_pipeline
-from quern.llm import near_copies
-
-
-def shingles(text):
-    words = text.lower().split()
-    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set())
+import numpy as np
 
-
-def components(texts, least=0.8):
-    sets = [shingles(t) for t in texts]
-    root = list(range(len(texts)))
-    for i, a in enumerate(sets):
-        for j in range(i):
-            if len(a & sets[j]) >= least * len(a | sets[j]):
-                old, new = root[i], root[j]
-                root = [new if r == old else r for r in root]
-    return root
+import corpus_pipeline
+from brute import components
+from quern.llm import simhash
 
 
 def corpus():
@@ -55,15 +42,58 @@ def test_stage_keeps_one_of_each_component(spark):
     assert got == sorted(want)
 
 
-def test_odd(spark, odd, odd_rows, empty):
-    kept = near_copies.keep_one(odd)
+def test_odd(odd, odd_rows, empty, clashing, unharmed, same_rows):
+    kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns
     texts = [r[1] or "" for r in odd_rows]
     assert kept.count() == len(set(components(texts)))
-    assert near_copies.keep_one(empty).count() == 0
+    assert simhash.keep_one(empty).count() == 0
+    assert same_rows(unharmed(simhash.keep_one(clashing)), kept)
 
 
-def test_real_documents(spark, documents):
+def test_real_documents(documents):
     rows = sorted((r.doc_id, r.text or "") for r in documents.collect() if r.doc_id is not None)
     root = components([t for _, t in rows])
-    assert near_copies.keep_one(documents.filter("doc_id is not null")).count() == len(set(root))
+    assert simhash.keep_one(documents.filter("doc_id is not null")).count() == len(set(root))
+
+
+def test_small_groups(spark):
+    """Groups of a few fingerprints each, so that most pairs meet between groups, keep the same rows."""
+    docs = spark.createDataFrame(list(enumerate(corpus())), "doc_id long, text string")
+    key = lambda df: sorted(r.doc_id for r in df.collect())
+    assert key(simhash.keep_one(docs, group=20)) == key(simhash.keep_one(docs))
+
+
+def test_nearest():
+    """The nearest rows with other labels, by brute force, with refuted pairs and a small buffer."""
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 63, (20, 2), dtype=np.uint64)
+    fp = np.repeat(base, 30, axis=0)
+    for _ in range(6):
+        fp[np.arange(600), rng.integers(0, 2, 600)] ^= np.uint64(1) << rng.integers(0, 63, 600).astype(np.uint64)
+    label = rng.integers(0, 40, 600)
+    refuted = np.unique(rng.integers(0, 600, (2000, 2)), axis=0)
+    refuted = np.unique(np.concatenate((refuted[:, 0] * 600 + refuted[:, 1], refuted[:, 1] * 600 + refuted[:, 0])))
+    every = np.bitwise_count(fp[:, None] ^ fp[None]).sum(axis=2)
+    banned = np.zeros((600, 600), bool)
+    banned.flat[refuted] = True
+    for sides in ((np.arange(600), None), (np.arange(250), np.arange(250, 600))):
+        across = np.ones((600, 600), bool) if sides[1] is None else (np.arange(600) < 250)[:, None] != (np.arange(600) < 250)
+        fine = (every <= 32) & (label[:, None] != label) & ~banned & across
+        want = [sorted(every[i][fine[i]].tolist())[:3] for i in range(600)]
+        for held in (simhash.HELD, 50):
+            old, simhash.HELD = simhash.HELD, held
+            u, v, d = simhash.nearest(fp, label, sides, refuted, 32, 3)
+            simhash.HELD = old
+            assert fine[u, v].all() and (every[u, v] == d).all()
+            assert [sorted(d[u == i].tolist()) for i in range(600)] == want
+
+
+def test_fingerprint_words():
+    """Both words against counts of bits; a long text is counted in parts."""
+    text = " ".join(f"w{k % 977}" for k in range(3000))
+    old, simhash.AT_ONCE = simhash.AT_ONCE, 700
+    small = simhash.fingerprint_block(["", "one two", text, text + " x", "One  two"], 5, 42, 2, True)
+    simhash.AT_ONCE = old
+    assert (small == simhash.fingerprint_block(["", "one two", text, text + " x", "One  two"], 5, 42, 2, True)).all()
+    assert not small[0].any() and (small[1] == small[4]).all()
