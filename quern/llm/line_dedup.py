@@ -4,32 +4,36 @@ A *run* is consecutive lines with at least ``min_words`` words together.  A line
 if it lies in a run whose lines all stand, in the same order, at an earlier place (smaller document
 id, then text hash, then line number).
 
-1. A window is a shortest run from a given line.  Of each window the line with the least hash is
-   selected (the last one on ties).  A repeated run contains a whole window, which selects the same
-   line wherever it stands, so every repeated run has a selected line in common.
-2. Selected lines are joined with those whose hash was selected twice or more; most lines go here.
-3. Around each remaining position the match is extended both ways: to the shortest runs, from each
-   start and to each end, that contain it.  They are compared by hash, against the earliest place
-   of each, so thousands of copies make as many rows and never pairs.
-4. Runs whose hash has an earlier place are merged and cut from their texts.
-
-Counts and earliest places are aggregated before each exchange; joins on frequent hashes are
-sort-merge joins that adaptive execution splits.
+1. A window is a shortest run from a given line or to one.  Of each window the line with the least hash
+   is selected (the last one on ties).  A repeated run contains a whole window, which selects the
+   same line wherever it stands, so every repeated run has a selected line in common.
+2. Selected positions are joined with those whose hash was selected twice or more; most go here.
+3. The windows around each remaining position are joined with the earliest place of the same window.
+4. From there a match extends both ways, window by window: the windows before and after it that meet the
+   same earlier document at the same distance become one match.  The lines of the earlier document
+   are never sent to its later copies, of which there may be any number.
+5. What the matches of a document cover is cut from its text.
+
+A document takes time in proportion to its lines: window minima come from one pass over a queue, and
+a window's hash from the prefix hashes at its ends.  Counts and earliest places are aggregated before
+each exchange; joins on frequent hashes are sort-merge joins that adaptive execution splits.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterable, Iterator
 
-import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_text, map_arrow, materialize
+from .common import keyed_text, map_arrow, materialize, text_hash, unused
 
 MIN_WORDS, SEED = 50, 9
+#: Prefix hashes are polynomials in BASE modulo a prime.
+PRIME, BASE = (1 << 61) - 1, 0x1B873593CC9E2D51 % ((1 << 61) - 1)
 
 LINES = "id long, th long, hashes array<long>, words array<int>, picks array<int>"
 
@@ -58,13 +62,29 @@ def shortest_runs(words: list[int], least: int) -> list[tuple[int, int]]:
 
 
 def picks(hashes: list[int], words: list[int], least: int) -> list[int]:
-    """The lines that winnowing selects."""
-    chosen = set()
+    """The lines that winnowing selects; both ends of the windows only move forward."""
+    chosen, queue, end = set(), deque(), 0
     for a, b in shortest_runs(words, least):
-        chosen.add(min(range(a, b + 1), key=lambda i: (hashes[i], -i)))
+        for i in range(end, b + 1):
+            while queue and hashes[queue[-1]] >= hashes[i]:
+                queue.pop()
+            queue.append(i)
+        end = max(end, b + 1)
+        while queue[0] < a:
+            queue.popleft()
+        chosen.add(queue[0])
     return sorted(chosen)
 
 
+def run_hashes(hashes: list[int], runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Two hashes of each run: of all its lines, and of its first and last one."""
+    total, power, at = 0, 1, [(0, 1)]
+    for h in hashes:
+        total, power = (total * BASE + (h & 0x7FFFFFFFFFFFFFFF) + (h < 0) + 1) % PRIME, power * BASE % PRIME
+        at.append((total, power))
+    return [((at[b + 1][0] - at[a][0] * at[b + 1 - a][1]) % PRIME, (hashes[a] * 31 + hashes[b] + b - a + (1 << 63)) % (1 << 64) - (1 << 63)) for a, b in runs]
+
+
 def _lines(least: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
@@ -82,48 +102,81 @@ def _lines(least: int):
     return run
 
 
-def _extend(least: int):
+def _windows(least: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[int, int, int, int, int]] = []
+            out: list[tuple[int, int, int, int, int, int]] = []
             for r in batch.to_pylist():
-                at = sorted(r["at"])
-                hashes = np.array(r["hashes"], "<i8")
+                at, k, runs = sorted(r["at"]), 0, []
                 for a, b in shortest_runs(r["words"], least):
-                    k = np.searchsorted(at, a)
+                    while k < len(at) and at[k] < a:
+                        k += 1
                     if k < len(at) and at[k] <= b:
-                        out.append((r["id"], r["th"], a, b, xxhash.xxh64_intdigest(hashes[a : b + 1].tobytes(), SEED) - (1 << 63)))
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["id", "th", "lo", "hi", "run"])
+                        runs.append((a, b))
+                out += [(r["id"], r["th"], a, b, *h) for (a, b), h in zip(runs, run_hashes(r["hashes"], runs), strict=True)]
+            columns = list(zip(*out, strict=True)) or [()] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["id", "th", "lo", "hi", "run", "edge"])
 
     return run
 
 
-def _merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        merged = []
-        for spans in batch.column("spans").to_pylist():
-            out: list[dict[str, int]] = []
-            for s in sorted(spans, key=lambda s: (s["lo"], s["hi"])):
-                if out and s["lo"] <= out[-1]["hi"] + 1:
-                    out[-1]["hi"] = max(out[-1]["hi"], s["hi"])
-                else:
-                    out.append(dict(s))
-            merged.append(out)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), pa.array(merged, pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))], names=["id", "th", "cut"])
+def extended(windows: list[tuple[int, int, tuple, int]]) -> list[tuple[int, int, tuple, int]]:
+    """(first, last line, earlier document, its line) of each match.
+
+    ``windows`` says for each matched window where it begins in the earlier document; those that lie
+    equally far apart in both documents, without a line between them, are one match.
+    """
+    out: list[list] = []
+    for lo, hi, place, at in sorted(windows, key=lambda w: (w[2], w[3] - w[0], w[0], w[1])):
+        if out and out[-1][2] == place and out[-1][3] - out[-1][0] == at - lo and lo <= out[-1][1] + 1:
+            out[-1][1] = max(out[-1][1], hi)
+        else:
+            out.append([lo, hi, place, at])
+    return sorted(tuple(m) for m in out)
+
 
+def covered(matches: list[tuple[int, int, tuple, int]]) -> list[tuple[int, int]]:
+    """The lines that matches cover, as runs."""
+    out: list[list[int]] = []
+    for lo, hi, *_ in matches:
+        if out and lo <= out[-1][1] + 1:
+            out[-1][1] = max(out[-1][1], hi)
+        else:
+            out.append([lo, hi])
+    return [(a, b) for a, b in out]
 
-def _text_hash(text_col: str) -> Column:
-    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+def between(cut: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(first line, counted from 1; number of lines) of the stretches around the cuts, the last one as long as any."""
+    starts = [1, *(b + 2 for _, b in cut)]
+    return [(s, a + 1 - s) for s, (a, _) in zip(starts, cut)] + [(starts[-1], 1 << 30)]
+
+
+SPAN, STRETCH = ([(c, pa.int32()) for c in names] for names in (("lo", "hi"), ("at", "n")))
+MATCHES = "id long, th long, cut array<struct<lo:int,hi:int>>, kept array<struct<at:int,n:int>>, matches array<struct<lo:int,hi:int,id:long,line:int>>"
+
+
+def _matches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        cut, kept, found = [], [], []
+        for windows in batch.column("windows").to_pylist():
+            matches = extended([(w["lo"], w["hi"], (w["first"]["none"], w["first"]["id"] or 0, w["first"]["th"]), w["first"]["lo"]) for w in windows])
+            cut.append([{"lo": a, "hi": b} for a, b in covered(matches)])
+            kept.append([{"at": a, "n": n} for a, n in between(covered(matches))])
+            found.append([{"lo": a, "hi": b, "id": None if none else i, "line": line} for a, b, (none, i, _), line in matches])
+        kinds = (pa.list_(pa.struct(fields)) for fields in (SPAN, STRETCH, [*SPAN, ("id", pa.int64()), ("line", pa.int32())]))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), *(pa.array(x, t) for x, t in zip((cut, kept, found), kinds, strict=True))], names=["id", "th", "cut", "kept", "matches"])
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, th, cut array<struct<lo, hi>>): the lines to delete of each document that has any; th is its text's hash.
+    """(id, th, cut, kept, matches) of each document that repeats a run; th is its text's hash.
 
-    Rows repeated in full (id and text) are one document; documents of one id are ordered by text hash;
-    null ids come last; null and empty texts have no run.
+    cut holds the lines to delete, kept the stretches around them, matches the runs with the id and first line of the place they
+    repeat.  Rows repeated in full (id and text) are one document; documents of one id are ordered by
+    text hash; null ids come last; null and empty texts have no run.
     """
-    rows = map_arrow(keyed_text(docs, id_col, text_col, _text_hash(text_col).alias("th")), _lines(min_words), LINES)
+    rows = map_arrow(keyed_text(docs, id_col, text_col, text_hash(text_col).alias("th")), _lines(min_words), LINES)
     lines = materialize(rows.dropDuplicates(["id", "th"]), "lines")
     chosen = lines.select("id", "th", F.explode("picks").alias("at"), "hashes").select("id", "th", "at", F.get("hashes", F.col("at")).alias("h"))
     # written tables on both sides of the joins: what an exchange deals out for a frequent hash can then be split
@@ -131,29 +184,33 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "do
     met = materialize(chosen.join(frequent, "h").select("id", "th", "at"), "met").groupBy("id", "th").agg(F.collect_list("at").alias("at"))
     met = met.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "at")
     around = lines.join(met, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("id", "th", "hashes", "words", "at")
-    runs = materialize(map_arrow(around, _extend(min_words), "id long, th long, lo int, hi int, run long"), "runs")
+    runs = materialize(map_arrow(around, _windows(min_words), "id long, th long, lo int, hi int, run long, edge long"), "windows")
     place = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("th"), F.col("lo"))
-    first = materialize(runs.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1").select("run", "first"), "first-places")
-    later = materialize(runs.join(first, "run").filter(place > F.col("first")).select("id", "th", "lo", "hi"), "later-runs")
-    return map_arrow(later.groupBy("id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), _merge, "id long, th long, cut array<struct<lo:int,hi:int>>")
+    first = materialize(runs.groupBy("run", "edge").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1").select("run", "edge", "first"), "first-places")
+    later = materialize(runs.join(first, ["run", "edge"]).filter(place > F.col("first")).select("id", "th", "lo", "hi", "first"), "later-windows")
+    return map_arrow(later.groupBy("id", "th").agg(F.collect_list(F.struct("lo", "hi", "first")).alias("windows")), _matches, MATCHES)
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "n_chars", details: bool = False) -> DataFrame:
     """``docs`` with later repeated runs deleted from their texts; rows stay, other texts are unchanged.
 
-    ``details`` returns (doc_id, n_lines, n_removed, removed, text) instead; removed is the deleted
-    lines as first-last, joined by commas.
+    Null and empty texts stay as they are; rows repeated in id and text are one document and are cut
+    alike; a null id comes last; an empty table gives no rows; other columns stay as they are, under
+    whatever names.  ``details`` returns (doc_id, n_lines, n_removed, removed, text) instead; removed
+    is the deleted lines as first-last, joined by commas.
     """
-    cut = materialize(repeated_runs(docs, min_words, id_col, text_col), "cut").select(F.col("id").alias("_cut_id"), F.col("th").alias("_cut_hash"), F.col("cut").alias("_cut"))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_cut_id")) & (F.col("_row_hash") == F.col("_cut_hash"))
+    p = unused(docs)
+    found = materialize(repeated_runs(docs, min_words, id_col, text_col), "cut").select(F.col("id").alias(f"{p}id"), F.col("th").alias(f"{p}th"), F.col("cut").alias(f"{p}cut"), F.col("kept").alias(f"{p}kept"))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(f"{p}id")) & (F.col(f"{p}hash") == F.col(f"{p}th"))
     # the cuts grow with the documents, so they are never broadcast: the plan is the same at every size
-    joined = docs.withColumn("_row_hash", _text_hash(text_col)).join(cut.hint("merge"), same, "left")
-    lines = F.split(F.col(text_col).cast("string"), "\n")
-    kept = F.filter(lines, lambda _, i: ~F.exists(F.col("_cut"), lambda s: (i >= s["lo"]) & (i <= s["hi"])))
-    text = F.when(F.col("_cut").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    joined = docs.withColumn(f"{p}hash", text_hash(text_col)).join(found.hint("merge"), same, "left")
+    lines, cut = F.split(F.col(text_col).cast("string"), "\n"), F.col(f"{p}cut")
+    kept = F.flatten(F.transform(f"{p}kept", lambda s: F.slice(lines, s["at"], s["n"])))
+    joined = joined.withColumn(f"{p}text", F.when(cut.isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")))
+    text = F.col(f"{p}text")
     if details:
-        removed = F.coalesce(F.aggregate("_cut", F.lit(0), lambda n, s: n + s["hi"] - s["lo"] + 1), F.lit(0))
-        spans = F.coalesce(F.array_join(F.transform("_cut", lambda s: F.concat(s["lo"].cast("string"), F.lit("-"), s["hi"].cast("string"))), ","), F.lit(""))
+        removed = F.coalesce(F.aggregate(cut, F.lit(0), lambda n, s: n + s["hi"] - s["lo"] + 1), F.lit(0))
+        spans = F.coalesce(F.array_join(F.transform(cut, lambda s: F.concat(s["lo"].cast("string"), F.lit("-"), s["hi"].cast("string"))), ","), F.lit(""))
         return joined.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"), spans.alias("removed"), text.alias("text"))
-    new = {text_col: text} | ({count_col: F.when(F.col("_cut").isNull(), F.col(count_col)).otherwise(F.length(text).cast("long"))} if count_col and count_col in docs.columns else {})
-    return joined.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns))
+    new = {text_col: text} | ({count_col: F.when(cut.isNull(), F.col(count_col)).otherwise(F.length(text).cast("long"))} if count_col and count_col in docs.columns else {})
+    return joined.select(*(new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from brute import brute_cut
 from quern.llm import line_dedup, simhash
 from quern.llm.components import components
 
@@ -57,13 +58,6 @@ def test_odd(odd, odd_rows, empty, clashing):
     assert got(clashing) == got(odd)
 
 
-def test_keep_one(odd, odd_rows):
-    classes = brute([(r[0], r[1]) for r in odd_rows])
-    kept = simhash.keep_one(odd).collect()
-    assert len(kept) == len({c for _, f, c in classes})
-    assert {r.doc_id for r in kept} == {c for _, f, c in classes}
-
-
 def test_forest_links_everything():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 63, 30, dtype=np.uint64)
@@ -124,30 +118,6 @@ def test_components(spark):
 # lines
 
 
-def brute_cut(rows, least=50):
-    """Lines in runs of at least ``least`` words that occurred before."""
-    docs = sorted({(d is None, d or 0, xxhash.xxh64_intdigest((t or "").encode()), t) for d, t in rows}, key=lambda r: r[:3])
-    first, cut = {}, {}
-    texts = [(r[3] or "") for r in docs]
-    for order, text in enumerate(texts):
-        lines = [x.strip() for x in text.split("\n")]
-        words = [len(x.split()) for x in lines]
-        gone = cut.setdefault(order, set())
-        for a in range(len(lines)):
-            total = 0
-            for b in range(a, len(lines)):
-                total += words[b]
-                if total >= least:
-                    key = tuple(lines[a : b + 1])
-                    if key in first and first[key] < (order, a):
-                        gone.update(range(a, b + 1))
-                    else:
-                        first.setdefault(key, (order, a))
-                    if total - words[a] >= least:
-                        break
-    return {(None if r[0] else r[1], r[3] or ""): "\n".join(x for k, x in enumerate((r[3] or "").split("\n")) if k not in cut[i]) for i, r in enumerate(docs)}
-
-
 def test_lines_documents(documents):
     rows = [(r.doc_id, r.text) for r in documents.collect()]
     want = brute_cut(rows)
@@ -168,15 +138,14 @@ def test_lines_random(spark):
         assert {r.doc_id: r.text for r in out} == {d: want[d, t] for d, t in rows}, trial
 
 
-def test_lines_odd(odd, odd_rows, empty, clashing):
+def test_lines_odd(odd, odd_rows, empty, clashing, unharmed, same_rows):
     out = line_dedup.dedup_lines(odd).collect()
     assert len(out) == len(odd_rows)
     by = {r.doc_id: r.text for r in out if r.doc_id is not None}
     assert by[1] is None and by[2] == "" and by[12] == "other\nend"
     assert by[11] == next(r[1] for r in odd_rows if r[0] == 11)
     assert line_dedup.dedup_lines(empty).collect() == []
-    wide = line_dedup.dedup_lines(clashing)
-    assert wide.columns == clashing.columns and wide.count() == len(odd_rows)
+    assert same_rows(unharmed(line_dedup.dedup_lines(clashing)), line_dedup.dedup_lines(odd))
     details = {r.doc_id: r for r in line_dedup.dedup_lines(odd, details=True).collect()}
     assert (details[12].n_lines, details[12].n_removed, details[12].removed) == (3, 1, "1-1")
 
@@ -189,3 +158,47 @@ def test_shortest_runs(words):
         assert sum(words[a + 1 : b + 1]) < 50 or sum(words[a:b]) < 50
     covered = {i for a, b in runs for i in range(a, b + 1)}
     assert covered == (set(range(len(words))) if sum(words) >= 50 else set())
+
+
+def test_picks_by_brute_force():
+    rng = random.Random(9)
+    for _ in range(200):
+        n = rng.randint(0, 40)
+        words, hashes = [rng.choice([0, 0, 1, 7, 20, 60]) for _ in range(n)], [rng.randint(-5, 5) for _ in range(n)]
+        runs = line_dedup.shortest_runs(words, 50)
+        assert line_dedup.picks(hashes, words, 50) == sorted({min(range(a, b + 1), key=lambda i: (hashes[i], -i)) for a, b in runs})
+
+
+def test_run_hashes():
+    """Equal runs, wherever they stand, and only they, have equal hashes."""
+    rng = random.Random(10)
+    hashes = [rng.choice([-(1 << 63), -1, 0, 5, (1 << 63) - 1]) for _ in range(60)]
+    runs = [(a, b) for a in range(60) for b in range(a, min(60, a + 6))]
+    got = line_dedup.run_hashes(hashes, runs)
+    by: dict = {}
+    for (a, b), h in zip(runs, got, strict=True):
+        assert -(1 << 63) <= h[1] < 1 << 63 and 0 <= h[0] < 1 << 61
+        by.setdefault(h, set()).add(tuple(hashes[a : b + 1]))
+    assert all(len(v) == 1 for v in by.values()) and len(by) == len({tuple(hashes[a : b + 1]) for a, b in runs})
+
+
+def test_matches_extend(spark):
+    """A match has its whole length and the place it repeats."""
+    line = [" ".join(f"{k}y{j}" for j in range(30)) for k in range(8)]
+    rows = [(1, "\n".join(["head", *line])), (2, "\n".join([*line[2:7], "tail", line[0], line[1]])), (3, "\n".join(line[4:6]))]
+    found = {r.id: [tuple(m) for m in r.matches] for r in line_dedup.repeated_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {2: [(0, 4, 1, 3), (6, 7, 1, 1)], 3: [(0, 1, 1, 5)]}
+
+
+def test_lines_many(spark):
+    """A million blank lines and very many cuts take time in proportion."""
+    import time
+
+    line = [" ".join(f"{k}z{j}" for j in range(60)) for k in range(2000)]
+    mixed = "\n".join(x for k, y in enumerate(line) for x in (y, f"own {k}"))
+    rows = [(1, line[0] + "\n" * 1_000_000), (2, "\n".join(line[1:])), (3, line[0] + "\n" * 1_000_000 + "end"), (4, mixed)]
+    began = time.time()
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert time.time() - began < 120
+    assert got[1] == rows[0][1] and got[2] == rows[1][1] and got[3] == "end"
+    assert got[4] == "\n".join(f"own {k}" for k in range(2000))
