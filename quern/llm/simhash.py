@@ -33,10 +33,10 @@ from .shingle_sets import confirmed, shingle_sets
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: For similarity: words of a shingle, similarity, bits of 128 that may differ.
-#: A pair of similarity 0.8 differs in 19.4 +- 4.1 of 128 bits, an unrelated one in 64 +- 5.7.
-SIMILAR_SHINGLE, SIMILARITY, WIDE = 5, 0.8, 32
-#: Neighbours of a fingerprint that one round confirms.
-NEAREST, MOST_ROUNDS = 3, 100
+#: A pair of similarity 0.8 differs in 19.4 +- 4.1 of 128 bits, one of 0.85 in 16.5 +- 3.8, an unrelated one in 64 +- 5.7.
+SIMILAR_SHINGLE, SIMILARITY, WIDE = 5, 0.8, 26
+#: Neighbours of a fingerprint that the first round confirms; each further round confirms eight times as many.
+NEAREST, MOST_ROUNDS = 3, 16
 #: Fingerprints in a group at most; the number of groups below which they are smaller.
 GROUP, LEAST_GROUPS = 65_536, 16
 #: Rows of the two sides of a tile, pairs that a unit holds before it drops all but the nearest, shingles turned into bits at once.
@@ -355,14 +355,15 @@ def similar_roots(docs: DataFrame, prints: DataFrame, similarity: float = SIMILA
     nodes = materialize(prints.groupBy("fp", "fp2").agg(F.min("h").alias("node"), F.min(row).alias("least")), "nodes")
     active = nodes.select("fp", "fp2", "node", F.col("node").alias("label"), F.array().cast("array<long>").alias("no"))
     sets = found = refuted = roots = None
-    for _ in range(MOST_ROUNDS):
+    for k in range(MOST_ROUNDS):
+        few = most * 8**k
         units = _units(active, wide, group, None)
         if units is None:
             return nodes, roots
-        close = units.groupBy("ga", "gb").applyInArrow(_nearest_unit(wide, most), "u long, v long, d int")
+        close = units.groupBy("ga", "gb").applyInArrow(_nearest_unit(wide, few), "u long, v long, d int")
         # of what the units bring, the nearest few of each
-        few = close.groupBy("u").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "v"))), 1, most).alias("few")).select("u", F.explode("few.v").alias("v"))
-        pairs = materialize(few.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "pairs")
+        nearby = close.groupBy("u").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "v"))), 1, few).alias("few")).select("u", F.explode("few.v").alias("v"))
+        pairs = materialize(nearby.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "pairs")
         if pairs.isEmpty():
             return nodes, roots
         ends = materialize(pairs.select("u").unionByName(pairs.select(F.col("v").alias("u"))).distinct().withColumnRenamed("u", "h"), "ends")
@@ -372,8 +373,9 @@ def similar_roots(docs: DataFrame, prints: DataFrame, similarity: float = SIMILA
         fine, wrong = checked.filter("similar").select("u", "v"), checked.filter("not similar").select("u", "v")
         found = fine if found is None else found.unionByName(fine)
         refuted = wrong if refuted is None else refuted.unionByName(wrong)
-        discard(*([roots] if roots is not None else []))
-        roots = materialize(components(found), "similar-roots")
+        if roots is None or not fine.isEmpty():
+            old, roots = roots, materialize(components(found), "similar-roots")
+            discard(*([old] if old is not None else []))
         no = refuted.unionByName(refuted.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy("u").agg(F.collect_set("v").alias("no"))
         labelled = nodes.join(ends.withColumnRenamed("h", "node"), "node", "left_semi").join(roots, "node", "left").join(no.withColumnRenamed("u", "node"), "node", "left")
         active = materialize(labelled.select("fp", "fp2", "node", F.coalesce("root", "node").alias("label"), "no"), "active")
