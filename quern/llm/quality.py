@@ -2,13 +2,17 @@
 
 The text view is the counts of byte pairs (hashed, damped, normalised); the page view is metadata:
 language, source, length, and the page's line structure.  Each view trains a logistic regression on
-labelled rows; over rounds each labels the unlabelled rows it is surest of for the *other* view.
-Both are then calibrated on labelled rows held out from training, and a document's score is the
-combination of the calibrated log-odds.  The threshold keeps the stated share of good held-out rows.
-
-Training sees bounded samples, chosen by hash: ``labelled`` rows and ``pool`` unlabelled ones (some
-4 kB of features each reach the driver).  Every document is scored, over its whole text, by a map
-without a shuffle.
+labelled rows.  In each round both views score every unlabelled document; the ``each`` documents that
+one view is surest of join the training rows of the *other* one, as far as the view is sure enough:
+beyond the margin from which it is right about ``PRECISION`` of the labelled rows held out from training.
+Both are then calibrated on the held-out rows.  A document's score is the product of the views'
+odds, each to the power of how far its view can be relied on (the log-odds of its held-out
+accuracy), calibrated again.  The threshold keeps the stated share of good held-out rows.
+
+What training holds is bounded: at most ``labelled`` labelled rows, chosen by hash, and ``each`` rows a
+round and view (some 4 kB of features each).  A round scores all documents in a map and exchanges an
+id, a hash and two margins of each, never a text.  The documents are then scored, over their
+whole texts, by a map without a shuffle.
 """
 
 from __future__ import annotations
@@ -20,10 +24,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, materialize, text_hash, unused
 
-LABELLED, POOL, ROUNDS, EACH = 4000, 3000, 4, 150
-#: Below this score a document is rejected; lower where that would reject more than the rest of KEEP_GOOD among good held-out rows.
+#: Labelled rows that training sees at most, rounds, rows that a view labels for the other in a round.
+LABELLED, ROUNDS, EACH = 4000, 3, 150
+#: A view labels only beyond a margin where so many held-out rows are right, if there are so many such rows.
+PRECISION, ENOUGH = 0.99, 20
+#: Below this score a document is rejected; lower where that would reject more than the rest of KEEP_GOOD among good
+#: held-out rows, if these are enough to tell.
 REJECT, KEEP_GOOD = 0.2, 0.998
 #: Hashed byte pairs, further shares, page features; texts well below SHORT bytes count as short.
 PAIRS, SHARES, PAGE, SHORT = 1024, 8, 64, 300
@@ -130,50 +138,48 @@ def calibrate(model: Linear, x: np.ndarray, y: np.ndarray) -> None:
 
 @dataclass
 class Model:
+    """Both views, their weights, and the calibration (scale, shift) of the weighted sum of their log-odds."""
+
     text: Linear
     page: Linear
-    mix: tuple[float, float, float]
+    weights: tuple[float, float]
+    joint: tuple[float, float]
     threshold: float
 
     def score(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         za, zb = self.text.margin(a), self.page.margin(b)
-        return _sigmoid(za), _sigmoid(zb), _sigmoid(self.mix[0] * za + self.mix[1] * zb + self.mix[2])
-
-
-def co_train(a: np.ndarray, b: np.ndarray, y: np.ndarray, pool_a: np.ndarray, pool_b: np.ndarray, rounds: int = ROUNDS, each: int = EACH, keep_good: float = KEEP_GOOD) -> Model:
-    """Fit both views on two thirds of the labelled rows and the pool; calibrate and combine on the rest."""
-    held = np.arange(len(y)) % 3 == 2
-    if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
-        held = np.zeros(len(y), bool)
-    check = held if held.any() else ~held
-    own = {"a": [np.empty(0, int), np.empty(0, int)], "b": [np.empty(0, int), np.empty(0, int)]}
-    share = y[~held].mean()
-    for k in range(rounds + 1):
-        view_a = fit(np.vstack((a[~held], pool_a[own["a"][0]])), np.append(y[~held], own["a"][1]))
-        view_b = fit(np.vstack((b[~held], pool_b[own["b"][0]])), np.append(y[~held], own["b"][1]))
-        if k == rounds or not len(pool_a):
-            break
-        for z, other in ((view_a.margin(pool_a), "b"), (view_b.margin(pool_b), "a")):
-            free = np.setdiff1d(np.arange(len(z)), own[other][0])
-            ranked = free[np.argsort(z[free], kind="stable")]
-            low, high = max(1, round(each * (1 - share))), max(1, round(each * share))
-            bad, good = ranked[:low], ranked[-high:]
-            bad, good = bad[_sigmoid(z[bad]) < 0.1], good[_sigmoid(z[good]) > 0.9]
-            own[other][0] = np.concatenate((own[other][0], bad, good))
-            own[other][1] = np.concatenate((own[other][1], np.zeros(len(bad), int), np.ones(len(good), int)))
-    calibrate(view_a, a[check], y[check])
-    calibrate(view_b, b[check], y[check])
-    both = np.column_stack((view_a.margin(a[check]), view_b.margin(b[check])))
-    spread = np.maximum(both.std(axis=0), 1e-9)
-    use = np.array([True, True])
-    joint = fit(both / spread, y[check], 1e-3, 400)
-    if (joint.weights < 0).any():  # a view never speaks against itself
-        use = joint.weights > 0
-        joint = fit(np.where(use, both / spread, 0), y[check], 1e-3, 400)
-    weight = np.where(use, joint.weights, 0) / spread
-    model = Model(view_a, view_b, (float(weight[0]), float(weight[1]), joint.bias), REJECT)
-    good = np.sort(model.score(a[check], b[check])[2][y[check] == 1])
-    model.threshold = float(min(REJECT, good[int((1 - keep_good) * len(good))])) if len(good) else REJECT
+        return _sigmoid(za), _sigmoid(zb), _sigmoid(self.joint[0] * (self.weights[0] * za + self.weights[1] * zb) + self.joint[1])
+
+
+def reliability(z: np.ndarray, y: np.ndarray) -> float:
+    """The log-odds of the accuracy of margins, both classes counting alike; above zero, so that every view counts."""
+    accuracy = np.mean([np.mean((z > 0)[y == k] == k) for k in (0, 1)])
+    accuracy = np.clip(accuracy, 0.55, 1 - 0.5 / len(y))
+    return float(np.log(accuracy / (1 - accuracy)))
+
+
+def sure_from(z: np.ndarray, y: np.ndarray, label: int) -> float:
+    """The margin from which on rows are ``label`` often enough; infinite if there is none."""
+    sign = 1 if label else -1
+    order = np.argsort(-sign * z, kind="stable")
+    right = np.cumsum(y[order] == label) / np.arange(1, len(y) + 1)
+    fine = np.flatnonzero((right >= PRECISION) & (np.arange(1, len(y) + 1) >= ENOUGH))
+    return float(sign * z[order[fine[-1]]]) if len(fine) else float("inf")
+
+
+def combine(text: Linear, page: Linear, a: np.ndarray, b: np.ndarray, y: np.ndarray, keep_good: float = KEEP_GOOD) -> Model:
+    """Calibrate both views and their product on held-out rows; set the threshold."""
+    calibrate(text, a, y)
+    calibrate(page, b, y)
+    za, zb = text.margin(a), page.margin(b)
+    first, second = reliability(za, y), reliability(zb, y)
+    weights = (min(1.0, first / second), min(1.0, second / first))
+    joint = Linear(np.ones(1))
+    calibrate(joint, (weights[0] * za + weights[1] * zb)[:, None], y)
+    model = Model(text, page, weights, (joint.scale, joint.shift), REJECT)
+    good = np.sort(model.score(a, b)[2][y == 1])
+    if (1 - keep_good) * len(good) >= 1:
+        model.threshold = float(min(REJECT, good[int((1 - keep_good) * len(good))]))
     return model
 
 
@@ -187,36 +193,105 @@ def _features(texts: list[str], langs: list, sources: list, counts: list) -> tup
     return a, b
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> Model | None:
-    """Co-train on bounded samples; None where the labels do not have both classes.
+def _held(n: int, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(training rows, held-out rows): a third is held out, nothing where that leaves a class out."""
+    held = np.arange(n) % 3 == 2
+    if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
+        return np.ones(n, bool), np.ones(n, bool)
+    return ~held, held
 
-    Labels other than 0 and 1 and null ids are left out; of several labels of one document the larger counts.
-    """
-    clean = labels.filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").cast("int").alias("y"))
-    ids = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"))
-    by_hash = F.xxhash64(F.lit(SEED), "doc_id")
-    some = clean.join(ids.distinct(), "doc_id", "left_semi").orderBy(by_hash).limit(labelled)
-    rest = ids.distinct().join(clean, "doc_id", "left_anti").orderBy(by_hash).limit(pool).select("doc_id", F.lit(None).cast("int").alias("y"))
-    chosen = some.unionByName(rest).toPandas()  # at most labelled + pool ids
-    known = chosen[chosen.y.notna()]
-    if known.y.nunique() < 2:
-        return None
+
+def _views(docs: DataFrame, wanted: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, text view, page view) of the rows with the ``wanted`` (id, text hash), any text where the hash is None; one row an id."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    sample = spark.createDataFrame([(int(i), None if y != y else int(y)) for i, y in zip(chosen.doc_id, chosen.y, strict=True)], "_id long, _y int")
-    rows = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("_id", "_y", *_inputs(docs))
+    p = unused(docs)
+    sample = spark.createDataFrame(wanted, f"{p}id long, {p}h long")
+    fits = (F.col("doc_id") == F.col(f"{p}id")) & (F.col(f"{p}h").isNull() | (F.col(f"{p}h") == text_hash("text")))
+    rows = docs.join(F.broadcast(sample), fits).select(F.col(f"{p}id").alias("_id"), *_inputs(docs))
 
     def features(frames):
         for f in frames:
             a, b = _features(list(f["text"]), list(f["lang"]), list(f["source"]), list(f["n_chars"]))
-            yield pd.DataFrame({"_id": f["_id"], "_y": f["_y"], "a": [x.tobytes() for x in a], "b": [x.tobytes() for x in b]})
+            yield pd.DataFrame({"_id": f["_id"], "a": [x.tobytes() for x in a], "b": [x.tobytes() for x in b]})
 
-    got = rows.mapInPandas(features, "_id long, _y int, a binary, b binary").toPandas()
-    got = got.sort_values(["_id", "a", "b"], kind="stable").drop_duplicates("_id")  # rows in no order of arrival
+    # an id may be repeated any number of times, so one row each is chosen before any is collected
+    each = rows.mapInPandas(features, "_id long, a binary, b binary").groupBy("_id").agg(F.min(F.struct("a", "b")).alias("x"))
+    got = each.select("_id", "x.a", "x.b").orderBy("_id").toPandas()
     a = np.frombuffer(b"".join(got.a), np.float32).reshape(-1, PAIRS + SHARES)
     b = np.frombuffer(b"".join(got.b), np.float32).reshape(-1, PAGE)
-    has = got._y.notna().to_numpy()
-    return co_train(a[has], b[has], got._y[has].astype(int).to_numpy(), a[~has], b[~has], rounds)
+    return got._id.to_numpy(np.int64), a, b
+
+
+def margins(docs: DataFrame, text: Linear, page: Linear) -> DataFrame:
+    """(id, h, a, b): both views' log-odds of every row that has an id, to four places."""
+    bounded_batches(docs.sparkSession)
+
+    @F.pandas_udf("a double, b double")
+    def judged(texts: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> pd.DataFrame:
+        a, b = _features(texts.tolist(), lang.tolist(), source.tolist(), n_chars.tolist())
+        return pd.DataFrame({"a": text.margin(a).round(4), "b": page.margin(b).round(4)})
+
+    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), text_hash("text").alias("h"), judged(*_inputs(docs)).alias("z"))
+    return rows.select("id", "h", "z.a", "z.b")
+
+
+def surest(scored: DataFrame, known: DataFrame, taken: list[int], low: int, high: int, sure: dict[tuple[str, int], float]) -> list[tuple[str, int, int, int]]:
+    """(view, label, id, h): of all ``scored`` documents without a label, the ``low`` bad and ``high`` good ones that each view is surest of.
+
+    ``sure`` is the least margin for each view and label.
+
+    Copies of a text count once, by their smallest id; ties go by hash; ``taken`` hashes are left out.
+    """
+    spark = scored.sparkSession
+    free = scored.join(known.select(F.col("doc_id").alias("id")), "id", "left_anti")
+    if taken:
+        free = free.join(F.broadcast(spark.createDataFrame([(h,) for h in taken], "h long")), "h", "left_anti")
+    once = materialize(free.groupBy("h").agg(F.min(F.struct("id", "a", "b")).alias("x")).select("h", "x.*"), "unlabelled")
+    best = None
+    for view in ("a", "b"):
+        for label, sign, n in ((0, -1, low), (1, 1, high)):
+            few = once.filter(F.col(view) * sign >= sure[view, label]).orderBy((F.col(view) * sign).desc(), "h").limit(n).select(F.lit(view).alias("view"), F.lit(label).alias("label"), "id", "h")
+            best = few if best is None else best.unionByName(few)
+    return sorted(tuple(r) for r in best.collect())  # at most 2 * (low + high) rows
+
+
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, each: int = EACH) -> Model | None:
+    """Co-train on bounded labelled rows and on what each view makes of all others; None where the labels lack a class.
+
+    Labels other than 0 and 1 and null ids are left out; of several labels of one document the larger
+    counts; of several rows of one id the one with the least features.
+    """
+    clean = labels.filter("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("y"))
+    clean = materialize(clean, "labels")
+    ids = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"))
+    chosen = clean.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(labelled).collect()
+    label = {r.doc_id: r.y for r in chosen}
+    if len(set(label.values())) < 2:
+        return None
+    got, a, b = _views(docs, [(i, None) for i in label])
+    y = np.array([label[i] for i in got.tolist()])
+    fitted, held = _held(len(y), y)
+    share = y[fitted].mean()
+    more: dict[str, list[tuple[np.ndarray, int]]] = {"a": [], "b": []}
+    taken: list[int] = []
+    rows = lambda own, x: (np.vstack([x[fitted], *(v[None] for v, _ in own)]), np.append(y[fitted], [n for _, n in own]))
+    for k in range(rounds + 1):
+        text, page = fit(*rows(more["a"], a)), fit(*rows(more["b"], b))
+        if k == rounds:
+            break
+        scored = materialize(margins(docs, text, page), "margins")
+        limits = {(v, n): sure_from(m.margin(x[held]), y[held], n) for v, m, x in (("a", text, a), ("b", page, b)) for n in (0, 1)}
+        sure = surest(scored, clean, taken, max(1, round(each * (1 - share))), max(1, round(each * share)), limits)
+        if not sure:
+            break
+        found, fa, fb = _views(docs, sorted({(i, h) for _, _, i, h in sure}))
+        at = {i: n for n, i in enumerate(found.tolist())}
+        for view, n, i, _ in sure:
+            # what one view is sure of teaches the other
+            more["b" if view == "a" else "a"].append((fb[at[i]] if view == "a" else fa[at[i]], n))
+        taken += [h for _, _, _, h in sure]
+    return combine(text, page, a[held], b[held], y[held])
 
 
 def _inputs(docs: DataFrame) -> list:
@@ -250,6 +325,10 @@ def classify(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows of ``docs`` that the model does not reject, unchanged."""
+    """The rows of ``docs`` that the model does not reject, unchanged, further columns under whatever names included.
+
+    Null texts count as empty; repeated rows fare alike; without a model, or rows, nothing is rejected.
+    """
     bounded_batches(docs.sparkSession)
-    return docs.withColumn("_quality", _judge(docs, model)).filter("_quality.keep").drop("_quality")
+    p = unused(docs)
+    return docs.withColumn(f"{p}judged", _judge(docs, model)).filter(F.col(f"{p}judged")["keep"]).drop(f"{p}judged")
