@@ -10,6 +10,9 @@ offsets that make each difference a 10-bit one), so each Huffman table holds one
 and each scan's symbols have one width.  Encoder and decoder use that to work on whole arrays of
 blocks of many documents.  Streams with other tables go through the general decoder below, symbol
 by symbol; both accumulate the same coefficient arrays.
+
+A file holds at most ``PAGE`` bytes of payload; a longer text is a sequence of files, its *pages*, in
+one media value, and is worked on page by page.
 """
 
 from __future__ import annotations
@@ -26,9 +29,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks_of, keyed_text, map_arrow
+from .common import blocks_of, keyed_text, map_arrow, materialize
 
 UNIT, PAD, WIDEST = 192, 32, 4095
+#: Payload bytes of one file at most: a row of the widest image.
+PAGE = WIDEST * 2 * UNIT
 FACTORS = ((2, 2), (1, 1), (1, 1))
 DC_EVEN, AC_SHIFT, DC_BITS, AC_BITS = 1280, 256, 10, 8
 BANDS = ((1, 5), (6, 63))
@@ -420,67 +425,132 @@ def decode_batch(files: list[bytes]) -> Decoded:
     return Decoded([n for n, _ in counts], payloads(coefficients, units, [s for _, s in counts]), grids, units, rgb_blocks(coefficients, units, grids))
 
 
-# columns
+# pages
 
 #: Bytes of files or texts that are worked on at once.
 AT_ONCE = 1_000_000
+#: An image ends at a marker that entropy-coded data cannot hold.
+IMAGE_END = re.compile(rb"\xff\xd9(?=\xff\xd8\xff|\Z)")
+
+
+def _taken(items: Iterable[tuple[int, bytes]]) -> Iterator[list[tuple[int, bytes]]]:
+    """Items in lists of about AT_ONCE bytes."""
+    held: list[tuple[int, bytes]] = []
+    size = 0
+    for item in items:
+        if held and size + len(item[1]) > AT_ONCE:
+            yield held
+            held, size = [], 0
+        held.append(item)
+        size += len(item[1])
+    if held:
+        yield held
+
+
+def _text_pages(texts: list) -> Iterator[tuple[int, bytes]]:
+    for i, t in enumerate(texts):
+        for k in range(0, max(1, len(t)), PAGE):
+            yield i, bytes(t[k : k + PAGE])
+
+
+def _files(media: list) -> Iterator[tuple[int, bytes]]:
+    for i, m in enumerate(media):
+        at = 0
+        while at < len(m):
+            end = IMAGE_END.search(m, at).end()
+            yield i, bytes(m[at:end])
+            at = end
+
+
+def _buffers(column: pa.Array | pa.ChunkedArray) -> list[memoryview]:
+    """The bytes of each value, not copied."""
+    return [memoryview(v.as_buffer()) for v in column.cast(pa.binary())]
+
+
+# columns
 
 
 def _store(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for held in blocks_of(batches, "text", AT_ONCE):
         table = pa.Table.from_batches(held)
-        yield pa.RecordBatch.from_arrays([table.column("id").combine_chunks(), pa.array(encode_batch([t.encode() for t in table.column("text").to_pylist()]), pa.binary())], names=["doc_id", "media"])
+        texts = _buffers(table.column("text"))
+        files: list[list[bytes]] = [[] for _ in texts]
+        for pages in _taken(_text_pages(texts)):
+            for (i, _), file in zip(pages, encode_batch([t for _, t in pages]), strict=True):
+                files[i].append(file)
+        yield pa.RecordBatch.from_arrays([table.column("id").combine_chunks(), pa.array([f[0] if len(f) == 1 else b"".join(f) for f in files], pa.binary())], names=["doc_id", "media"])
+
+
+TENSORS = "doc_id long, page int, pages int, height int, width int, rgb binary, payload binary, n_bytes long, media_bytes long, media_sha256 string"
 
 
 def _tensors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for held in blocks_of(batches, "media", AT_ONCE):
         table = pa.Table.from_batches(held)
-        got = decode_batch(table.column("media").to_pylist())
-        rgb = [x.tobytes() for x in tensors(got.blocks, got.grids)]
-        yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks(), pa.array([16 * r for _, r in got.grids], pa.int32()), pa.array([16 * c for c, _ in got.grids], pa.int32()), pa.array(rgb, pa.binary()), pa.array(got.payload, pa.binary())], names=["doc_id", "height", "width", "rgb", "payload"])
+        media, ids = _buffers(table.column("media")), table.column("doc_id").to_pylist()
+        whole = [(len(m), hashlib.sha256(m).hexdigest()) for m in media]
+        pages = [sum(1 for _ in IMAGE_END.finditer(m)) for m in media]
+        seen = [0] * len(media)
+        for files in _taken(_files(media)):
+            got = decode_batch([f for _, f in files])
+            out = []
+            for (i, _), rgb, (c, r), payload, n in zip(files, tensors(got.blocks, got.grids), got.grids, got.payload, got.n_bytes, strict=True):
+                out.append((ids[i], seen[i], pages[i], 16 * r, 16 * c, rgb.tobytes(), payload, n, *whole[i]))
+                seen[i] += 1
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.string())
+            names = [c.split()[0] for c in TENSORS.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
 
 def _digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for held in blocks_of(batches, "media", AT_ONCE):
-        table = pa.Table.from_batches(held)
-        media = table.column("media").to_pylist()
-        got = decode_batch(media)
-        first = np.cumsum(4 * got.units) - 4 * got.units
-        sums = np.add.reduceat(got.blocks.reshape(-1, 64, 3).sum(axis=1, dtype=np.int64), first, axis=0).tolist()
-        feature = [f"{16 * c}x{16 * r}:{s[0]}:{s[1]}:{s[2]}" for (c, r), s in zip(got.grids, sums, strict=True)]
-        yield pa.RecordBatch.from_arrays(
-            [
-                table.column("doc_id").combine_chunks(),
-                pa.array(got.n_bytes, pa.int64()),
-                pa.array([len(p) for p in got.payload], pa.int64()),
-                pa.array([hashlib.sha256(p).hexdigest() for p in got.payload]),
-                pa.array([zlib.crc32(p[-16:]) for p in got.payload], pa.int64()),
-                pa.array([len(m) for m in media], pa.int64()),
-                pa.array([hashlib.sha256(m).hexdigest() for m in media]),
-                pa.array(feature),
-            ],
-            names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
-        )
+    hashed, tail, sums, size, height, n_bytes = hashlib.sha256(), b"", np.zeros(3, np.int64), 0, 0, 0
+    for batch in batches:
+        out = []
+        column = {n: batch.column(n).to_pylist() for n in batch.schema.names if n not in ("rgb", "payload")}
+        rgb, payloads_ = _buffers(batch.column("rgb")), _buffers(batch.column("payload"))
+        for i in range(batch.num_rows):
+            if column["page"][i] == 0:
+                hashed, tail, sums, size, height, n_bytes, width = hashlib.sha256(), b"", np.zeros(3, np.int64), 0, 0, 0, column["width"][i]
+            hashed.update(payloads_[i])
+            tail = (tail + bytes(payloads_[i][-16:]))[-16:]
+            sums += np.frombuffer(rgb[i], np.uint8).reshape(-1, 3).sum(axis=0, dtype=np.int64)
+            size, height, n_bytes = size + len(payloads_[i]), height + column["height"][i], n_bytes + column["n_bytes"][i]
+            if column["page"][i] == column["pages"][i] - 1:
+                out.append((column["doc_id"][i], n_bytes, size, hashed.hexdigest(), zlib.crc32(tail), column["media_bytes"][i], column["media_sha256"][i], f"{width}x{height}:{sums[0]}:{sums[1]}:{sums[2]}"))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        columns = list(zip(*out, strict=True)) or [()] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in DIGESTS.split(", ")])
+
+
+DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, media) of every row: a progressive JPEG file with the text's bytes in its coefficients.
+    """(doc_id, media) of every row: progressive JPEG files with the text's bytes in their coefficients.
 
-    Null and empty texts are one unit of blanks; repeated rows give a row each; other columns are ignored.
+    Null and empty texts are one unit of blanks; repeated rows give a row each; other columns are
+    ignored; an empty table gives no rows; a very long text is a sequence of files.
     """
     return map_arrow(keyed_text(docs, id_col, text_col), _store, "doc_id long, media binary")
 
 
-def _media(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
+def load(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
+    """Full-resolution RGB tensors, row-major, a byte a value: a row for each page, the pages of a media value on end.
+
+    Null media give no row; other columns are ignored.
+    """
     column: Column = F.col(media_col).cast("binary")
-    return media.select(F.col(id_col).cast("long").alias("doc_id"), column.alias("media")).filter(F.col("media").isNotNull())
+    return map_arrow(media.select(F.col(id_col).cast("long").alias("doc_id"), column.alias("media")).filter(F.col("media").isNotNull()), _tensors, TENSORS)
 
 
-def load(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """(doc_id, height, width, rgb, payload): full-resolution RGB tensors, row-major, a byte a value; null media give no row."""
-    return map_arrow(_media(media, id_col, media_col), _tensors, "doc_id long, height int, width int, rgb binary, payload binary")
+def features(tensor_rows: DataFrame) -> DataFrame:
+    """Digests of the payload and the file, and a feature of what ``load`` returns: size and sum of each colour.
+
+    A map right behind ``load``, so that the pages of a media value come in order.
+    """
+    return map_arrow(tensor_rows, _digests, DIGESTS)
 
 
-def features(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """Digests of the payload and the file, and a feature: size and sum of each colour."""
-    return map_arrow(_media(media, id_col, media_col), _digests, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+def write_and_read(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``features`` of the tensors of the media column written to and read from the shared folder."""
+    return features(load(materialize(store(docs, id_col, text_col), "media")))

@@ -38,7 +38,7 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jpeg.features(jpeg.store(_table(spark, sf_dir, "documents")))
+    return jpeg.write_and_read(_table(spark, sf_dir, "documents"))
 
 
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -248,7 +248,7 @@ def test_jpeg_inverse_transform():
 
 
 def test_jpeg_columns(odd, odd_rows, empty, clashing, same_rows):
-    out = jpeg.features(jpeg.store(odd)).collect()
+    out = jpeg.write_and_read(odd).collect()
     assert len(out) == len(odd_rows)
     want = {}
     for r in odd_rows:
@@ -259,12 +259,34 @@ def test_jpeg_columns(odd, odd_rows, empty, clashing, same_rows):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) in want[r.doc_id]
     same_text = [tuple(r)[1:] for r in out if r.doc_id == 6]
     assert len(set(same_text)) == 1
-    assert jpeg.features(jpeg.store(empty)).collect() == []
-    assert same_rows(jpeg.features(jpeg.store(clashing)), jpeg.features(jpeg.store(odd)))
+    assert jpeg.write_and_read(empty).collect() == []
+    assert same_rows(jpeg.write_and_read(clashing), jpeg.write_and_read(odd))
     tensor = jpeg.load(jpeg.store(odd.filter("doc_id = 5"))).first()
     assert (tensor.height, tensor.width, len(tensor.rgb)) == (16, 16, 16 * 16 * 3)
 
 
+def test_jpeg_pages(spark):
+    """A text of several pages: payload, digests and feature of the whole, tensors page by page."""
+    text = "".join(chr(33 + k % 90) for k in range(2 * jpeg.PAGE + 1000))
+    docs = spark.createDataFrame([(1, text), (2, "short"), (1, text)], "doc_id long, text string")
+    media = jpeg.store(docs)
+    pages = [tuple(r) for r in jpeg.load(media).select("doc_id", "page", "pages", "height", "width", F.length("rgb")).collect()]
+    assert sorted(p[:3] for p in pages) == sorted([(1, k, 3) for k in range(3)] * 2 + [(2, 0, 1)]) and all(h * w * 3 == n for *_, h, w, n in pages)
+    padded = text.encode().ljust(-(-len(text) // 192) * 192)
+    out = {r.doc_id: r for r in jpeg.write_and_read(docs).collect()}
+    r = out[1]
+    assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(text), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-16:]))
+    whole = media.filter("doc_id = 1").first().media
+    assert (r.media_bytes, r.media_sha256) == (len(whole), hashlib.sha256(whole).hexdigest())
+    rgb = [np.frombuffer(t.rgb, np.uint8).reshape(-1, 3).sum(axis=0, dtype=np.int64) for t in jpeg.load(media).filter("doc_id = 1").collect()]
+    assert r.feature.split(":")[1:] == [str(x) for x in sum(rgb) // 2]
+
+
+def test_jpeg_is_read_back(documents):
+    plan = jpeg.write_and_read(documents)._jdf.queryExecution().executedPlan().toString()
+    assert "media" in plan and "FileScan parquet" in plan and "quern-media" in plan
+
+
 # top-k
 
 
@@ -353,13 +375,13 @@ def test_quality_held_out(trained):
     assert np.mean([(r.p_page > 0.5) == (r.quality == 1) for r in got]) > 0.75
 
 
-def test_quality_odd(trained, odd, odd_rows, empty, clashing, same_rows, spark):
+def test_quality_odd(trained, odd, odd_rows, empty, clashing, unharmed, same_rows, spark):
     _, _, model = trained
     out = quality.classify(odd, model)
     assert out.count() == len(odd_rows) and out.filter("score is null or keep is null").count() == 0
     assert same_rows(out, quality.classify(clashing, model))
     assert quality.classify(empty, model).collect() == []
-    assert quality.keep_good(clashing, model).columns == clashing.columns
+    assert same_rows(unharmed(quality.keep_good(clashing, model)), quality.keep_good(odd, model))
     none = quality.train(odd, spark.createDataFrame([(4, 1, 0)], "doc_id long, quality int, toxic int"))
     assert none is None and quality.classify(odd, none).filter("keep").count() == len(odd_rows)
     labels = spark.createDataFrame([(k, k % 2, 0) for k in range(13)] + [(None, 1, 0), (4, None, 0), (4, 7, 0), (4, 1, 1)], "doc_id long, quality int, toxic int")
@@ -367,6 +389,71 @@ def test_quality_odd(trained, odd, odd_rows, empty, clashing, same_rows, spark):
     assert quality.train(empty, labels) is None
 
 
+def plain_score(model, text, lang, source, n_chars):
+    """A document's score by the formulas as they are told, byte by byte."""
+    data = (text or "").encode()
+    n, sizes = len(data), [0.0] * (quality.PAIRS + quality.SHARES)
+    if n >= 2:
+        counts = {}
+        for x, y in zip(data, data[1:]):
+            counts[(x * 251 + y * 13) % quality.PAIRS] = counts.get((x * 251 + y * 13) % quality.PAIRS, 0) + 1
+        for k, c in counts.items():
+            sizes[k] = (c / (n + 300)) ** 0.5
+        words = data.split()
+        m = max(1, len(words))
+        signs = sum(33 <= x < 48 or 58 <= x < 65 or 91 <= x < 97 or 123 <= x < 127 for x in data)
+        shares = [sum(65 <= x < 91 for x in data) / n, sum(48 <= x < 58 for x in data) / n, signs / n, sum(x == y for x, y in zip(words, words[1:])) / m, 1 - len(set(words)) / m, max(counts.values()) / n, len(counts) / min(n, quality.PAIRS), n / m / 20]
+        sizes[quality.PAIRS :] = [x * 2 * n / (n + 300) for x in shares]
+    za = model.text.scale * (sum(w * x for w, x in zip(model.text.weights, sizes)) + model.text.bias) + model.text.shift
+    page = quality.page_view(text or "", lang, source, n_chars)
+    zb = model.page.scale * (sum(w * x for w, x in zip(model.page.weights.tolist(), page.tolist())) + model.page.bias) + model.page.shift
+    return 1 / (1 + np.exp(-np.clip(model.joint[0] * (model.weights[0] * za + model.weights[1] * zb) + model.joint[1], -40, 40)))
+
+
+def test_quality_scores_by_brute_force(trained, documents):
+    _, _, model = trained
+    rows = {r.doc_id: r for r in documents.collect()}
+    kept = {r.doc_id for r in quality.keep_good(documents, model).collect()}
+    for r in quality.classify(documents, model).collect():
+        d = rows[r.doc_id]
+        assert r.score == pytest.approx(plain_score(model, d.text, d.lang, d.source, d.n_chars), abs=1e-3)
+        assert r.keep == (r.score >= model.threshold) == (r.doc_id in kept)
+
+
+def test_quality_views_both_count(trained):
+    _, _, model = trained
+    a, b = np.zeros((2, quality.PAIRS + quality.SHARES), np.float32), np.zeros((2, quality.PAGE), np.float32)
+    b[1] = np.sign(model.page.weights)
+    assert model.joint[0] > 0 and model.score(a, b)[2][1] > model.score(a, b)[2][0]
+
+
+def test_sure_from():
+    z, y = np.arange(100) - 50.0, (np.arange(100) >= 40).astype(int)
+    assert quality.sure_from(z, y, 1) == -10.0 and quality.sure_from(z, y, 0) == 11.0
+    y[99] = 0
+    assert quality.sure_from(z, y, 1) == np.inf
+
+
+def test_surest_by_brute_force(spark, documents):
+    """The documents that a round labels, of all that have no label, copies counted once."""
+    rng = np.random.default_rng(3)
+    text, page = (quality.Linear(rng.normal(0, 20, n)) for n in (quality.PAIRS + quality.SHARES, quality.PAGE))
+    scored = quality.margins(documents, text, page)
+    known = spark.createDataFrame([(i, 1) for i in range(0, 200, 7)], "doc_id long, y int")
+    rows = sorted((r.id, r.h, r.a, r.b) for r in scored.collect() if r.id % 7)
+    once = {}
+    for r in rows:
+        once.setdefault(r[1], r)
+    want, sure = [], dict.fromkeys(((v, n) for v in "ab" for n in (0, 1)), 0.5)
+    for view, at in (("a", 2), ("b", 3)):
+        for label, sign, n in ((0, -1, 3), (1, 1, 5)):
+            best = sorted((r for r in once.values() if sign * r[at] >= 0.5), key=lambda r: (-sign * r[at], r[1]))[:n]
+            want += [(view, label, r[0], r[1]) for r in best]
+    got = quality.surest(scored, known, [], 3, 5, sure)
+    assert got == sorted(want) and got
+    assert not {h for *_, h in quality.surest(scored, known, [h for *_, h in got], 3, 5, sure)} & {h for *_, h in got}
+
+
 # pipeline
 
 
