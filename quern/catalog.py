@@ -9,6 +9,30 @@ from pyspark.sql import types as T
 from .errors import QuernError
 
 
+@dataclass(frozen=True)
+class Numbers:
+    """Reserved numbers: the first ``left`` of them from ``first`` on, then, where the sequence cycles, rounds of ``size`` from ``restart`` on."""
+
+    first: int
+    increment: int
+    left: int | None = None
+    restart: int = 0
+    size: int = 0
+
+    def at(self, k: int) -> int:
+        """The ``k``-th number, from 0."""
+        if self.left is None or k < self.left:
+            return self.first + k * self.increment
+        return self.restart + (k - self.left) % self.size * self.increment
+
+    def expression(self, k: str) -> str:
+        """The same in the dialect, ``k`` being an expression."""
+        plain = f"{self.first} + ({k}) * ({self.increment})"
+        if self.left is None:
+            return plain
+        return f"CASE WHEN {k} < {self.left} THEN {plain} ELSE {self.restart} + MOD({k} - {self.left}, {self.size}) * ({self.increment}) END"
+
+
 @dataclass
 class Sequence:
     """Numbers in order; a statement reserves as many as it has rows."""
@@ -21,21 +45,26 @@ class Sequence:
     maximum: int | None = None
     cycle: bool = False
 
-    def reserve(self, count: int = 1) -> int:
-        """The first of ``count`` further numbers."""
+    def reserve(self, count: int = 1) -> Numbers:
+        """``count`` further numbers; a cycling sequence starts again at its other end, an exhausted one raises."""
+        up = self.increment > 0
+        bound, other = (self.maximum, self.minimum) if up else (self.minimum, self.maximum)
+        restart = other if other is not None else (1 if up else -1)
+        inside = lambda x: bound is None or (x <= bound if up else x >= bound)
         first = self.start if self.last is None else self.last + self.increment
-        end = first + (count - 1) * self.increment
-        if self.maximum is not None and end > self.maximum:
+        if not inside(first) and self.cycle:
+            first = restart
+        numbers = Numbers(first, self.increment)
+        if bound is not None and count and not inside(first + (count - 1) * self.increment):
             if not self.cycle:
-                raise QuernError(f"sequence {self.name} exceeds {self.maximum}")
-            first = self.minimum if self.minimum is not None else self.start
-            end = first + (count - 1) * self.increment
+                raise QuernError(f"sequence {self.name} goes beyond {bound}")
+            numbers = Numbers(first, self.increment, (bound - first) // self.increment + 1, restart, (bound - restart) // self.increment + 1)
         if count:
-            self.last = end
-        return first
+            self.last = numbers.at(count - 1)
+        return numbers
 
     def nextval(self) -> int:
-        return self.reserve()
+        return self.reserve().at(0)
 
     def current(self) -> int:
         if self.last is None:

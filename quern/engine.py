@@ -10,7 +10,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .catalog import Catalog
+from .catalog import Catalog, Numbers
 from .errors import QuernError, UnsupportedFeature
 from .operators.hierarchy import connect_by
 from .operators.numbering import with_rownum
@@ -39,6 +39,7 @@ class Engine:
         self.variables: list[Callable[[tuple[str, ...]], str | None]] = []
         self.known_views: dict[str, dict[str, str | None]] = {}
         self.triggers: dict[str, list] = {}
+        self.stubs: set[str] = set()  # views and functions that are declared but not implemented yet
         spark.conf.set("spark.sql.session.timeZone", "UTC")  # dates have no zone: where one is needed in passing, it must not shift them
         spark.conf.set("spark.sql.cteRecursionLevelLimit", "10000")
         spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
@@ -107,6 +108,7 @@ class Engine:
             df = inner.selectExpr(*[f"cast(c{i} as {spark_type(t, self.catalog.types).simpleString()}) AS {name(c)}" for i, (c, t) in enumerate(types.items())])
         self.register(view, df)
         self.catalog.views[view.lower()] = text
+        self.stubs.discard(view.lower())
         return df
 
     def create_view_stub(self, view: str, types: dict[str, str]) -> DataFrame:
@@ -114,6 +116,7 @@ class Engine:
         schema = ", ".join(f"{name(c)} {spark_type(t, self.catalog.types).simpleString()}" for c, t in types.items())
         df = self.spark.createDataFrame([], schema)
         self.register(view, df)
+        self.stubs.add(view.lower())
         return df
 
     # functions
@@ -136,6 +139,16 @@ class Engine:
         out = spark_type(returns, self.catalog.types).simpleString()
         self.spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name(target)}({args}) RETURNS {out} RETURN cast({text} as {out})")
         self.register_function(function, target, returns)
+        self.stubs.discard(function.lower())
+
+    def create_function_stub(self, function: str, params: dict[str, str], returns: str) -> None:
+        """A function of the declared shape that returns null, so that views and code can refer to it before it is implemented."""
+        self.create_function(function, params, returns, "NULL")
+        self.stubs.add(function.lower())
+
+    def create_method_stub(self, type_name: str, method: str, params: dict[str, str], returns: str) -> None:
+        self.create_method(type_name, method, params, returns, "NULL")
+        self.stubs.add(f"{type_name}__{method}".lower())
 
     def create_method(self, type_name: str, method: str, params: dict[str, str], returns: str, body: str) -> None:
         """A member function of an object type: type__method(self, ...), called as value.method(...)."""
@@ -188,9 +201,9 @@ class Engine:
     def numbered_view(self, text: str) -> str:
         return self._view(with_rownum(self.spark.sql(text), "_rownum"))
 
-    def reserve(self, parts: tuple[str, ...], text: str) -> tuple[int, int]:
-        sequence = self.catalog.sequence(parts)
-        return sequence.reserve(self.spark.sql(text).count()), sequence.increment
+    def reserve(self, parts: tuple[str, ...], text: str) -> Numbers:
+        """As many numbers of a sequence as a written table has rows."""
+        return self.catalog.sequence(parts).reserve(self.spark.sql(text).count())
 
     def hierarchy_view(self, base: str, alias: str, start: str, pairs: list, others: list, made: dict, nocycle: bool, flags: set[str], siblings: list) -> str:
         df = self.spark.sql(base).alias(alias)

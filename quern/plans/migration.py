@@ -18,6 +18,8 @@ from ..engine import Engine
 from ..errors import QuernError
 from ..operators.integrity import validate
 from ..proc import Runtime
+from ..proc import ast as P
+from ..proc.parser import parse_unit
 from ..sources.transfer import copy_tables, count_or_minus_one
 from ..types import spark_type
 
@@ -44,6 +46,7 @@ class Schema:
     synonyms: dict[str, str] = field(default_factory=dict)
     constraints: list[Constraint] = field(default_factory=list)
     views: dict[str, tuple[str, dict[str, str]]] = field(default_factory=dict)  # (query, declared column types)
+    methods: list[tuple[str, str, dict[str, str], str, str]] = field(default_factory=list)  # (type, method, parameters, result, body)
     code: list[str] = field(default_factory=list)
     triggers: list[tuple[str, list[str], dict[str, str]]] = field(default_factory=list)
 
@@ -87,7 +90,7 @@ class Migration:
         self.runtime = Runtime(self.engine)
         self.steps: list[tuple[str, Callable[[Schema, Report], None]]] = [
             ("schema", self._schema), ("synonyms", self._synonyms), ("object_types", self._types), ("sequences", self._sequences), ("tables", self._tables),
-            ("data", self._data), ("constraints", self._constraints), ("view_stubs", self._view_stubs), ("code", self._code), ("views", self._views), ("triggers", self._triggers), ("row_counts", self._counts),
+            ("data", self._data), ("constraints", self._constraints), ("view_stubs", self._view_stubs), ("method_stubs", self._method_stubs), ("code_stubs", self._code_stubs), ("methods", self._methods), ("code", self._code), ("views", self._views), ("triggers", self._triggers), ("row_counts", self._counts),
         ]
 
     def run(self, schema: Schema) -> list[Report]:
@@ -181,6 +184,20 @@ class Migration:
             done.update(ready)
         self._each(report, {v: (lambda v=v: self.engine.create_view(self._key(s, v), s.views[v][0], s.views[v][1]) and None) for v in order})
 
+    def _method_stubs(self, s: Schema, report: Report) -> None:
+        self._each(report, {f"{t}.{m}": (lambda t=t, m=m, p=p, r=r: self.engine.create_method_stub(t, m, p, r)) for t, m, p, r, _ in s.methods})
+
+    def _methods(self, s: Schema, report: Report) -> None:
+        self._each(report, {f"{t}.{m}": (lambda t=t, m=m, p=p, r=r, b=b: self.engine.create_method(t, m, p, r, b)) for t, m, p, r, b in s.methods})
+
+    def _code_stubs(self, s: Schema, report: Report) -> None:
+        """Routines are declared before any body, so that bodies may refer to each other in any order."""
+        for k, text in enumerate(s.code):
+            try:
+                report.created += self.runtime.stub(text)
+            except Exception as e:  # noqa: BLE001  reported with the unit
+                report.failed[f"unit {k + 1}"] = str(e)[:500]
+
     def _code(self, s: Schema, report: Report) -> None:
         self._each(report, {(re.search(r"(?:FUNCTION|PROCEDURE|BODY|PACKAGE)\s+([\w.$#]+)", c, re.IGNORECASE) or [c[:30]] * 2)[1]: (lambda c=c: self.runtime.run(c)) for c in s.code})
 
@@ -194,3 +211,65 @@ class Migration:
                 raise QuernError(f"{source} rows in the source, {target} in the target")
 
         self._each(report, {t: (lambda t=t: make(t)) for t in s.data})
+
+    # verification
+
+    def verify(self, s: Schema) -> DataFrame:
+        """(kind, name, state) of every object of ``s``: ok, stub, missing, different, or violated.
+
+        States are compared with what the session has now, whatever the steps reported.
+        """
+        found: list[tuple[str, str, str]] = []
+        catalog = self.engine.catalog
+
+        def state(kind: str, name: str, value: str | bool) -> None:
+            found.append((kind, name.lower(), value if isinstance(value, str) else "ok" if value else "missing"))
+
+        def shape(key: str, want: T.StructType) -> str:
+            try:
+                have = self.spark.table(self.engine.view_name(tuple(key.split(".")))).schema
+            except QuernError:
+                return "missing"
+            same = [(f.name.lower(), f.dataType) for f in have] == [(f.name.lower(), f.dataType) for f in want]
+            return "ok" if same else "different"
+
+        state("schema", s.name, catalog.schema == s.name.lower())
+        for n, target in s.synonyms.items():
+            have = catalog.synonyms.get((s.name.lower(), n.lower()))
+            state("synonym", n, "missing" if have is None else "ok" if have == target.lower() else "different")
+        for n, attributes in s.object_types.items():
+            have = catalog.types.get(n)
+            want = None if have is None else T.StructType([T.StructField(a, spark_type(k, catalog.types)) for a, k in attributes.items()])
+            state("type", n, "missing" if have is None else "ok" if have == want else "different")
+        for n, (_, step) in s.sequences.items():
+            have = catalog.sequences.get(n.lower())
+            state("sequence", n, "missing" if have is None else "ok" if have.increment == step else "different")
+        for t, columns in s.tables.items():
+            state("table", t, shape(self._key(s, t), table_schema(self.engine, columns)))
+        for c in s.constraints:
+            if c not in catalog.constraints:
+                state("constraint", c.name, "missing")
+                continue
+            try:
+                state("constraint", c.name, "ok" if validate(self.engine, c).isEmpty() else "violated")
+            except QuernError:
+                state("constraint", c.name, "missing")
+        for v, (_, types) in s.views.items():
+            want = T.StructType([T.StructField(c, spark_type(k, catalog.types)) for c, k in types.items()])
+            have = shape(self._key(s, v), want)
+            state("view", v, "stub" if have == "ok" and self._key(s, v) in self.engine.stubs else have)
+        for t, m, *_ in s.methods:
+            key = f"{t}__{m}"
+            state("method", f"{t}.{m}", "stub" if key.lower() in self.engine.stubs else self.engine.methods.get(m.upper()) == key.upper())
+        for text in s.code:
+            unit = parse_unit(text)
+            routines = [unit] if isinstance(unit, P.Routine) else unit.routines if isinstance(unit, P.Package) else []
+            for r in routines:
+                name = r.name if isinstance(unit, P.Routine) else f"{unit.name}.{r.name}"
+                state("function", name, self.runtime.state(name))
+            if isinstance(unit, P.Trigger):
+                state("trigger", unit.name, any(h.name == unit.name.lower() for hooks in self.engine.triggers.values() for h in hooks))
+        for t, _, sets in s.triggers:
+            name = f"{self._key(s, t)}: {', '.join(c.lower() for c in sets)}"
+            state("trigger", name, any(h.name == name for hooks in self.engine.triggers.values() for h in hooks))
+        return self.spark.createDataFrame(found, "kind string, name string, state string")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,16 +47,27 @@ def count_or_minus_one(df: Callable[[], DataFrame]) -> int:
         return -1
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def copy_table(spark: SparkSession, table: str, source: DataFrame, target_path: str, form: str = "parquet", **options: str) -> Outcome:
-    """Nothing for an empty source or equal counts; otherwise the target is replaced."""
-    rows = source.count()
-    if not rows:
-        return Outcome(table, "empty", 0, max(0, count_or_minus_one(lambda: spark.read.format(form).load(target_path))))
-    there = count_or_minus_one(lambda: spark.read.format(form).options(**options).load(target_path))
-    if there == rows:
-        return Outcome(table, "equal", rows, there)
-    transferable(source).write.format(form).mode("overwrite").options(**options).save(target_path)
-    return Outcome(table, "copied", rows, count_or_minus_one(lambda: spark.read.format(form).options(**options).load(target_path)))
+    """Nothing for an empty source or equal counts; otherwise the target is replaced.
+
+    Only a target that is not there counts as missing; one that cannot be read raises, and stays.
+    The rows that are written are counted as they are written.
+    """
+    there = spark.read.format(form).options(**options).load(target_path).count() if _exists(spark, target_path) else None
+    if there is None and source.isEmpty():
+        return Outcome(table, "empty", 0, 0)
+    if there is not None:
+        rows = source.count()
+        if not rows or rows == there:
+            return Outcome(table, "equal" if rows else "empty", rows, there)
+    written = Observation()
+    transferable(source).observe(written, F.count(F.lit(1)).alias("rows")).write.format(form).mode("overwrite").options(**options).save(target_path)
+    return Outcome(table, "copied", written.get["rows"], written.get["rows"])
 
 
 def copy_tables(spark: SparkSession, sources: dict[str, DataFrame], target: str, form: str = "parquet", at_once: int = 4) -> list[Outcome]:

@@ -55,6 +55,31 @@ def test_synonyms_and_sequences():
         s.nextval()
 
 
+@pytest.mark.parametrize(("start", "step", "low", "high"), [(1, 1, None, 10), (4, 3, 2, 10), (7, -2, 1, 9), (-1, -1, -3, None), (5, 5, 5, 5)])
+def test_cycling_sequences(start, step, low, high):
+    """Every number lies within the range, and a batch has the numbers that single ones would have."""
+    one, many = (Sequence("s", start, step, minimum=low, maximum=high, cycle=True) for _ in range(2))
+    want, value = [], start
+    for _ in range(40):
+        want.append(value)
+        value += step
+        if step > 0 and value > high or step < 0 and value < low:
+            value = (1 if low is None else low) if step > 0 else (-1 if high is None else high)
+    assert [one.nextval() for _ in range(40)] == want
+    got = []
+    for n in (1, 25, 0, 14):
+        numbers = many.reserve(n)
+        got += [numbers.at(k) for k in range(n)]
+    assert got == want and many.current() == want[-1]
+
+
+def test_cycling_in_a_query(spark):
+    engine = Engine(spark)
+    engine.catalog.add_sequence("s", 4, 3, minimum=2, maximum=10, cycle=True)
+    spark.range(0, 7, 1, 3).createOrReplaceTempView("seven")
+    assert sorted(int(r.n) for r in engine.sql("SELECT s.NEXTVAL AS n, s.NEXTVAL AS m FROM seven").collect() if r.n == r.m) == [2, 2, 4, 5, 7, 8, 10]
+
+
 def test_constraint_order():
     catalog = Catalog(constraints=[Constraint("c1", "a", "C"), Constraint("r1", "b", "R", references="a"), Constraint("r2", "c", "R", references="b"), Constraint("p", "a", "P"), Constraint("u", "a", "U")])
     assert [c.name for c in catalog.constraint_order()] == ["p", "u", "r1", "r2", "c1"]
@@ -84,11 +109,59 @@ def test_transfer(spark, tmp_path):
     assert [tuple(r) for r in got] == [("x", 1, 1, True), ("z", 1, -1, False)]
 
 
+def test_unreadable_target(spark, tmp_path):
+    """A target that is there but cannot be read is no missing one: it is not overwritten."""
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "part.parquet").write_text("no parquet")
+    outcome = transfer.copy_tables(spark, {"bad": spark.range(3)}, str(tmp_path))[0]
+    assert outcome.action == "failed" and (tmp_path / "bad" / "part.parquet").read_text() == "no parquet"
+
+
+def test_merge_rows(spark):
+    target = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "k int, v string")
+    source = spark.createDataFrame([(1, "x"), (3, "y"), (3, "z"), (None, "n")], "k int, v string")
+    got = sorted((tuple(r) for r in dml.merge_rows(target, source, ["k"]).collect()), key=repr)
+    assert got == sorted([(1, "x"), (2, "b"), (None, "c"), (3, "y"), (3, "z"), (None, "n")], key=repr)
+    twice = source.union(source.limit(1))
+    with pytest.raises(Exception, match="several rows"):
+        dml.merge_rows(target, twice.filter("k = 1"), ["k"]).collect()
+
+
+def test_many_rownums(spark, monkeypatch):
+    """Beyond the bound for one task, ROWNUM numbers rows in their partitions and lets through as many."""
+    from quern.sql import lowering
+
+    spark.range(0, 1000, 1, 8).createOrReplaceTempView("thousand")
+    monkeypatch.setattr(lowering, "FEW_ROWS", 10)
+    engine = Engine(spark)
+    assert engine.sql("SELECT id FROM thousand WHERE ROWNUM <= 700").count() == 700
+    rows = engine.sql("SELECT id, ROWNUM AS r FROM thousand WHERE ROWNUM <= 700").collect()
+    assert sorted(r.r for r in rows) == list(range(1, 701)) and len({r.id for r in rows}) == 700
+    assert engine.sql("SELECT COUNT(*) AS n FROM thousand WHERE ROWNUM <= 700").first().n == 700
+
+
 def test_batch_size_and_dictionary():
     assert readers.batch_size(T.StructType([T.StructField("b", T.BinaryType())])) == 50
     assert readers.batch_size(T.StructType([T.StructField("i", T.IntegerType())])) == 50_000
     assert readers.batch_size(T.StructType([T.StructField("s", T.StringType())])) == 10_000
     assert readers.dictionary_query("views", ["hr"]) == "(SELECT owner, view_name, text FROM all_views WHERE owner IN ('HR')) t"
+    assert readers.dictionary_query("schemas", ["o'hare"]) == "(SELECT username FROM all_users WHERE username IN ('O''HARE')) t"
+
+
+def test_jdbc(spark, tmp_path):
+    """Writing, reading in ranges and reading a dictionary, against the database among Spark's own jars."""
+    spark._jvm.System.setProperty("derby.stream.error.file", str(tmp_path / "derby.log"))
+    base = readers.Jdbc(f"jdbc:derby:{tmp_path}/db;create=true", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    df = spark.createDataFrame([(i, f"n'{i}", None if i % 7 == 0 else i / 2) for i in range(100)], "id int, label string, amount double")
+    base.write(df, "things", mode="overwrite")
+    base.write(df.limit(3), "things")
+    got = base.read(spark, "things", "id", (0, 100), 4)
+    assert got.rdd.getNumPartitions() == 4 and got.count() == 103
+    assert sorted(tuple(r) for r in got.dropDuplicates().filter("amount is not null").collect()) == sorted(tuple(r) for r in df.filter("amount is not null").collect())
+    assert base.read(spark, '(SELECT COUNT(*) AS n FROM things WHERE "amount" IS NULL) t').first()[0] == 15 + 1
+    narrow = readers.Jdbc(base.url, driver=base.driver, options={"createTableColumnTypes": "OWNER VARCHAR(30), VIEW_NAME VARCHAR(30), TEXT VARCHAR(99)"})
+    narrow.write(spark.createDataFrame([("HR", "V", "SELECT 1"), ("O'HARE", "W", "SELECT 2")], "OWNER string, VIEW_NAME string, TEXT string"), "all_views", mode="overwrite")
+    assert [tuple(r) for r in readers.read_dictionary(spark, base, "views", ["o'hare"]).collect()] == [("O'HARE", "W", "SELECT 2")]
 
 
 def test_integrity(spark):

@@ -155,8 +155,6 @@ def test_trigger_body(run, spark):
     assert spark.table("hr__employees").filter("employee_id = 1").first().salary == 50001
     with pytest.raises(Exception, match="no cuts"):
         run.engine.sql("UPDATE hr.employees SET salary = 1 WHERE employee_id = 1")
-    with pytest.raises(UnsupportedFeature):
-        run.run("CREATE TRIGGER a AFTER INSERT ON hr.employees FOR EACH ROW BEGIN NULL; END;")
 
 
 def test_page_buffer(run):
@@ -167,3 +165,53 @@ def test_page_buffer(run):
 def test_date_variable_in_sql(run):
     run.run("DECLARE d DATE := DATE '2024-01-31'; v DATE; BEGIN SELECT ADD_MONTHS(d, 1) + 1 INTO v FROM dual; DBMS_OUTPUT.PUT_LINE(TO_CHAR(v, 'YYYY-MM-DD')); END;")
     assert run.output == ["2024-03-01"]
+
+
+def test_delete_trigger(run, spark):
+    run.run("CREATE TRIGGER keep BEFORE DELETE ON hr.employees FOR EACH ROW BEGIN IF :OLD.department_id = 10 THEN RAISE_APPLICATION_ERROR(-20003, 'kept'); END IF; END;")
+    with pytest.raises(Exception, match="kept"):
+        run.engine.sql("DELETE FROM hr.employees WHERE salary > 70000")
+    assert spark.table("hr__employees").count() == 5
+    run.engine.sql("DELETE FROM hr.employees WHERE department_id = 20")
+    assert spark.table("hr__employees").count() == 3
+
+
+def test_after_triggers(run, spark):
+    """Row triggers that insert values log every change as one statement; statement triggers fire once."""
+    run.engine.register("log", spark.createDataFrame([], "what string, id int, old_salary double, new_salary double"))
+    run.run("CREATE PACKAGE BODY seen AS n NUMBER := 0; END;")
+    run.run("CREATE TRIGGER audit_row AFTER INSERT OR UPDATE OR DELETE ON hr.employees FOR EACH ROW WHEN (NVL(:NEW.salary, 0) <> NVL(:OLD.salary, 0)) BEGIN INSERT INTO log VALUES (CASE WHEN INSERTING THEN 'I' WHEN UPDATING THEN 'U' ELSE 'D' END, NVL(:NEW.employee_id, :OLD.employee_id), :OLD.salary, :NEW.salary); END;")
+    run.run("CREATE TRIGGER count_it AFTER UPDATE OR DELETE ON hr.employees BEGIN seen.n := seen.n + 1; IF DELETING THEN seen.n := seen.n + 10; END IF; END;")
+    run.engine.sql("INSERT INTO hr.employees (employee_id, salary) VALUES (7, 5)")
+    run.engine.sql("UPDATE hr.employees SET salary = salary * 2 WHERE department_id = 20 OR salary IS NULL")
+    run.engine.sql("DELETE FROM hr.employees WHERE employee_id = 7")
+    assert sorted(tuple(r) for r in spark.table("log").collect()) == sorted([("I", 7, None, 5.0), ("U", 2, 60000.0, 120000.0), ("U", 5, 55000.0, 110000.0), ("D", 7, 5.0, None)], key=lambda r: (r[0], r[1]))
+    assert run.packages["seen"].values["n"] == 12
+
+
+def test_failed_after_trigger(run, spark):
+    """A trigger that fails after the change takes the change back."""
+    run.run("CREATE TRIGGER low AFTER UPDATE ON hr.employees FOR EACH ROW BEGIN IF :NEW.salary < 0 THEN RAISE_APPLICATION_ERROR(-20004, 'negative'); END IF; END;")
+    run.run("CREATE TRIGGER none AFTER DELETE ON hr.employees BEGIN RAISE_APPLICATION_ERROR(-20005, 'no deletes'); END;")
+    with pytest.raises(Exception, match="negative"):
+        run.engine.sql("UPDATE hr.employees SET salary = -1 WHERE employee_id = 1")
+    with pytest.raises(Exception, match="no deletes"):
+        run.engine.sql("DELETE FROM hr.employees")
+    assert spark.table("hr__employees").filter("salary > 0").count() == 5
+
+
+def test_set_based_trigger(run, spark):
+    """A body of plain assignments runs as column expressions, later ones over earlier ones."""
+    run.run("CREATE TRIGGER names BEFORE INSERT OR UPDATE ON hr.employees FOR EACH ROW WHEN (:NEW.employee_id > 3) BEGIN :NEW.employee_name := UPPER(:NEW.employee_name); :NEW.employee_name := :NEW.employee_name || CASE WHEN UPDATING THEN '!' ELSE '?' END; END;")
+    assert "mapInPandas" not in str(run.engine.triggers["hr__employees"][0].run.__code__.co_names)
+    run.engine.sql("UPDATE hr.employees SET salary = salary + 1")
+    run.engine.sql("INSERT INTO hr.employees (employee_id, employee_name) VALUES (8, 'x')")
+    assert {r.employee_id: r.employee_name for r in spark.table("hr__employees").collect()} == {1: "John Doe", 2: "Jane Smith", 3: "Bob Johnson", 4: "ALICE BROWN!", 5: "CHARLIE WILSON!", 8: "X?"}
+
+
+def test_merge_fires_triggers(run, spark):
+    run.run("CREATE TRIGGER m BEFORE INSERT OR UPDATE ON hr.employees FOR EACH ROW BEGIN :NEW.employee_name := CASE WHEN INSERTING THEN 'in' ELSE 'up' END; END;")
+    spark.createDataFrame([(1, 10.0), (77, 20.0)], "id int, pay double").createOrReplaceTempView("pay")
+    run.engine.sql("MERGE INTO hr.employees e USING pay p ON (e.employee_id = p.id) WHEN MATCHED THEN UPDATE SET salary = p.pay WHEN NOT MATCHED THEN INSERT (employee_id, salary) VALUES (p.id, p.pay)")
+    got = {r.employee_id: (r.employee_name, r.salary) for r in spark.table("hr__employees").filter("employee_id in (1, 2, 77)").collect()}
+    assert got == {1: ("up", 10.0), 2: ("Jane Smith", 60000.0), 77: ("in", 20.0)}

@@ -1,19 +1,19 @@
-"""Queries whose texts keep to some keys or rows have a companion that reads every row."""
+"""Queries whose feature is no selection return every row."""
 
 import pytest
 
 import __spark_entry__
 
 ROWS = {
-    "connect_by_level_whole": "part",
-    "plus_multi_column_whole": "lineitem",
-    "window_null_order_whole": "part",
-    "arithmetic_whole": "lineitem",
-    "instr_forms_whole": "customer",
-    "order_nulls_default_desc_whole": "part",
-    "order_nulls_default_asc_whole": "part",
-    "order_nulls_explicit_whole": "part",
-    "transfer_cleaning_whole": "orders",
+    "connect_by_level": "part",
+    "plus_multi_column": "lineitem",
+    "window_null_order": "part",
+    "arithmetic": "lineitem",
+    "instr_forms": "customer",
+    "order_nulls_default_desc": "part",
+    "order_nulls_default_asc": "part",
+    "order_nulls_explicit": "part",
+    "transfer_cleaning": "orders",
 }
 
 
