@@ -1,10 +1,12 @@
 """Token counts without ids: count pieces once per distinct pre-token, join, and sum.
 
 A map over the documents makes *blocks* (a bounded number of bytes of text): the block's distinct
-pre-tokens, dealt into buckets by their hash, and for each of them its frequency in each document.
-The pre-tokens travel packed, one row per block and bucket, so a frequent pre-token costs one entry
-per block and no bucket is hot.  Within a bucket every distinct pre-token is counted once.  The
-counts go back to their blocks (a byte each), where frequency times count is summed per document.
+pre-tokens, dealt into ``BUCKETS`` buckets by their hash, and for each of them its frequency in each
+document.  The pre-tokens travel packed, one row per block and bucket, so a frequent pre-token costs
+one entry per block and no bucket is hot.  A bucket of up to ``GROUP`` blocks goes to one task, which
+counts every distinct pre-token once; more blocks make more groups, so that neither a task's rows nor
+the rows of a block grow with the corpus.  The counts go back to their blocks (a byte each), where
+frequency times count is summed per document.
 
 Both the pre-tokens and the counts are in proportion to the input; no vocabulary is broadcast.
 """
@@ -26,6 +28,8 @@ from .word_pieces import coded, word_pieces
 
 #: Bytes of text in a block.
 BLOCK_BYTES = 8_000_000
+#: Buckets of a block, blocks whose buckets are counted together.
+BUCKETS, GROUP = 128, 4096
 
 BLOCKS = "block long, ids array<long>, n_bytes array<long>, words array<string>, spread binary, rows binary, freqs binary"
 
@@ -110,10 +114,11 @@ def token_counts(docs: DataFrame, file: str = "word_bpe_49k.json", limit: int =
     empty table gives no rows; other columns of ``docs`` are ignored.
     """
     spark = docs.sparkSession
-    buckets = shuffle_partitions(spark)
-    blocks = materialize(map_arrow(keyed_text(docs, id_col, text_col), _blocks(file, buckets, block_bytes), BLOCKS), "token-blocks")
+    blocks = materialize(map_arrow(keyed_text(docs, id_col, text_col), _blocks(file, BUCKETS, block_bytes), BLOCKS), "token-blocks")
+    groups = max(1, -(-blocks.count() // GROUP))
     packed = blocks.select("block", F.posexplode("words").alias("bucket", "packed")).filter(F.col("packed").isNotNull())
-    counts = map_arrow(packed.repartition(buckets, "bucket"), _count(file), "block long, bucket int, counts binary")
+    dealt = packed.repartition(shuffle_partitions(spark), "bucket", F.pmod(F.xxhash64("block"), F.lit(groups)))
+    counts = map_arrow(dealt, _count(file), "block long, bucket int, counts binary")
     per_block = counts.groupBy("block").agg(F.collect_list(F.struct("bucket", "counts")).alias("counts"))
     joined = blocks.drop("words").join(per_block, "block", "left")
     return map_arrow(joined, _sum(limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
