@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from .common import keyed_text, map_arrow, tokenizer_path
 
 #: Characters in a leaf of the text tree, bytes in a leaf of the pre-token tree, ids in a leaf of the decoding tree.
-LEAF_CHARS, LEAF_BYTES, LEAF_IDS = 4096, 1024, 2048
+LEAF_CHARS, LEAF_BYTES, LEAF_IDS = 512, 1024, 512
 FIRST_WINDOW, FIRST_TOKENS = 48, 4
 
 SEAM = regex.compile(r"(?<=\p{L})\P{L}|(?<=\p{N})\P{N}|(?<=\S)\s")
