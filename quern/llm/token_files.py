@@ -2,7 +2,7 @@
 
 The texts are dealt by ranges of the id and sorted before they are encoded, so the files ascend in
 id and the encoding happens once, behind the exchange.  A row keeps where it starts within its
-range; the ranges' totals (a row per file) give where each range starts.  Readers take stripes in
+range; where each range starts (a row per file) is written beside the files.  Readers take stripes in
 parallel, prune them by the statistics of ``doc_id`` and use its Bloom filter for point look-ups.
 """
 
@@ -21,8 +21,8 @@ from .common import blocks_of, keyed_text, map_arrow, shared_path, shuffle_parti
 from .word_pieces import encoder
 
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
-#: Totals of so many ranges may be broadcast (some 40 bytes each).
-BROADCAST_RANGES = 100_000
+#: The folder of the ranges' starts, which readers of the files pass over; so many may be broadcast (some 40 bytes each).
+STARTS, BROADCAST_RANGES = "_starts", 100_000
 
 
 def _encode(file: str, end_id: int | None):
@@ -63,17 +63,18 @@ def write(docs: DataFrame, path: str, file: str = "word_bpe_49k.json", end_id: i
         .option("orc.bloom.filter.fpp", "0.01")
         .orc(path)
     )
+    totals = spark.read.schema(SCHEMA).orc(path).groupBy("part").agg(F.sum("n_tokens").alias("total"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
+    totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base")).write.parquet(f"{path}/{STARTS}")
 
 
 def read(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
     """(doc_id, start, n_tokens, ids); ``doc_ids`` are looked up through statistics and Bloom filters."""
     rows = spark.read.schema(SCHEMA).orc(path)
-    totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("total"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select(F.col("part"), F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))  # a row per file
+    bases = spark.read.schema("part int, base long").parquet(f"{path}/{STARTS}")
     if doc_ids is not None:
         rows = rows.filter(F.col("doc_id").isin(doc_ids))
-    if shuffle_partitions(spark) <= BROADCAST_RANGES:
+    if bases.count() <= BROADCAST_RANGES:
         bases = F.broadcast(bases)
     return rows.join(bases, "part").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids")
 
