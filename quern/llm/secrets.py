@@ -28,7 +28,7 @@ WORDS = ("passw", "secret", "token", "apikey", "api_key")
 BASE = ("assign", "access", "hex")
 
 ACCOUNT = re.compile(r"""(?:user(?:name)?|login|account|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@+/_.=-]{3,})""", re.IGNORECASE | re.ASCII)
-KEY = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[+/_=-]*[A-Za-z0-9])[A-Za-z0-9+/_=-]{20,128}(?![A-Za-z0-9+/_=-])")
+KEY = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[+/_=-]*[A-Za-z0-9])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])")
 ENDPOINT = re.compile(r"(?:jdbc:)?[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]+|(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?::\d{2,5})?(?![\d.])")
 WEAK = ("account", "key", "endpoint")
 RADIUS = 300
