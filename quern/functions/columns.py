@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 __all__ = [
     "add_months", "concat_null_safe", "date_diff_days", "decode", "desc_nulls_default", "greatest_strict", "initcap", "instr", "last_day", "least_strict",
@@ -166,3 +167,30 @@ def to_anydata(c: Column | str, oracle_type: str) -> Column:
     """{"oracleType", "value"} as JSON text; null stays null."""
     value = _col(c)
     return F.when(value.isNotNull(), F.to_json(F.struct(F.lit(oracle_type).alias("oracleType"), value.cast("string").alias("value"))))
+
+
+def typed_json(c: Column | str, oracle_type: str) -> Column:
+    """{"oracleType", "value"} as JSON text, the value being the whole object (a message, a geometry); null stays null."""
+    value = _col(c)
+    return F.when(value.isNotNull(), F.to_json(F.struct(F.lit(oracle_type).alias("oracleType"), value.alias("value"))))
+
+
+def _field_text(c: Column, kind: T.DataType) -> Column:
+    """One field of a row literal: null is nothing; text, dates and nested rows are quoted where they hold what has a meaning."""
+    quoted = lambda x: F.concat(F.lit('"'), F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('""')), F.lit('"'))
+    if isinstance(kind, T.StructType):
+        return F.coalesce(quoted(row_literal(c, kind)), F.lit(""))
+    text = c.cast("string")
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.coalesce(quoted(text), F.lit(""))
+    if isinstance(kind, T.StringType):
+        text = strip_nul(text)
+        return F.coalesce(F.when((text == "") | text.rlike(r'[ ,"\\()\n\r\t]'), quoted(text)).otherwise(text), F.lit(""))
+    return F.coalesce(text, F.lit(""))
+
+
+def row_literal(c: Column | str, kind: T.StructType) -> Column:
+    """An object as the literal of a composite value, ``(a,"b c",)``; null stays null."""
+    value = _col(c)
+    fields = [_field_text(value[f.name], f.dataType) for f in kind]
+    return F.when(value.isNotNull(), F.concat(F.lit("("), F.concat_ws(",", *fields), F.lit(")")))

@@ -15,7 +15,7 @@ from ..operators import dml, integrity
 from ..operators.hierarchy import connect_by
 from ..operators.numbering import with_rownum
 from ..session import engine_for
-from ..sources.transfer import reconcile, transferable
+from ..sources.transfer import reconcile, serialised, staged, transferable, unstaged
 from ..streaming.windows import sessions, windowed
 from ..storage import shared_path
 
@@ -98,6 +98,35 @@ def transfer_cleaning(spark: SparkSession, folder: str) -> DataFrame:
     return transferable(rows)
 
 
+@against(
+    r'''SELECT c_custkey, '("' || c_name || ' (x)",' || c_nationkey || ',,"(' || c_mktsegment || ',""a """"b"""""")")' AS obj,
+        '{"oracleType":"MDSYS.SDO_POINT_TYPE","value":{"x":' || c_nationkey || ',"y":1}}' AS geo, '{"oracleType":"SYS.AQ$_JMS_TEXT_MESSAGE","value":{"text":"' || c_mktsegment || '"}}' AS msg,
+        '<c>' || c_custkey || '</c>' AS doc, '{"oracleType":"SYS.NUMBER","value":"' || c_nationkey || '"}' AS anything FROM customer'''
+)
+def object_serialisation(spark: SparkSession, folder: str) -> DataFrame:
+    """Object, spatial, queue, XML and self-describing columns as text."""
+    inner = F.struct(F.col("c_mktsegment").alias("seg"), F.lit('a "b"').alias("note"))
+    rows = table(spark, folder, "customer").select(
+        "c_custkey",
+        F.struct(F.concat("c_name", F.lit(" (x)")).alias("name"), F.col("c_nationkey").alias("k"), F.lit(None).cast("string").alias("none"), inner.alias("place")).alias("obj"),
+        F.struct(F.col("c_nationkey").alias("x"), F.lit(1).alias("y")).alias("geo"),
+        F.struct(F.col("c_mktsegment").alias("text")).alias("msg"),
+        F.concat(F.lit("<c>"), "c_custkey", F.lit("</c>\u0000")).alias("doc"),
+        F.struct(F.lit("SYS.NUMBER").alias("type"), F.col("c_nationkey").alias("value")).alias("anything"),
+    )
+    return serialised(rows, {"obj": "HR.PERSON", "geo": "SDO_POINT_TYPE", "msg": "AQ$_JMS_TEXT_MESSAGE", "doc": "XMLTYPE", "anything": "ANYDATA"})
+
+
+@against("SELECT c_custkey, c_name AS b, CASE WHEN c_nationkey > 5 THEN c_mktsegment END AS t FROM customer")
+def lob_staging(spark: SparkSession, folder: str) -> DataFrame:
+    """LOB columns by way of staging columns, one of them declared NOT NULL."""
+    rows = table(spark, folder, "customer").select("c_custkey", F.col("c_name").cast("binary").alias("b"), F.expr("CASE WHEN c_nationkey > 5 THEN c_mktsegment END").alias("t"))
+    lobs = {"b": "BLOB", "t": "CLOB"}
+    path = shared_path(spark, "staged")
+    staged(rows, lobs).write.parquet(path)
+    return unstaged(spark.read.parquet(path), lobs, ["b"]).select("c_custkey", F.col("b").cast("string").alias("b"), F.col("t").cast("string").alias("t"))
+
+
 @against("SELECT c_custkey, c_name, c_acctbal FROM customer")
 def csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     from ..sources.readers import read_files, write_files

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import lob_to_hex, strip_nul
+from ..functions.columns import lob_from_hex, lob_to_hex, row_literal, strip_nul, typed_json
 
 LOB_LIMIT = 20 << 20
 
@@ -39,6 +39,45 @@ def transferable(df: DataFrame, nested: str = "json", lobs: str = "keep") -> Dat
     return df.select(*out)
 
 
+def serialised(df: DataFrame, declared: dict[str, str]) -> DataFrame:
+    """Columns of object types as text, by their declared Oracle types.
+
+    ANYDATA (a struct of type and value), queue types (AQ$_...) and spatial types (SDO_...) become JSON with
+    their type; XMLTYPE becomes its text; an object type of one's own a row literal.
+    """
+    out = []
+    for f in df.schema:
+        c, kind = F.col(f"`{f.name}`"), declared.get(f.name, "").upper()
+        if kind == "ANYDATA":
+            c = F.when(c.isNotNull(), F.to_json(F.struct(c["type"].alias("oracleType"), c["value"].cast("string").alias("value"))))
+        elif kind.startswith("AQ$_"):
+            c = typed_json(c, f"SYS.{kind}")
+        elif kind.startswith("SDO_"):
+            c = typed_json(c, f"MDSYS.{kind}")
+        elif kind == "XMLTYPE":
+            c = strip_nul(c.cast("string"))
+        elif kind and isinstance(f.dataType, T.StructType):
+            c = row_literal(c, f.dataType)
+        out.append(c.alias(f.name))
+    return df.select(*out)
+
+
+def staged(df: DataFrame, lobs: dict[str, str]) -> DataFrame:
+    """Each LOB column empty, and its content as text in a column <name>_staging: hex of binary LOBs, text of character LOBs."""
+    more = [(lob_to_hex(c, LOB_LIMIT) if kind.upper() in ("BLOB", "BFILE") else strip_nul(F.col(c).cast("string"))).alias(f"{c}_staging") for c, kind in lobs.items()]
+    return df.select(*[F.lit(None).cast("binary").alias(c) if c in lobs else F.col(f"`{c}`") for c in df.columns], *more)
+
+
+def unstaged(df: DataFrame, lobs: dict[str, str], not_null: Iterable[str] = ()) -> DataFrame:
+    """The LOB columns made from their staging columns, which go; a null in a column that may have none fails the query."""
+    made = {}
+    for c, kind in lobs.items():
+        text = F.col(f"{c}_staging")
+        value = lob_from_hex(text) if kind.upper() in ("BLOB", "BFILE") else F.encode(text, "UTF-8")
+        made[c] = F.coalesce(value, F.raise_error(F.lit(f"{c} holds a null")).cast("binary")) if c in set(not_null) else value
+    return df.select(*[made.get(c, F.col(f"`{c}`")).alias(c) for c in df.columns if not (c.endswith("_staging") and c.removesuffix("_staging") in lobs)])
+
+
 def count_or_minus_one(df: Callable[[], DataFrame]) -> int:
     """A row count; -1 where the table cannot be read."""
     try:
