@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..errors import QuernError
@@ -74,12 +75,19 @@ def connect_by(
     schema = first.schema
     paths_written: list[str] = []
 
-    def written(level: DataFrame) -> DataFrame:
+    def written(level: DataFrame) -> tuple[DataFrame, int, bool]:
+        """A level as written, its number of rows, and whether any of them is its own ancestor."""
         paths_written.append(shared_path(spark, "level"))
-        level.write.option("compression", "zstd").parquet(paths_written[-1])
-        return spark.read.schema(level.schema).parquet(paths_written[-1])
+        seen = Observation()
+        looped = F.max("_loops" if "_loops" in level.columns else F.lit(False)).alias("looped")
+        level.observe(seen, F.count(F.lit(1)).alias("rows"), looped).write.option("compression", "zstd").parquet(paths_written[-1])
+        got = seen.get
+        return spark.read.schema(level.schema).parquet(paths_written[-1]), got["rows"], bool(got["looped"])
 
-    last = written(first)
+    down = base.select(*[f"`{c}`" for c in columns], *[F.expr(c).alias(f"_c{i}") for i, (_, c) in enumerate(pairs)], row.alias("_row"), *[F.concat(F.lit(sep), F.coalesce(F.expr(e).cast("string"), F.lit(""))).alias(f"_own{k}") for k, (e, sep) in paths.items()], *([ordering().alias("_owndfs")] if keep_dfs else []))
+    if pairs:
+        down = down.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *[F.col(f"_c{i}") for i in range(len(pairs))]).persist(StorageLevel.DISK_ONLY)
+    last, rows, _ = written(first)
     kept = ["_level", "_ancestors", *paths, *roots, *(["_dfs"] if keep_dfs else [])]
     for depth in range(MOST_LEVELS):
         up = last.select(
@@ -88,7 +96,6 @@ def connect_by(
             *[F.expr(p).alias(f"_k{i}") for i, (p, _) in enumerate(pairs)],
             *[F.expr(e).alias(k) for k, (e,) in priors.items()],
         )
-        down = base.select(*[f"`{c}`" for c in columns], *[F.expr(c).alias(f"_c{i}") for i, (_, c) in enumerate(pairs)], row.alias("_row"), *[F.concat(F.lit(sep), F.coalesce(F.expr(e).cast("string"), F.lit(""))).alias(f"_own{k}") for k, (e, sep) in paths.items()], *([ordering().alias("_owndfs")] if keep_dfs else []))
         condition = None
         for i in range(len(pairs)):
             c = F.col(f"_k{i}") == F.col(f"_c{i}")
@@ -110,15 +117,15 @@ def connect_by(
             *([F.concat("_p_dfs", "_owndfs").alias("_dfs")] if keep_dfs else []),
             *([] if nocycle or not linked else [loops.alias("_loops")]),
         )
-        last = written(grown)
-        loop = F.bool_or("_loops") if not nocycle and linked else F.lit(False)
-        rows, looped = last.agg(F.count(F.lit(1)), loop).first()
+        last, rows, looped = written(grown)
         if looped:
+            down.unpersist()
             raise ConnectByLoop("CONNECT BY runs in a loop")
         if not rows:
             break
     else:
         raise QuernError(f"more than {MOST_LEVELS} levels")
+    down.unpersist()
     out = spark.read.schema(schema).parquet(*paths_written)  # one scan, however many levels there are
     if leaf:
         parents = out.filter("_level > 1").select(F.expr("slice(_ancestors, 1, size(_ancestors) - 1)").alias("_parent")).distinct()
