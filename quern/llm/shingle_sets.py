@@ -1,4 +1,4 @@
-"""The shingle sets of texts, and pairs of texts confirmed by them."""
+"""The shingle sets of texts."""
 
 from __future__ import annotations
 
@@ -45,24 +45,3 @@ def shingle_sets(docs: DataFrame, hashes: DataFrame, size: int, text_col: str =
     texts = texts.join(hashes, "h", "left_semi").groupBy("h").agg(F.first("text").alias("text"))
     return materialize(map_arrow(texts, _sets(size), "h long, shingles array<long>"), "shingles")
 
-
-def _similar(least: float):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            similar = []
-            a, b = batch.column("x"), batch.column("y")
-            for k in range(batch.num_rows):
-                x, y = (c[k].values.to_numpy() for c in (a, b))
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                similar.append(common >= least * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(similar, pa.bool_())], names=["u", "v", "similar"])
-
-    return run
-
-
-def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """``pairs`` (u, v: text hashes) with whether their sets have at least this Jaccard similarity, written."""
-    left = sets.select(F.col("h").alias("u"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("h").alias("v"), F.col("shingles").alias("y"))
-    both = pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").select("u", "v", "x", "y")
-    return materialize(map_arrow(both, _similar(similarity), "u long, v long, similar boolean"), "confirmed")

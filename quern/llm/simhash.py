@@ -11,10 +11,11 @@ a fingerprint and are compared once.
 ``near_copies`` links by the radius alone: a unit returns a spanning forest of its links, not the
 links themselves, so a group of thousands of near copies makes as many rows as it has members.
 
-``keep_one`` links by similarity.  Its fingerprints have 128 bits over distinct five-word shingles and
-the tiles find those within ``WIDE`` bits.  In rounds, each fingerprint has its nearest few outside its
-component confirmed by the texts' shingle sets; confirmed pairs join components, refuted ones are
-remembered, and the rounds end when no fingerprint has an unconfirmed neighbour outside its component.
+``keep_one`` links by similarity.  Its fingerprints have 128 bits over distinct five-word shingles, and
+the same comparison within ``WIDE`` bits gives components of *candidates*.  Then each component is
+compared on its own, by the same tiles: a pair within ``WIDE`` bits that is not yet connected is tested
+by the texts' shingle sets, and only what passes is linked.  Every candidate pair is thus decided by
+its similarity, and again only spanning forests leave a task.
 """
 
 from __future__ import annotations
@@ -27,20 +28,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks_of, bounded_batches, discard, keyed_text, map_arrow, materialize, one_each, shuffle_partitions, text_hash, unused
+from .common import blocks_of, bounded_batches, keyed_text, map_arrow, materialize, one_each, shuffle_partitions, text_hash, unused
 from .components import components
-from .shingle_sets import confirmed, shingle_sets
+from .shingle_sets import shingle_sets
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: For similarity: words of a shingle, similarity, bits of 128 that may differ.
 #: A pair of similarity 0.8 differs in 19.4 +- 4.1 of 128 bits, one of 0.85 in 16.5 +- 3.8, an unrelated one in 64 +- 5.7.
 SIMILAR_SHINGLE, SIMILARITY, WIDE = 5, 0.8, 26
-#: Neighbours of a fingerprint that the first round confirms; each further round confirms eight times as many.
-NEAREST, MOST_ROUNDS = 3, 16
+#: Shingles of the texts that one task compares on a side; a component with more is divided.
+MOST_SHINGLES = 2_000_000
 #: Fingerprints in a group at most; the number of groups below which they are smaller.
 GROUP, LEAST_GROUPS = 65_536, 16
-#: Rows of the two sides of a tile, pairs that a unit holds before it drops all but the nearest, shingles turned into bits at once.
-TILE, HELD, AT_ONCE = (128, 512), 1_000_000, 200_000
+#: Rows of the two sides of a tile, shingles turned into bits at once.
+TILE, AT_ONCE = (128, 512), 200_000
 
 
 def _second(hashes: np.ndarray) -> np.ndarray:
@@ -151,93 +152,109 @@ def _roots(parent: np.ndarray, nodes: np.ndarray) -> np.ndarray:
 
 
 def forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning stars of the links within ``a`` (b None) or between ``a`` and ``b``: (fingerprint, its root)."""
+    """Spanning stars of the links among the rows of ``a`` (n, words), or of ``b`` (None: the same) with ``a``: (row, its root), rows of ``b`` counted on."""
     if not len(a) or (b is not None and not len(b)):
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    x = a[_order(a)]
-    y = x if b is None else b[_order(b)]
-    shift = 0 if b is None else len(x)
-    every = x if b is None else np.concatenate((x, y))
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    first = _order(a[:, 0])
+    second = first if b is None else len(a) + _order(b[:, 0])
+    every = a if b is None else np.concatenate((a, b))
+    words = lambda rows: [np.ascontiguousarray(every[rows, k]) for k in range(a.shape[1])]
     parent = np.arange(len(every))
-    for i, j, distance in _meetings([x], [y], radius, b is None):
+    for i, j, distance in _meetings(words(first), words(second), radius, b is None):
         near = distance <= radius
         if not near.any():
             continue
         for r in np.flatnonzero(near.any(axis=1)).tolist():
-            labels = np.unique(_roots(parent, np.append(shift + j + np.flatnonzero(near[r]), i + r)))
+            labels = np.unique(_roots(parent, np.append(second[j + np.flatnonzero(near[r])], first[i + r])))
             parent[labels] = labels[0]
     root = _roots(parent, np.arange(len(every)))
     linked = np.flatnonzero(root != np.arange(len(every)))
-    return every[linked], every[root[linked]]
+    return linked, root[linked]
 
 
-def _unit(radius: int):
+def _unit(radius: int, words: list[str], node: str):
     def run(table: pa.Table) -> pa.Table:
-        fp, group = table.column("fp").to_numpy().view(np.uint64), table.column("g").to_numpy()
+        fp = np.column_stack([table.column(c).to_numpy() for c in words]).view(np.uint64)
+        group, names = table.column("g").to_numpy(), table.column(node).to_numpy()
         first, last = table.column("ga")[0].as_py(), table.column("gb")[0].as_py()
-        u, v = forest(fp[group == first], None if first == last else fp[group == last], radius)
-        return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
+        x, y = np.flatnonzero(group == first), np.flatnonzero(group == last)
+        u, v = forest(fp[x], None if first == last else fp[y], radius)
+        rows = x if first == last else np.append(x, y)
+        return pa.table({"u": names[rows[u]], "v": names[rows[v]]})
 
     return run
 
 
-def nearest(fp: np.ndarray, label: np.ndarray, sides: tuple[np.ndarray, np.ndarray | None], refuted: np.ndarray, wide: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, other row, distance): for each row of ``fp`` (n, 2) the ``most`` nearest rows with other labels, refuted pairs left out.
+def similar_forest(fp: np.ndarray, values: np.ndarray, ends: np.ndarray, side: np.ndarray, within: bool, similarity: float, wide: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning stars of the rows whose fingerprints are within ``wide`` bits and whose sets are similar: (row, its root).
 
-    ``sides`` are the rows to compare: the first with the second, or with itself where that is None.
-    ``refuted`` holds pairs as row * n + other row, both ways round.
+    Row i's set is the sorted ``values`` up to ``ends[i]``.  Unless ``within``, only rows of different
+    sides are compared.  A pair that is connected already is not tested.
     """
     n = len(fp)
-    a = sides[0][_order(fp[sides[0], 0])]
-    b = a if sides[1] is None else sides[1][_order(fp[sides[1], 0])]
-    kept = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint8))
-    worst = np.full(n, wide + 1, np.uint8)
-    buffer: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    held = 0
-
-    def reduced():
-        u, v, d = (np.concatenate(c) for c in zip(kept, *buffer, strict=True))
-        u, v, d = u[o := np.lexsort((v, d, u))], v[o], d[o]
-        first = np.r_[True, (u[1:] != u[:-1])] if len(u) else np.empty(0, bool)
-        rank = np.arange(len(u)) - np.maximum.accumulate(np.where(first, np.arange(len(u)), 0)) if len(u) else np.empty(0, np.int64)
-        last = rank == most - 1
-        worst[u[last]] = d[last]
-        return u[rank < most], v[rank < most], d[rank < most]
-
-    if len(a) and len(b):
-        words = lambda side: [np.ascontiguousarray(fp[side, k]) for k in range(fp.shape[1])]
-        for i, j, distance in _meetings(words(a), words(b), wide, sides[1] is None):
-            if not (close := distance <= wide).any():
+    size = np.diff(ends, prepend=0)
+    begins = ends - size
+    parent = np.arange(n)
+    for i in range(0, n, TILE[0]):
+        for j in range(i, n, 16 * TILE[1]):
+            distance = sum(np.bitwise_count(fp[i : i + TILE[0], None, k] ^ fp[j : j + 16 * TILE[1], k]) for k in range(fp.shape[1]))
+            close = distance <= wide
+            if not close.any():
                 continue
-            r, c = np.nonzero(close)
-            u, v, d = a[i + r], b[j + c], distance[r, c]
-            fine = (label[u] != label[v]) & ((d < worst[u]) | (d < worst[v]))
-            if sides[1] is None:
-                fine &= (i + r) < (j + c)
-            if not fine.any():
-                continue
-            u, v, d = u[fine], v[fine], d[fine]
-            if len(refuted):
-                open_ = ~np.isin(u * n + v, refuted)
-                u, v, d = u[open_], v[open_], d[open_]
-            buffer.append((np.append(u, v), np.append(v, u), np.append(d, d)))
-            held += 2 * len(u)
-            if held > HELD:
-                kept, buffer, held = reduced(), [], 0
-    return reduced()
-
-
-def _nearest_unit(wide: int, most: int):
-    def run(table: pa.Table) -> pa.Table:
+            for r in np.flatnonzero(close.any(axis=1)).tolist():
+                row, others = i + r, j + np.flatnonzero(close[r])
+                own = size[row]
+                fine = (others > row) & (np.minimum(size[others], own) >= similarity * np.maximum(size[others], own))
+                others = others[fine if within else fine & (side[others] != side[row])]
+                top = _roots(parent, np.append(others, row))
+                others = others[top[:-1] != top[-1]]
+                if not len(others) or not own:
+                    continue
+                lengths = size[others]
+                stops = np.cumsum(lengths)
+                theirs = values[np.repeat(begins[others] - (stops - lengths), lengths) + np.arange(stops[-1])]
+                mine = values[begins[row] : ends[row]]
+                common = np.add.reduceat(mine[np.minimum(np.searchsorted(mine, theirs), own - 1)] == theirs, stops - lengths, dtype=np.int64)
+                similar = others[common >= similarity * (own + lengths - common)]
+                if len(similar):
+                    labels = np.unique(_roots(parent, np.append(similar, row)))
+                    parent[labels] = labels[0]
+    root = _roots(parent, np.arange(n))
+    linked = np.flatnonzero(root != np.arange(n))
+    return linked, root[linked]
+
+
+def _similar(similarity: float, wide: int):
+    """Links of each unit (comp, sa, sb) of a sorted stream; a unit is held, never a partition."""
+
+    def linked(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
         column = lambda c: table.column(c).to_numpy()
+        sets = table.column("shingles").combine_chunks()
+        sets = sets.chunk(0) if isinstance(sets, pa.ChunkedArray) else sets
+        starts = sets.offsets.to_numpy()
+        values = sets.values.to_numpy()[starts[0] : starts[-1]].view(np.uint64)
         fp = np.column_stack((column("fp"), column("fp2"))).view(np.uint64)
-        node, group = column("node"), column("g")
-        first, last = table.column("ga")[0].as_py(), table.column("gb")[0].as_py()
-        at = {x: i for i, x in enumerate(node.tolist())}
-        refuted = [i * len(node) + at[x] for i, no in enumerate(table.column("no").to_pylist()) for x in no or () if x in at]
-        sides = (np.flatnonzero(group == first), None if first == last else np.flatnonzero(group == last))
-        u, v, d = nearest(fp, column("label"), sides, np.array(refuted, np.int64), wide, most)
-        return pa.table({"u": node[u], "v": node[v], "d": pa.array(d.astype(np.int32))})
+        node = column("node")
+        u, v = similar_forest(fp, values, starts[1:].astype(np.int64) - starts[0], column("s"), column("sa")[0] == column("sb")[0], similarity, wide)
+        return pa.RecordBatch.from_arrays([pa.array(node[u]), pa.array(node[v])], names=["u", "v"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        key = None
+        for batch in batches:
+            keys = np.column_stack([batch.column(c).to_numpy() for c in ("comp", "sa", "sb")])
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                if held and key != tuple(keys[a]):
+                    yield linked(held)
+                    held = []
+                key = tuple(keys[a])
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield linked(held)
 
     return run
 
@@ -326,7 +343,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, group: int = GROUP, parts:
     units = _units(distinct.select("fp"), radius, group, parts)
     if units is None:
         return distinct.select(F.col("fp").alias("u"), F.col("fp").alias("v"))
-    return units.groupBy("ga", "gb").applyInArrow(_unit(radius), "u long, v long")
+    return units.groupBy("ga", "gb").applyInArrow(_unit(radius, ["fp"], "fp"), "u long, v long")
 
 
 def near_copies(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -346,43 +363,31 @@ def near_copies(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, s
     return prints.join(classes, "fp").select(F.col("id").alias("doc_id"), F.col("h").alias("text_hash"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")
 
 
-def similar_roots(docs: DataFrame, prints: DataFrame, similarity: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE, wide: int = WIDE, most: int = NEAREST, text_col: str = "text", group: int = GROUP) -> tuple[DataFrame, DataFrame | None]:
-    """(nodes, roots): the distinct fingerprints (fp, fp2, node, least) and (node, root) of those with near copies.
+def similar_links(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE, wide: int = WIDE, text_col: str = "text", group: int = GROUP, most_shingles: int = MOST_SHINGLES) -> DataFrame | None:
+    """(u, v): spanning links of the ``nodes`` (fp, fp2, node) that are similar; None if no two are candidates.
 
-    node is the least text hash of a fingerprint, least its least row.
+    node is the hash of a text with these fingerprints.
     """
-    row = F.struct(F.col("id").isNull().alias("none"), "id", "h")
-    nodes = materialize(prints.groupBy("fp", "fp2").agg(F.min("h").alias("node"), F.min(row).alias("least")), "nodes")
-    active = nodes.select("fp", "fp2", "node", F.col("node").alias("label"), F.array().cast("array<long>").alias("no"))
-    sets = found = refuted = roots = None
-    for k in range(MOST_ROUNDS):
-        few = most * 8**k
-        units = _units(active, wide, group, None)
-        if units is None:
-            return nodes, roots
-        close = units.groupBy("ga", "gb").applyInArrow(_nearest_unit(wide, few), "u long, v long, d int")
-        # of what the units bring, the nearest few of each
-        nearby = close.groupBy("u").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "v"))), 1, few).alias("few")).select("u", F.explode("few.v").alias("v"))
-        pairs = materialize(nearby.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "pairs")
-        if pairs.isEmpty():
-            return nodes, roots
-        ends = materialize(pairs.select("u").unionByName(pairs.select(F.col("v").alias("u"))).distinct().withColumnRenamed("u", "h"), "ends")
-        if sets is None:  # later rounds meet no other texts
-            sets = shingle_sets(docs, ends, shingle, text_col)
-        checked = confirmed(pairs, sets, similarity)
-        fine, wrong = checked.filter("similar").select("u", "v"), checked.filter("not similar").select("u", "v")
-        found = fine if found is None else found.unionByName(fine)
-        refuted = wrong if refuted is None else refuted.unionByName(wrong)
-        if roots is None or not fine.isEmpty():
-            old, roots = roots, materialize(components(found), "similar-roots")
-            discard(*([old] if old is not None else []))
-        no = refuted.unionByName(refuted.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy("u").agg(F.collect_set("v").alias("no"))
-        labelled = nodes.join(ends.withColumnRenamed("h", "node"), "node", "left_semi").join(roots, "node", "left").join(no.withColumnRenamed("u", "node"), "node", "left")
-        active = materialize(labelled.select("fp", "fp2", "node", F.coalesce("root", "node").alias("label"), "no"), "active")
-    raise RuntimeError(f"near copies did not settle in {MOST_ROUNDS} rounds")
-
-
-def keep_one(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
+    units = _units(nodes.select("fp", "fp2", "node"), wide, group, None)
+    if units is None:
+        return None
+    near = materialize(units.groupBy("ga", "gb").applyInArrow(_unit(wide, ["fp", "fp2"], "node"), "u long, v long"), "candidates")
+    if near.isEmpty():
+        return None
+    members = materialize(components(near).withColumnRenamed("root", "comp"), "members")
+    sets = shingle_sets(docs, members.select(F.col("node").alias("h")), shingle, text_col)
+    rows = nodes.select("fp", "fp2", "node").join(members, "node").join(sets.withColumnRenamed("h", "node"), "node")
+    rows = materialize(rows, "candidate-sets")
+    weights = rows.groupBy("comp").agg(F.sum(F.size("shingles") + 1).alias("w")).select("comp", F.ceil(F.col("w") / most_shingles).cast("int").alias("parts"))
+    # a component too large for a task meets itself part by part
+    dealt = rows.join(weights, "comp").withColumn("s", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("comp", F.least("s", "o").alias("sa"), F.greatest("s", "o").alias("sb"), "s", "node", "fp", "fp2", "shingles")
+    streams = dealt.repartition(shuffle_partitions(docs.sparkSession), "comp", "sa", "sb").sortWithinPartitions("comp", "sa", "sb")
+    return map_arrow(streams, _similar(similarity, wide), "u long, v long")
+
+
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP, most_shingles: int = MOST_SHINGLES) -> DataFrame:
     """``docs`` with one row of each component of near copies: the one with the smallest id, then the smallest text hash.
 
     Null and empty texts, and those without words, are copies of each other; a null id comes last;
@@ -391,10 +396,11 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SIM
     128 bits agree count as copies without a look at their shingles.
     """
     prints = materialize(fingerprints(docs, shingle, id_col=id_col, text_col=text_col, words=2, distinct=True), "fingerprints")
-    nodes, roots = similar_roots(docs, prints, similarity, shingle, text_col=text_col, group=group)
-    least = nodes.select("node", "least")
-    if roots is not None:
-        least = least.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
+    row = F.struct(F.col("id").isNull().alias("none"), "id", "h")
+    nodes = materialize(prints.groupBy("fp", "fp2").agg(F.min("h").alias("node"), F.min(row).alias("least")), "nodes")
+    least, links_ = nodes.select("node", "least"), similar_links(docs, nodes, similarity, shingle, text_col=text_col, group=group, most_shingles=most_shingles)
+    if links_ is not None:
+        least = least.join(components(links_), "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
     p = unused(docs)
     kept = materialize(least.select(F.col("least.id").alias(f"{p}id"), F.col("least.h").alias(f"{p}kept")), "kept")
     same = F.col(id_col).cast("long").eqNullSafe(F.col(f"{p}id")) & (F.col(f"{p}hash") == F.col(f"{p}kept"))

@@ -65,7 +65,8 @@ def test_forest_links_everything():
     values = np.unique(np.concatenate((base, near)))
     half = len(values) // 2
     for a, b in ((values, None), (values[:half], values[half:])):
-        u, v = simhash.forest(a, b, 4)
+        u, v = simhash.forest(a[:, None], None if b is None else b[:, None], 4)
+        u, v = values[u], values[v]
         assert len(u) < len(values)
         parent = {int(x): int(x) for x in values}
 

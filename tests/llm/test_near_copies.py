@@ -58,35 +58,36 @@ def test_real_documents(documents):
 
 
 def test_small_groups(spark):
-    """Groups of a few fingerprints each, so that most pairs meet between groups, keep the same rows."""
+    """Groups of a few fingerprints, and components divided into parts of a few texts, keep the same rows."""
     docs = spark.createDataFrame(list(enumerate(corpus())), "doc_id long, text string")
     key = lambda df: sorted(r.doc_id for r in df.collect())
-    assert key(simhash.keep_one(docs, group=20)) == key(simhash.keep_one(docs))
+    assert key(simhash.keep_one(docs, group=20, most_shingles=1500)) == key(simhash.keep_one(docs))
 
 
-def test_nearest():
-    """The nearest rows with other labels, by brute force, with refuted pairs and a small buffer."""
+def test_similar_forest():
+    """The components of pairs that are near and similar, by brute force, within one side and between two."""
     rng = np.random.default_rng(7)
     base = rng.integers(0, 1 << 63, (20, 2), dtype=np.uint64)
-    fp = np.repeat(base, 30, axis=0)
+    fp = np.repeat(base, 15, axis=0)
     for _ in range(6):
-        fp[np.arange(600), rng.integers(0, 2, 600)] ^= np.uint64(1) << rng.integers(0, 63, 600).astype(np.uint64)
-    label = rng.integers(0, 40, 600)
-    refuted = np.unique(rng.integers(0, 600, (2000, 2)), axis=0)
-    refuted = np.unique(np.concatenate((refuted[:, 0] * 600 + refuted[:, 1], refuted[:, 1] * 600 + refuted[:, 0])))
+        fp[np.arange(300), rng.integers(0, 2, 300)] ^= np.uint64(1) << rng.integers(0, 63, 300).astype(np.uint64)
+    sets = [np.unique(rng.choice(np.arange(30 * (i // 15), 30 * (i // 15) + 30, dtype=np.uint64), rng.integers(20, 31))) for i in range(300)]
+    sets[7] = np.empty(0, np.uint64)
+    ends, values = np.cumsum([len(x) for x in sets]), np.concatenate(sets)
     every = np.bitwise_count(fp[:, None] ^ fp[None]).sum(axis=2)
-    banned = np.zeros((600, 600), bool)
-    banned.flat[refuted] = True
-    for sides in ((np.arange(600), None), (np.arange(250), np.arange(250, 600))):
-        across = np.ones((600, 600), bool) if sides[1] is None else (np.arange(600) < 250)[:, None] != (np.arange(600) < 250)
-        fine = (every <= 32) & (label[:, None] != label) & ~banned & across
-        want = [sorted(every[i][fine[i]].tolist())[:3] for i in range(600)]
-        for held in (simhash.HELD, 50):
-            old, simhash.HELD = simhash.HELD, held
-            u, v, d = simhash.nearest(fp, label, sides, refuted, 32, 3)
-            simhash.HELD = old
-            assert fine[u, v].all() and (every[u, v] == d).all()
-            assert [sorted(d[u == i].tolist()) for i in range(600)] == want
+    side = rng.integers(0, 2, 300)
+    for within in (True, False):
+        root = list(range(300))
+        for i in range(300):
+            for j in range(i):
+                common = len(np.intersect1d(sets[i], sets[j]))
+                if every[i, j] <= 12 and common and common >= 0.8 * (len(sets[i]) + len(sets[j]) - common) and (within or side[i] != side[j]):
+                    old, new = root[i], root[j]
+                    root = [new if r == old else r for r in root]
+        u, v = simhash.similar_forest(fp, values, ends, side, within, 0.8, 12)
+        parent = dict(zip(u.tolist(), v.tolist(), strict=True))
+        top = [parent.get(i, i) for i in range(300)]
+        assert len(set(top)) == len(set(root)) and len(set(zip(top, root, strict=True))) == len(set(root)) < 300
 
 
 def test_fingerprint_words():

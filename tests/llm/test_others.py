@@ -499,11 +499,29 @@ def test_stages(spark, small):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "line_dedup", "near_copies", "mixing", "byte_bpe"]
     docs = spark.read.parquet(f"{small}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        before = {r.doc_id: r.text for r in docs.collect()}
+        rows_before = docs.collect()
+        before = {r.doc_id: r.text for r in rows_before}
         docs = spark.createDataFrame(stage(spark, docs, small).collect(), docs.schema)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         after = {r.doc_id: r.text for r in docs.collect()}
-        assert after.keys() <= before.keys()
+        assert after.keys() <= before.keys() and after
+        if name == "quality":
+            model = quality.train(spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet"))
+            scores = {r.doc_id: plain_score(model, r.text, r.lang, r.source, r.n_chars) for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+            assert all((i in after) == (s >= model.threshold) for i, s in scores.items() if abs(s - model.threshold) > 1e-3) and len(after) < len(before)
+        if name == "mixing":
+            sizes = {}
+            for r in rows_before:
+                sizes[r.source] = sizes.get(r.source, 0) + n_words(r.text)
+            taken, goals = dict.fromkeys(sizes, 0), water_fill(sizes)
+            source = {r.doc_id: r.source for r in rows_before}
+            shown = {}
+            for r in docs.collect():
+                taken[source[r.doc_id]] += n_words(r.text)
+                shown[r.doc_id] = shown.get(r.doc_id, 0) + n_words(r.text)
+                rest = iter(before[r.doc_id].split())
+                assert all(w in rest for w in r.text.split())  # the words of the text, in its order
+            assert all(abs(taken[k] - goals[k]) <= 1 for k in goals) and all(n <= 2 * n_words(before[i]) for i, n in shown.items())
         if name == "line_dedup":
             assert after == {i: t for (i, _), t in brute_cut(list(before.items())).items()}
         if name == "near_copies":
