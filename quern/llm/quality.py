@@ -21,10 +21,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, text_hash, unused
+from .common import bounded_batches, text_hash, unused
 
 #: Labelled rows that training sees at most, rounds, rows that a view labels for the other in a round.
 LABELLED, ROUNDS, EACH = 4000, 3, 150
@@ -247,13 +247,13 @@ def surest(scored: DataFrame, known: DataFrame, taken: list[int], low: int, high
     free = scored.join(known.select(F.col("doc_id").alias("id")), "id", "left_anti")
     if taken:
         free = free.join(F.broadcast(spark.createDataFrame([(h,) for h in taken], "h long")), "h", "left_anti")
-    once = materialize(free.groupBy("h").agg(F.min(F.struct("id", "a", "b")).alias("x")).select("h", "x.*"), "unlabelled")
-    best = None
-    for view in ("a", "b"):
-        for label, sign, n in ((0, -1, low), (1, 1, high)):
-            few = once.filter(F.col(view) * sign >= sure[view, label]).orderBy((F.col(view) * sign).desc(), "h").limit(n).select(F.lit(view).alias("view"), F.lit(label).alias("label"), "id", "h")
-            best = few if best is None else best.unionByName(few)
-    return sorted(tuple(r) for r in best.collect())  # at most 2 * (low + high) rows
+    once = free.groupBy("h").agg(F.min(F.struct("id", "a", "b")).alias("x")).select("h", "x.*")
+    said = [F.struct(F.lit(v).alias("view"), F.lit(n).alias("label"), (F.col(v) * (1 if n else -1)).alias("margin"), F.lit(sure[v, n]).alias("least")) for v in ("a", "b") for n in (0, 1)]
+    every = once.select("id", "h", F.explode(F.array(*said)).alias("s")).select("id", "h", "s.*").filter("margin >= least")
+    # a bound on the rank, so that partitions send on their best only
+    best = Window.partitionBy("view", "label").orderBy(F.col("margin").desc(), "h")
+    few = every.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= max(low, high)).collect()  # at most 4 * max(low, high) rows
+    return sorted((r.view, r.label, r.id, r.h) for r in few if r["rank"] <= (high if r.label else low))
 
 
 def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, each: int = EACH) -> Model | None:
@@ -263,7 +263,6 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds:
     counts; of several rows of one id the one with the least features.
     """
     clean = labels.filter("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("y"))
-    clean = materialize(clean, "labels")
     ids = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"))
     chosen = clean.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(labelled).collect()
     label = {r.doc_id: r.y for r in chosen}
@@ -280,9 +279,8 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds:
         text, page = fit(*rows(more["a"], a)), fit(*rows(more["b"], b))
         if k == rounds:
             break
-        scored = materialize(margins(docs, text, page), "margins")
         limits = {(v, n): sure_from(m.margin(x[held]), y[held], n) for v, m, x in (("a", text, a), ("b", page, b)) for n in (0, 1)}
-        sure = surest(scored, clean, taken, max(1, round(each * (1 - share))), max(1, round(each * share)), limits)
+        sure = surest(margins(docs, text, page), clean, taken, max(1, round(each * (1 - share))), max(1, round(each * share)), limits)
         if not sure:
             break
         found, fa, fb = _views(docs, sorted({(i, h) for _, _, i, h in sure}))
