@@ -28,6 +28,8 @@ from .common import bounded_batches, text_hash, unused
 
 #: Labelled rows that training sees at most, rounds, rows that a view labels for the other in a round.
 LABELLED, ROUNDS, EACH = 4000, 3, 150
+#: Tasks that rank what one view makes of one label, before one task ranks what they found.
+PARTS = 64
 #: A view labels only beyond a margin where so many held-out rows are right, if there are so many such rows.
 PRECISION, ENOUGH = 0.99, 20
 #: Below this score a document is rejected; lower where that would reject more than the rest of KEEP_GOOD among good
@@ -250,9 +252,12 @@ def surest(scored: DataFrame, known: DataFrame, taken: list[int], low: int, high
     once = free.groupBy("h").agg(F.min(F.struct("id", "a", "b")).alias("x")).select("h", "x.*")
     said = [F.struct(F.lit(v).alias("view"), F.lit(n).alias("label"), (F.col(v) * (1 if n else -1)).alias("margin"), F.lit(sure[v, n]).alias("least")) for v in ("a", "b") for n in (0, 1)]
     every = once.select("id", "h", F.explode(F.array(*said)).alias("s")).select("id", "h", "s.*").filter("margin >= least")
-    # a bound on the rank, so that partitions send on their best only
-    best = Window.partitionBy("view", "label").orderBy(F.col("margin").desc(), "h")
-    few = every.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= max(low, high)).collect()  # at most 4 * max(low, high) rows
+    # bounds on the rank, so that partitions send on their best only, and those by way of a number of tasks
+    few = every.withColumn("part", F.pmod("h", F.lit(PARTS)))
+    for keys in (("view", "label", "part"), ("view", "label")):
+        best = Window.partitionBy(*keys).orderBy(F.col("margin").desc(), "h")
+        few = few.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= max(low, high))
+    few = few.collect()  # at most 4 * max(low, high) rows
     return sorted((r.view, r.label, r.id, r.h) for r in few if r["rank"] <= (high if r.label else low))
 
 
