@@ -37,7 +37,7 @@ SHINGLE, SEED, RADIUS = 4, 42, 4
 #: A pair of similarity 0.8 differs in 19.4 +- 4.1 of 128 bits, one of 0.85 in 16.5 +- 3.8, an unrelated one in 64 +- 5.7.
 SIMILAR_SHINGLE, SIMILARITY, WIDE = 5, 0.8, 26
 #: Shingles of the texts that one task compares on a side; a component with more is divided.
-MOST_SHINGLES = 2_000_000
+MOST_SHINGLES = 500_000
 #: Fingerprints in a group at most; the number of groups below which they are smaller.
 GROUP, LEAST_GROUPS = 65_536, 16
 #: Rows of the two sides of a tile, shingles turned into bits at once.
