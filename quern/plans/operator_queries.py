@@ -15,7 +15,7 @@ from ..operators import dml, integrity
 from ..operators.hierarchy import connect_by
 from ..operators.numbering import with_rownum
 from ..session import engine_for
-from ..sources.transfer import reconcile, serialised, staged, transferable, unstaged
+from ..sources.transfer import copy_table, reconcile, serialised, staged, transferable, unstaged
 from ..streaming.windows import sessions, windowed
 from ..storage import shared_path
 
@@ -52,6 +52,16 @@ def row_count_reconcile(spark: SparkSession, folder: str) -> DataFrame:
     return reconcile(spark, source, {"orders": source["orders"].filter("o_orderstatus <> 'F'"), "customer": source["customer"]})
 
 
+@against("SELECT action, source_rows, target_rows, CASE action WHEN 'read' THEN (SELECT CAST(sum(l_orderkey) AS BIGINT) FROM lineitem) END AS checked FROM (SELECT unnest(['copied', 'equal', 'read']) AS action), (SELECT count(*) AS source_rows, count(*) AS target_rows FROM lineitem)")
+def table_transfer(spark: SparkSession, folder: str) -> DataFrame:
+    """A table copied to an empty target, found equal the second time, and read back."""
+    source, path = table(spark, folder, "lineitem"), shared_path(spark, "transfer")
+    done = [copy_table(spark, "lineitem", source, path) for _ in range(2)]
+    rows = spark.createDataFrame([(o.action, o.source_rows, o.target_rows, None) for o in done], "action string, source_rows long, target_rows long, checked long")
+    n = F.count(F.lit(1))
+    return rows.unionByName(spark.read.parquet(path).agg(F.lit("read").alias("action"), n.alias("source_rows"), n.alias("target_rows"), F.sum("l_orderkey").cast("long").alias("checked")))
+
+
 @against("SELECT l_orderkey, l_linenumber, COUNT(*) AS n FROM lineitem GROUP BY 1, 2 HAVING COUNT(*) > 1")
 def pk_violations(spark: SparkSession, folder: str) -> DataFrame:
     return integrity.key_violations(table(spark, folder, "lineitem"), ["l_orderkey", "l_linenumber"])

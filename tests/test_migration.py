@@ -1,6 +1,9 @@
 """The whole move of a schema on the constraint data set of two departments and two employees."""
 
+import pytest
+
 from quern.catalog import Constraint
+from quern.errors import QuernError
 from quern.plans.migration import ColumnSpec, Migration, Schema, default_expression
 
 
@@ -41,6 +44,34 @@ def test_move(spark, tmp_path):
     assert again["data"].skipped == ["departments", "employees"] and again["sequences"].skipped == ["emp_seq"]
 
 
+def test_verification(spark, tmp_path):
+    """What is missing, different, violated or only a stub is told apart."""
+    schema = Schema(
+        "vf",
+        tables={"t": {"k": ColumnSpec("NUMBER(10)", False), "s": ColumnSpec("VARCHAR2(5)")}, "u": {"x": ColumnSpec("NUMBER(3)")}},
+        data={"t": spark.sql("SELECT 1 AS k, 'a' AS s UNION ALL SELECT 1, 'b'")},
+        sequences={"q": (1, 1)},
+        constraints=[Constraint("pk_t", "vf.t", "P", ("k",)), Constraint("ck_t", "vf.t", "C", condition="k > 0")],
+        views={"v": ("SELECT k FROM t", {"k": "NUMBER(10)"})},
+        code=["CREATE FUNCTION first(x NUMBER) RETURN NUMBER IS BEGIN RETURN second(x) + 1; END;", "CREATE FUNCTION second(x NUMBER) RETURN NUMBER IS BEGIN RETURN x * 2; END;"],
+    )
+    m = Migration(spark, str(tmp_path))
+    states = lambda: {(r.kind, r.name): r.state for r in m.verify(schema).collect()}
+    assert set(states().values()) == {"missing"}
+    m.runtime.stub(schema.code[0])
+    assert m.runtime.state("first") == "stub" and m.runtime.state("second") == "missing"
+    with pytest.raises(QuernError, match="no body"):
+        m.runtime.call("first", 1)
+    m.run(schema)
+    assert m.runtime.call("first", 4) == 9
+    m.engine.register("vf.u", spark.range(1))
+    m.engine.catalog.sequences["q"].increment = 2
+    got = states()
+    assert {k: v for k, v in got.items() if v != "ok"} == {("table", "u"): "different", ("sequence", "q"): "different", ("constraint", "pk_t"): "violated"}
+    m.engine.create_view_stub("vf.v", {"k": "NUMBER(10)"})
+    assert states()["view", "v"] == "stub"
+
+
 def test_defaults(spark):
     engine = Migration(spark, "/nowhere").engine
     assert default_expression(engine, "''") == "NULL"
