@@ -26,7 +26,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of runs of lines are cut from the texts; every row stays, even an emptied one.
+    """Later repeats of passages of 50 words are cut from the texts; every row stays, even an emptied one.
 
     Null and empty texts stay as they are; rows repeated in id and text count as one document; a null
     id comes last; an empty table gives an empty one; further columns are unchanged.

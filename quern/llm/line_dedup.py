@@ -1,134 +1,165 @@
-"""Line dedup by winnowing: runs of lines that occurred before are deleted.
-
-A *run* is consecutive lines with at least ``min_words`` words together.  A line is deleted exactly
-if it lies in a run whose lines all stand, in the same order, at an earlier place (smaller document
-id, then text hash, then line number).
-
-1. A window is a shortest run from a given line or to one.  Of each window the line with the least hash
-   is selected (the last one on ties).  A repeated run contains a whole window, which selects the
-   same line wherever it stands, so every repeated run has a selected line in common.
-2. Selected positions are joined with those whose hash was selected twice or more; most go here.
-3. The windows around each remaining position are joined with the earliest place of the same window.
-4. From there a match extends both ways, window by window: the windows before and after it that meet the
-   same earlier document at the same distance become one match.  The lines of the earlier document
-   are never sent to its later copies, of which there may be any number.
-5. What the matches of a document cover is cut from its text.
-
-A document takes time in proportion to its lines: window minima come from one pass over a queue, and
-a window's hash from the prefix hashes at its ends.  Counts and earliest places are aggregated before
-each exchange; joins on frequent hashes are sort-merge joins that adaptive execution splits.
+"""Dedup of repeated passages by winnowing: runs of words that occurred before are deleted.
+
+A passage is a run of at least ``min_words`` words, wherever it begins and ends in its lines; white
+space between words does not count.  What repeats an earlier place (smaller document id, then text
+hash, then word number) is deleted.
+
+1. Every ``GRAM`` consecutive words have a hash.  Of each window of hashes that a passage of
+   ``min_words`` words spans, the least one is selected (the last one on ties), so every repeated
+   passage has a selected hash in common with its earlier place, at the same words.
+2. Selected positions are joined with the earliest place of the same hash; most hashes have one only.
+3. A match is extended both ways, word by word, as far as ``min_words - GRAM`` words on each side.
+   That tells whether it is long enough, and the next selected position of a longer match lies no
+   further away.  No more than these words of an earlier place are sent to its later ones, of which
+   there may be any number.
+4. Positions whose match is too short (the earliest place has part of the passage only) are compared
+   with the next place of their hash, in rounds, until a round finds nothing more.
+5. Matches equally far apart in both documents become one; what they cover is cut from the text.
+
+A document takes time in proportion to its words.  Earliest places are aggregated before each
+exchange; joins on frequent hashes are sort-merge joins that adaptive execution splits.
 """
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_text, map_arrow, materialize, text_hash, unused
-
-MIN_WORDS, SEED = 50, 9
-#: Prefix hashes are polynomials in BASE modulo a prime.
-PRIME, BASE = (1 << 61) - 1, 0x1B873593CC9E2D51 % ((1 << 61) - 1)
-
-LINES = "id long, th long, hashes array<long>, words array<int>, picks array<int>"
-
-
-def shortest_runs(words: list[int], least: int) -> list[tuple[int, int]]:
-    """(first, last line) of the shortest runs from each start and to each end."""
-    out, low, total = [], 0, 0
-    for high, n in enumerate(words):
-        total += n
-        if total < least:
-            continue
-        while total - words[low] >= least:
-            total -= words[low]
-            low += 1
-        out.append((low, high))  # to this end
-    back, high, total = [], len(words) - 1, 0
-    for low in range(len(words) - 1, -1, -1):
-        total += words[low]
-        if total < least:
-            continue
-        while total - words[high] >= least:
-            total -= words[high]
-            high -= 1
-        back.append((low, high))  # from this start
-    return sorted({*out, *back})
-
-
-def picks(hashes: list[int], words: list[int], least: int) -> list[int]:
-    """The lines that winnowing selects; both ends of the windows only move forward."""
-    chosen, queue, end = set(), deque(), 0
-    for a, b in shortest_runs(words, least):
-        for i in range(end, b + 1):
-            while queue and hashes[queue[-1]] >= hashes[i]:
-                queue.pop()
-            queue.append(i)
-        end = max(end, b + 1)
-        while queue[0] < a:
-            queue.popleft()
-        chosen.add(queue[0])
-    return sorted(chosen)
-
-
-def run_hashes(hashes: list[int], runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Two hashes of each run: of all its lines, and of its first and last one."""
-    total, power, at = 0, 1, [(0, 1)]
-    for h in hashes:
-        total, power = (total * BASE + (h & 0x7FFFFFFFFFFFFFFF) + (h < 0) + 1) % PRIME, power * BASE % PRIME
-        at.append((total, power))
-    return [((at[b + 1][0] - at[a][0] * at[b + 1 - a][1]) % PRIME, (hashes[a] * 31 + hashes[b] + b - a + (1 << 63)) % (1 << 64) - (1 << 63)) for a, b in runs]
-
-
-def _lines(least: int):
+from .common import blocks_of, keyed_text, map_arrow, materialize, text_hash, unused
+
+MIN_WORDS, GRAM, SEED = 50, 30, 9
+MOST_ROUNDS = 50
+#: Odd, so that it has an inverse modulo 2^64: a gram's hash is a polynomial of its words' hashes.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+
+WORDS = "id long, th long, words binary, at array<int>, grams array<long>"
+#: A token of the rebuilt text: a word and the white space before it.
+TOKEN, SPACE, WORD = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+", r"^[\x20\x09-\x0D]*", r"[^\x20\x09-\x0D]+"
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.ones(max(1, n), np.uint64)
+    if n > 1:
+        out[1:] = base
+        out = np.multiply.accumulate(out)
+    return out[:n]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def gram_hashes(words: np.ndarray, gram: int) -> np.ndarray:
+    """The hash (uint64) of every ``gram`` consecutive words, which are given by their hashes (uint32)."""
+    n = len(words) - gram + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    terms = _mixed(words.astype(np.uint64) + np.uint64(1)) * _powers(BASE, len(words))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)))
+    return _mixed((sums[gram:] - sums[:n]) * _powers(INVERSE, n))
+
+
+def selected(hashes: np.ndarray, window: int) -> np.ndarray:
+    """The positions that winnowing selects: the last least one of each window."""
+    n = len(hashes)
+    if n < window:
+        return np.empty(0, np.int64)
+    # the least of each window by blocks: the least up to the end of a block and from the start of the next
+    padded = np.concatenate((hashes, np.full(-n % window, np.iinfo(np.uint64).max, np.uint64))).reshape(-1, window)
+    ahead = np.minimum.accumulate(padded, axis=1).ravel()[:n]
+    back = np.minimum.accumulate(padded[:, ::-1], axis=1)[:, ::-1].ravel()[:n]
+    least = np.minimum(back[: n - window + 1], ahead[window - 1 :])
+    # a position is selected if its value is the least of a window and no later place in it has that value
+    chosen = np.zeros(n, bool)
+    for start in range(0, len(least), 65_536):
+        stop = min(len(least), start + 65_536)
+        part = np.lib.stride_tricks.sliding_window_view(hashes[start : stop + window - 1], window)
+        last = window - 1 - np.argmax(part[:, ::-1] == least[start:stop, None], axis=1)
+        chosen[np.arange(start, stop) + last] = True
+    return np.flatnonzero(chosen)
+
+
+def _words(least: int, gram: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh64_intdigest
-        for batch in batches:
-            hashes, words, chosen = [], [], []
-            for text in batch.column("text").to_pylist():
-                lines = [x.strip() for x in text.split("\n")]
-                n = [len(x.split()) for x in lines]
-                h = [digest(x, SEED) - (1 << 63) for x in lines]
-                hashes.append(h)
-                words.append(n)
-                chosen.append(picks(h, n, least) if sum(n) >= least else [])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), pa.array(hashes, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32())), pa.array(chosen, pa.list_(pa.int32()))], names=["id", "th", "hashes", "words", "picks"])
+        digest = xxhash.xxh32_intdigest
+        known: dict[bytes, int] = {}
+        for held in blocks_of(batches, "text", 1_000_000):
+            table = pa.Table.from_batches(held)
+            every, places, grams = [], [], []
+            for text in table.column("text").to_pylist():
+                words = text.encode().split()
+                if len(known) > 500_000:
+                    known.clear()
+                for w in words:
+                    if w not in known:
+                        known[w] = digest(w, SEED)
+                hashes = np.fromiter((known[w] for w in words), np.uint32, len(words))
+                own = gram_hashes(hashes, gram) if len(words) >= least else np.empty(0, np.uint64)
+                at = selected(own, least - gram + 1)
+                every.append(hashes.tobytes())
+                places.append(at.astype(np.int32))
+                grams.append(own[at].view(np.int64))
+            columns = [pa.array(every, pa.binary()), pa.array(places, pa.list_(pa.int32())), pa.array(grams, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([table.column("id").combine_chunks(), table.column("th").combine_chunks(), *columns], names=["id", "th", "words", "at", "grams"])
 
     return run
 
 
-def _windows(least: int):
+def _around(reach: int, gram: int):
+    """Each met position with the words before and behind its gram, ``reach`` on each side at most."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[int, int, int, int, int, int]] = []
-            for r in batch.to_pylist():
-                at, k, runs = sorted(r["at"]), 0, []
-                for a, b in shortest_runs(r["words"], least):
-                    while k < len(at) and at[k] < a:
-                        k += 1
-                    if k < len(at) and at[k] <= b:
-                        runs.append((a, b))
-                out += [(r["id"], r["th"], a, b, *h) for (a, b), h in zip(runs, run_hashes(r["hashes"], runs), strict=True)]
+            out: list[tuple] = []
+            for i, th, words, met in zip(*(batch.column(c).to_pylist() for c in ("id", "th", "words", "met")), strict=True):
+                for m in met:
+                    at = m["at"]
+                    out.append((m["h"], i, th, at, words[4 * max(0, at - reach) : 4 * at], words[4 * (at + gram) : 4 * (at + gram + reach)]))
             columns = list(zip(*out, strict=True)) or [()] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["id", "th", "lo", "hi", "run", "edge"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["h", "id", "th", "at", "before", "behind"])
 
     return run
 
 
-def extended(windows: list[tuple[int, int, tuple, int]]) -> list[tuple[int, int, tuple, int]]:
-    """(first, last line, earlier document, its line) of each match.
+def common_words(a: bytes, b: bytes, back: bool) -> int:
+    """How many words (4 bytes each) two stretches have in common, from their starts, or from their ends."""
+    n = min(len(a), len(b)) // 4
+    if not n:
+        return 0
+    x, y = (np.frombuffer(s[len(s) - 4 * n :] if back else s[: 4 * n], np.uint32) for s in (a, b))
+    differ = np.flatnonzero(x[::-1] != y[::-1]) if back else np.flatnonzero(x != y)
+    return int(differ[0]) if len(differ) else n
 
-    ``windows`` says for each matched window where it begins in the earlier document; those that lie
-    equally far apart in both documents, without a line between them, are one match.
-    """
+
+def _extend(least: int, gram: int):
+    """(id, th, at, lo, hi) of each position and, from its own and its earlier place's words, the words it repeats; hi < lo if these are too few."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lo, hi = [], []
+            for at, a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("at", "before", "behind", "_before", "_behind")), strict=True):
+                left, right = common_words(a, x, True), common_words(b, y, False)
+                long = left + gram + right >= least
+                lo.append(at - left if long else 0)
+                hi.append(at + gram + right - 1 if long else -1)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("h", "id", "th", "at", "first")), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], names=["h", "id", "th", "at", "first", "lo", "hi"])
+
+    return run
+
+
+def extended(matches: list[tuple[int, int, tuple, int]]) -> list[tuple[int, int, tuple, int]]:
+    """(first, last word, earlier document, its word) of matches, those equally far apart in both documents joined to one."""
     out: list[list] = []
-    for lo, hi, place, at in sorted(windows, key=lambda w: (w[2], w[3] - w[0], w[0], w[1])):
+    for lo, hi, place, at in sorted(matches, key=lambda w: (w[2], w[3] - w[0], w[0], w[1])):
         if out and out[-1][2] == place and out[-1][3] - out[-1][0] == at - lo and lo <= out[-1][1] + 1:
             out[-1][1] = max(out[-1][1], hi)
         else:
@@ -137,7 +168,7 @@ def extended(windows: list[tuple[int, int, tuple, int]]) -> list[tuple[int, int,
 
 
 def covered(matches: list[tuple[int, int, tuple, int]]) -> list[tuple[int, int]]:
-    """The lines that matches cover, as runs."""
+    """The words that matches cover, as runs."""
     out: list[list[int]] = []
     for lo, hi, *_ in matches:
         if out and lo <= out[-1][1] + 1:
@@ -147,70 +178,108 @@ def covered(matches: list[tuple[int, int, tuple, int]]) -> list[tuple[int, int]]
     return [(a, b) for a, b in out]
 
 
-def between(cut: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """(first line, counted from 1; number of lines) of the stretches around the cuts, the last one as long as any."""
-    starts = [1, *(b + 2 for _, b in cut)]
-    return [(s, a + 1 - s) for s, (a, _) in zip(starts, cut)] + [(starts[-1], 1 << 30)]
+def between(cut: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(first word, number of words, first word of the cut before; counted from 1) of the stretches around the cuts.
 
+    The last one is as long as any; the first one has itself for the cut before.
+    """
+    starts, cuts = [1, *(b + 2 for _, b in cut)], [1, *(a + 1 for a, _ in cut)]
+    return [(s, a + 1 - s, c) for s, (a, _), c in zip(starts, cut, cuts)] + [(starts[-1], 1 << 30, cuts[-1])]
 
-SPAN, STRETCH = ([(c, pa.int32()) for c in names] for names in (("lo", "hi"), ("at", "n")))
-MATCHES = "id long, th long, cut array<struct<lo:int,hi:int>>, kept array<struct<at:int,n:int>>, matches array<struct<lo:int,hi:int,id:long,line:int>>"
+
+SPAN, STRETCH = ([(c, pa.int32()) for c in names] for names in (("lo", "hi"), ("at", "n", "cut")))
+MATCHES = "id long, th long, cut array<struct<lo:int,hi:int>>, kept array<struct<at:int,n:int,cut:int>>, matches array<struct<lo:int,hi:int,id:long,word:int>>"
 
 
 def _matches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         cut, kept, found = [], [], []
-        for windows in batch.column("windows").to_pylist():
-            matches = extended([(w["lo"], w["hi"], (w["first"]["none"], w["first"]["id"] or 0, w["first"]["th"]), w["first"]["lo"]) for w in windows])
-            cut.append([{"lo": a, "hi": b} for a, b in covered(matches)])
-            kept.append([{"at": a, "n": n} for a, n in between(covered(matches))])
-            found.append([{"lo": a, "hi": b, "id": None if none else i, "line": line} for a, b, (none, i, _), line in matches])
-        kinds = (pa.list_(pa.struct(fields)) for fields in (SPAN, STRETCH, [*SPAN, ("id", pa.int64()), ("line", pa.int32())]))
+        for spans in batch.column("spans").to_pylist():
+            matches = extended([(s["lo"], s["hi"], (s["first"]["none"], s["first"]["id"] or 0, s["first"]["th"]), s["first"]["at"] - s["at"] + s["lo"]) for s in spans])
+            runs = covered(matches)
+            cut.append([{"lo": a, "hi": b} for a, b in runs])
+            kept.append([{"at": a, "n": n, "cut": c} for a, n, c in between(runs)])
+            found.append([{"lo": a, "hi": b, "id": None if none else i, "word": word} for a, b, (none, i, _), word in matches])
+        kinds = (pa.list_(pa.struct(fields)) for fields in (SPAN, STRETCH, [*SPAN, ("id", pa.int64()), ("word", pa.int32())]))
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), *(pa.array(x, t) for x, t in zip((cut, kept, found), kinds, strict=True))], names=["id", "th", "cut", "kept", "matches"])
 
 
-def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, th, cut, kept, matches) of each document that repeats a run; th is its text's hash.
+TRIED = "h long, id long, th long, at int, first struct<none:boolean,id:long,th:long,at:int>, lo int, hi int"
+
+
+def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM) -> DataFrame:
+    """(id, th, cut, kept, matches) of each document that repeats a passage; th is its text's hash.
 
-    cut holds the lines to delete, kept the stretches around them, matches the runs with the id and first line of the place they
-    repeat.  Rows repeated in full (id and text) are one document; documents of one id are ordered by
-    text hash; null ids come last; null and empty texts have no run.
+    cut holds the words to delete, kept the stretches around them, matches the runs with the id and
+    first word of the place they repeat.  Rows repeated in full (id and text) are one document;
+    documents of one id are ordered by text hash; null ids come last; null and empty texts have no
+    passage.  A place in the same document counts if the passage does not overlap it.
     """
-    rows = map_arrow(keyed_text(docs, id_col, text_col, text_hash(text_col).alias("th")), _lines(min_words), LINES)
-    lines = materialize(rows.dropDuplicates(["id", "th"]), "lines")
-    chosen = lines.select("id", "th", F.explode("picks").alias("at"), "hashes").select("id", "th", "at", F.get("hashes", F.col("at")).alias("h"))
+    rows = map_arrow(keyed_text(docs, id_col, text_col, text_hash(text_col).alias("th")), _words(min_words, gram), WORDS)
+    words = materialize(rows, "words")
+    chosen = words.select("id", "th", F.explode(F.arrays_zip("at", F.col("grams").alias("h"))).alias("x")).select("id", "th", F.col("x.at").alias("at"), F.col("x.h").alias("h"))
+    place = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("th"), F.col("at"))
     # written tables on both sides of the joins: what an exchange deals out for a frequent hash can then be split
-    frequent = materialize(chosen.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "frequent")
-    met = materialize(chosen.join(frequent, "h").select("id", "th", "at"), "met").groupBy("id", "th").agg(F.collect_list("at").alias("at"))
-    met = met.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "at")
-    around = lines.join(met, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("id", "th", "hashes", "words", "at")
-    runs = materialize(map_arrow(around, _windows(min_words), "id long, th long, lo int, hi int, run long, edge long"), "windows")
-    place = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("th"), F.col("lo"))
-    first = materialize(runs.groupBy("run", "edge").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1").select("run", "edge", "first"), "first-places")
-    later = materialize(runs.join(first, ["run", "edge"]).filter(place > F.col("first")).select("id", "th", "lo", "hi", "first"), "later-windows")
-    return map_arrow(later.groupBy("id", "th").agg(F.collect_list(F.struct("lo", "hi", "first")).alias("windows")), _matches, MATCHES)
-
-
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "n_chars", details: bool = False) -> DataFrame:
-    """``docs`` with later repeated runs deleted from their texts; rows stay, other texts are unchanged.
-
-    Null and empty texts stay as they are; rows repeated in id and text are one document and are cut
-    alike; a null id comes last; an empty table gives no rows; other columns stay as they are, under
-    whatever names.  ``details`` returns (doc_id, n_lines, n_removed, removed, text) instead; removed
-    is the deleted lines as first-last, joined by commas.
+    shared = materialize(chosen.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "shared-grams")
+    met = materialize(chosen.join(shared, "h").select("id", "th", "at", "h"), "met").groupBy("id", "th").agg(F.collect_set(F.struct("at", "h")).alias("met"))
+    met = met.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "met")
+    held = words.select("id", "th", "words").join(met, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).dropDuplicates(["id", "th"])
+    around = map_arrow(held.select("id", "th", "words", "met"), _around(min_words - gram, gram), "h long, id long, th long, at int, before binary, behind binary")
+    open_ = materialize(around.withColumn("done", F.lit(False)), "positions")
+    found = None
+    for _ in range(MOST_ROUNDS):
+        first = open_.groupBy("h").agg(F.min(F.struct(place.alias("first"), F.col("before").alias("_before"), F.col("behind").alias("_behind"))).alias("x")).select("h", "x.*")
+        later = open_.join(materialize(first, "first-places"), "h").filter(place > F.col("first"))
+        same = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th"))
+        far = later.filter(~F.col("done") & (~same | (F.col("at") - F.col("first.at") >= min_words)))
+        tried = map_arrow(far.select("h", "id", "th", "at", "first", "before", "behind", "_before", "_behind"), _extend(min_words, gram), TRIED)
+        tried = materialize(tried, "tried")
+        fine, alive = tried.filter("hi >= lo"), tried.filter("hi < lo").select("h").distinct()
+        found = fine if found is None else found.unionByName(fine)
+        if fine.isEmpty() or alive.isEmpty():
+            break
+        # what was found may be the place that others repeat
+        now = fine.select(F.col("h").alias("_h"), F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("at").alias("_at"), F.lit(True).alias("_now"))
+        matched = (F.col("h") == F.col("_h")) & F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")) & (F.col("at") == F.col("_at"))
+        left = later.join(alive, "h", "left_semi").join(now, matched, "left")
+        open_ = materialize(left.select("h", "id", "th", "at", "before", "behind", (F.col("done") | F.coalesce("_now", F.lit(False))).alias("done")), "positions")
+    spans = found.groupBy("id", "th").agg(F.collect_list(F.struct("lo", "hi", "at", "first")).alias("spans"))
+    return map_arrow(spans, _matches, MATCHES)
+
+
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "n_chars", details: bool = False, gram: int = GRAM) -> DataFrame:
+    """``docs`` with later repeated passages deleted from their texts; rows stay, other texts are unchanged.
+
+    Where a passage is cut, the white space before or behind it stays, the one with a line break if
+    there is one; white space at the end of a cut text goes.  Null and empty texts stay as they are; rows repeated in id and text are one
+    document and are cut alike; a null id comes last; an empty table gives no rows; other columns stay
+    as they are, under whatever names.  ``details`` returns (doc_id, n_words, n_removed, removed,
+    text) instead; removed is the deleted words as first-last, counted from 0, joined by commas.
     """
     p = unused(docs)
-    found = materialize(repeated_runs(docs, min_words, id_col, text_col), "cut").select(F.col("id").alias(f"{p}id"), F.col("th").alias(f"{p}th"), F.col("cut").alias(f"{p}cut"), F.col("kept").alias(f"{p}kept"))
+    runs = materialize(repeated_runs(docs, min_words, id_col, text_col, gram), "cut")
+    runs = runs.select(F.col("id").alias(f"{p}id"), F.col("th").alias(f"{p}th"), F.col("cut").alias(f"{p}cut"), F.col("kept").alias(f"{p}kept"))
     same = F.col(id_col).cast("long").eqNullSafe(F.col(f"{p}id")) & (F.col(f"{p}hash") == F.col(f"{p}th"))
     # the cuts grow with the documents, so they are never broadcast: the plan is the same at every size
-    joined = docs.withColumn(f"{p}hash", text_hash(text_col)).join(found.hint("merge"), same, "left")
-    lines, cut = F.split(F.col(text_col).cast("string"), "\n"), F.col(f"{p}cut")
-    kept = F.flatten(F.transform(f"{p}kept", lambda s: F.slice(lines, s["at"], s["n"])))
-    joined = joined.withColumn(f"{p}text", F.when(cut.isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")))
+    joined = docs.withColumn(f"{p}hash", text_hash(text_col)).join(runs.hint("merge"), same, "left")
+    cut, old = F.col(f"{p}cut"), F.col(text_col).cast("string")
+    joined = joined.withColumn(f"{p}tokens", F.when(cut.isNotNull(), F.regexp_extract_all(old, F.lit(TOKEN), F.lit(0))))
+    tokens = F.col(f"{p}tokens")
+
+    def stretch(s):
+        token = F.get(tokens, s["at"] - 1)
+        behind, before = F.regexp_extract(token, SPACE, 0), F.regexp_extract(F.get(tokens, s["cut"] - 1), SPACE, 0)
+        space = F.when((s["cut"] > 1) & F.contains(behind, F.lit("\n")), behind).otherwise(before)
+        rest = F.slice(tokens, s["at"] + 1, F.greatest(s["n"] - 1, F.lit(0)))
+        return F.concat(space, F.regexp_extract(token, WORD, 0), F.array_join(rest, ""))
+
+    pieces = F.transform(F.filter(f"{p}kept", lambda s: (s["n"] > 0) & (s["at"] <= F.size(tokens))), stretch)
+    joined = joined.withColumn(f"{p}text", F.when(cut.isNull(), F.col(text_col)).otherwise(F.array_join(pieces, "")))
     text = F.col(f"{p}text")
     if details:
         removed = F.coalesce(F.aggregate(cut, F.lit(0), lambda n, s: n + s["hi"] - s["lo"] + 1), F.lit(0))
         spans = F.coalesce(F.array_join(F.transform(cut, lambda s: F.concat(s["lo"].cast("string"), F.lit("-"), s["hi"].cast("string"))), ","), F.lit(""))
-        return joined.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"), spans.alias("removed"), text.alias("text"))
+        n = F.coalesce(F.regexp_count(old, F.lit(WORD)), F.lit(0)).cast("long")
+        return joined.select(F.col(id_col).cast("long").alias("doc_id"), n.alias("n_words"), removed.cast("long").alias("n_removed"), spans.alias("removed"), text.alias("text"))
     new = {text_col: text} | ({count_col: F.when(cut.isNull(), F.col(count_col)).otherwise(F.length(text).cast("long"))} if count_col and count_col in docs.columns else {})
     return joined.select(*(new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))

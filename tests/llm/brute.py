@@ -1,6 +1,6 @@
 """Brute-force versions that several tests share."""
 
-import xxhash
+import re
 
 
 def shingles(text):
@@ -19,25 +19,36 @@ def components(texts, least=0.8):
     return root
 
 
-def brute_cut(rows, least=50):
-    """Lines in runs of at least ``least`` words that occurred before."""
-    docs = sorted({(d is None, d or 0, xxhash.xxh64_intdigest((t or "").encode()), t) for d, t in rows}, key=lambda r: r[:3])
-    first, cut = {}, {}
-    texts = [(r[3] or "") for r in docs]
-    for order, text in enumerate(texts):
-        lines = [x.strip() for x in text.split("\n")]
-        words = [len(x.split()) for x in lines]
-        gone = cut.setdefault(order, set())
-        for a in range(len(lines)):
-            total = 0
-            for b in range(a, len(lines)):
-                total += words[b]
-                if total >= least:
-                    key = tuple(lines[a : b + 1])
-                    if key in first and first[key] < (order, a):
-                        gone.update(range(a, b + 1))
-                    else:
-                        first.setdefault(key, (order, a))
-                    if total - words[a] >= least:
-                        break
-    return {(None if r[0] else r[1], r[3] or ""): "\n".join(x for k, x in enumerate((r[3] or "").split("\n")) if k not in cut[i]) for i, r in enumerate(docs)}
+def places(rows, least=50):
+    """Documents in order, and for each the words in passages of ``least`` words that stand at an earlier place, not overlapping it."""
+    docs = sorted({(d is None, d or 0, th, t) for d, t, th in rows}, key=lambda r: r[:3])
+    first, gone = {}, []
+    for order, (*_, text) in enumerate(docs):
+        words, cut = (text or "").split(), set()
+        for a in range(len(words) - least + 1):
+            key = tuple(words[a : a + least])
+            if key not in first:
+                first[key] = (order, a)
+            elif first[key][0] < order or a - first[key][1] >= least:
+                cut.update(range(a, a + least))
+        gone.append(cut)
+    return [(None if none else d, t) for none, d, _, t in docs], gone
+
+
+def without(text, cut):
+    """``text`` without the words numbered in ``cut``: of the white space around a cut, what has a line break, else what is before it."""
+    if text is None or not cut:
+        return text
+    out, before = "", None
+    for k, m in enumerate(re.finditer(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+", text)):
+        word = m[0].lstrip(" \t\n\x0b\f\r")
+        space = m[0][: len(m[0]) - len(word)]
+        if k in cut:
+            if before is None:
+                before = (k, space)
+            continue
+        if before is not None:
+            space = space if before[0] > 0 and "\n" in space else before[1]
+            before = None
+        out += space + word
+    return out

@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 import xxhash
 
-from brute import brute_cut
+from brute import places, without
 from quern.llm import line_dedup, simhash
+from quern.llm.common import text_hash
 from quern.llm.components import components
 
 
@@ -116,90 +117,116 @@ def test_components(spark):
     assert components(df.limit(0)).collect() == []
 
 
-# lines
+# passages
 
 
-def test_lines_documents(documents):
-    rows = [(r.doc_id, r.text) for r in documents.collect()]
-    want = brute_cut(rows)
-    assert {(d, t): None for d, t in rows}.keys() == want.keys()
-    texts = dict(rows)
-    for r in line_dedup.dedup_lines(documents).collect():
-        assert r.text == want[r.doc_id, texts[r.doc_id]]
-        assert r.n_chars == (len(r.text) if r.text != texts[r.doc_id] else r.n_chars)
+def hashed(spark, rows):
+    """(id, text, hash of the text), the hash as the operator orders by it."""
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("th", text_hash("text"))
+    return [tuple(r) for r in df.collect()]
 
 
-def test_lines_random(spark):
-    rng = random.Random(8)
-    lines = [" ".join(f"{k}x{j}" for j in range(rng.choice([1, 5, 20, 60]))) for k in range(12)] + [""]
-    for trial in range(3):
-        rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randint(1, 12)))) for i in range(40)]
-        want = brute_cut(rows)
-        out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-        assert {r.doc_id: r.text for r in out} == {d: want[d, t] for d, t in rows}, trial
+def removed(r):
+    return {i for part in r.removed.split(",") if part for i in range(int(part.split("-")[0]), int(part.split("-")[1]) + 1)}
+
+
+def held_against_windows(spark, df, rows):
+    """Every word that goes is in a repeated window of 50 words; returns how many words of such windows go, and all of them."""
+    docs, gone = places(hashed(spark, rows))
+    want = dict(zip(docs, gone, strict=True))
+    text_of = {}
+    for d, t in rows:
+        text_of.setdefault(d, t)
+    got = total = 0
+    for r in line_dedup.dedup_lines(df, details=True).collect():
+        text = text_of[r.doc_id]
+        cut = removed(r)
+        assert cut <= want[r.doc_id, text] and r.n_removed == len(cut) and r.n_words == len((text or "").split())
+        assert r.text == without(text, cut)
+        got, total = got + len(cut), total + len(want[r.doc_id, text])
+    return got, total
+
+
+def test_passages_documents(spark, documents):
+    rows = [(r.doc_id, r.text) for r in documents.collect()]
+    got, total = held_against_windows(spark, documents, rows)
+    assert total > 1000 and got >= 0.99 * total
+    chars = {r.doc_id: (r.n_chars, r.text) for r in line_dedup.dedup_lines(documents).collect()}
+    assert all(n == len(t) for n, t in chars.values() if t is not None)
 
 
-def test_lines_odd(odd, odd_rows, empty, clashing, unharmed, same_rows):
+def test_passages_anywhere(spark):
+    """Passages of more than 50 words go wherever they begin and end, in whatever white space."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passages = [[word() for _ in range(n)] for n in (51, 52, 60, 75, 200)]
+    rows = []
+    for i in range(60):
+        parts = [[word() for _ in range(rng.randint(0, 30))] for _ in range(3)]
+        inside = [rng.choice(passages) for _ in range(2)]
+        words = parts[0] + inside[0] + parts[1] + inside[1] + parts[2]
+        rows.append((i, "".join(w + rng.choice([" ", "  ", "\n", "\t", " \n\n"]) for w in words).strip()))
+    got, total = held_against_windows(spark, spark.createDataFrame(rows, "doc_id long, text string"), rows)
+    assert got == total > 5000
+
+
+def test_earlier_parts_of_a_passage(spark):
+    """The earliest place may have part of a passage only, or another part of it than others have."""
+    rng = random.Random(12)
+    p = [f"p{k}" for k in range(120)]
+    filler = lambda: [f"f{rng.randrange(10**6)}" for _ in range(12)]
+    rows = [(i, " ".join(filler() + p[a : a + n] + filler())) for i, (a, n) in enumerate([(20, 45), (0, 49), (30, 60), (40, 48), (10, 80), (0, 120), (35, 52), (60, 60), (0, 55)])]
+    got, total = held_against_windows(spark, spark.createDataFrame(rows, "doc_id long, text string"), rows)
+    assert got == total > 200
+
+
+def test_passages_odd(odd, odd_rows, empty, clashing, unharmed, same_rows):
     out = line_dedup.dedup_lines(odd).collect()
     assert len(out) == len(odd_rows)
     by = {r.doc_id: r.text for r in out if r.doc_id is not None}
-    assert by[1] is None and by[2] == "" and by[12] == "other\nend"
+    assert by[1] is None and by[2] == "" and by[12] == "other\nend" and by[3] == odd_rows[2][1]
     assert by[11] == next(r[1] for r in odd_rows if r[0] == 11)
     assert line_dedup.dedup_lines(empty).collect() == []
     assert same_rows(unharmed(line_dedup.dedup_lines(clashing)), line_dedup.dedup_lines(odd))
     details = {r.doc_id: r for r in line_dedup.dedup_lines(odd, details=True).collect()}
-    assert (details[12].n_lines, details[12].n_removed, details[12].removed) == (3, 1, "1-1")
-
-
-@pytest.mark.parametrize("words", [[3, 60, 2], [10] * 9, [0, 0, 49, 1], [49], [50], []])
-def test_shortest_runs(words):
-    runs = line_dedup.shortest_runs(words, 50)
-    for a, b in runs:
-        assert sum(words[a : b + 1]) >= 50
-        assert sum(words[a + 1 : b + 1]) < 50 or sum(words[a:b]) < 50
-    covered = {i for a, b in runs for i in range(a, b + 1)}
-    assert covered == (set(range(len(words))) if sum(words) >= 50 else set())
-
-
-def test_picks_by_brute_force():
-    rng = random.Random(9)
-    for _ in range(200):
-        n = rng.randint(0, 40)
-        words, hashes = [rng.choice([0, 0, 1, 7, 20, 60]) for _ in range(n)], [rng.randint(-5, 5) for _ in range(n)]
-        runs = line_dedup.shortest_runs(words, 50)
-        assert line_dedup.picks(hashes, words, 50) == sorted({min(range(a, b + 1), key=lambda i: (hashes[i], -i)) for a, b in runs})
-
-
-def test_run_hashes():
-    """Equal runs, wherever they stand, and only they, have equal hashes."""
-    rng = random.Random(10)
-    hashes = [rng.choice([-(1 << 63), -1, 0, 5, (1 << 63) - 1]) for _ in range(60)]
-    runs = [(a, b) for a in range(60) for b in range(a, min(60, a + 6))]
-    got = line_dedup.run_hashes(hashes, runs)
-    by: dict = {}
-    for (a, b), h in zip(runs, got, strict=True):
-        assert -(1 << 63) <= h[1] < 1 << 63 and 0 <= h[0] < 1 << 61
-        by.setdefault(h, set()).add(tuple(hashes[a : b + 1]))
-    assert all(len(v) == 1 for v in by.values()) and len(by) == len({tuple(hashes[a : b + 1]) for a, b in runs})
+    assert (details[12].n_words, details[12].n_removed, details[12].removed) == (62, 60, "1-60")
+
+
+def test_winnowing_by_brute_force():
+    """Grams are hashed alike wherever they stand; each window's last least hash is selected."""
+    rng = np.random.default_rng(9)
+    for n in (0, 5, 29, 30, 49, 50, 51, 300):
+        words = rng.integers(0, 3, n).astype(np.uint32)
+        grams = line_dedup.gram_hashes(words, 30)
+        assert len(grams) == max(0, n - 29)
+        by = {}
+        for i, h in enumerate(grams.tolist()):
+            by.setdefault(h, set()).add(tuple(words[i : i + 30].tolist()))
+        assert all(len(v) == 1 for v in by.values()) and len(by) == len(set().union(*by.values())) if by else True
+    for n in (0, 20, 21, 22, 500):
+        hashes = rng.integers(0, 6, n).astype(np.uint64)
+        want = sorted({max(i for i in range(a, a + 21) if hashes[i] == hashes[a : a + 21].min()) for a in range(n - 20)})
+        assert line_dedup.selected(hashes, 21).tolist() == want
 
 
 def test_matches_extend(spark):
     """A match has its whole length and the place it repeats."""
-    line = [" ".join(f"{k}y{j}" for j in range(30)) for k in range(8)]
-    rows = [(1, "\n".join(["head", *line])), (2, "\n".join([*line[2:7], "tail", line[0], line[1]])), (3, "\n".join(line[4:6]))]
+    p = [f"y{j}" for j in range(300)]
+    rows = [(1, " ".join(["head", *p])), (2, " ".join([*p[60:220], "tail", *p[:70], "end"])), (3, " ".join(p[120:175]))]
     found = {r.id: [tuple(m) for m in r.matches] for r in line_dedup.repeated_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert found == {2: [(0, 4, 1, 3), (6, 7, 1, 1)], 3: [(0, 1, 1, 5)]}
+    assert found == {2: [(0, 159, 1, 61), (161, 230, 1, 1)], 3: [(0, 54, 1, 121)]}
 
 
-def test_lines_many(spark):
-    """A million blank lines and very many cuts take time in proportion."""
+def test_passages_many(spark):
+    """A million blank lines, a word repeated a million times, and very many cuts take time in proportion."""
     import time
 
-    line = [" ".join(f"{k}z{j}" for j in range(60)) for k in range(2000)]
-    mixed = "\n".join(x for k, y in enumerate(line) for x in (y, f"own {k}"))
-    rows = [(1, line[0] + "\n" * 1_000_000), (2, "\n".join(line[1:])), (3, line[0] + "\n" * 1_000_000 + "end"), (4, mixed)]
+    passage = [" ".join(f"{k}z{j}" for j in range(60)) for k in range(2000)]
+    mixed = "\n".join(x for k, y in enumerate(passage) for x in (y, f"own {k}"))
+    rows = [(1, passage[0] + "\n" * 1_000_000), (2, "\n".join(passage[1:])), (3, passage[0] + "\n" * 1_000_000 + "end"), (4, mixed), (5, "and " * 1_000_000)]
     began = time.time()
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert time.time() - began < 120
     assert got[1] == rows[0][1] and got[2] == rows[1][1] and got[3] == "end"
     assert got[4] == "\n".join(f"own {k}" for k in range(2000))
+    assert len(got[5].split()) < 200
