@@ -12,8 +12,9 @@ hash, then word number) is deleted.
    That tells whether it is long enough, and the next selected position of a longer match lies no
    further away.  No more than these words of an earlier place are sent to its later ones, of which
    there may be any number.
-4. Positions whose match is too short (the earliest place has part of the passage only) are compared
-   with the next place of their hash, in rounds, until a round finds nothing more.
+4. Where a match is too short, the earliest place has part of a passage only, and others may have more of
+   it in common.  The positions of such hashes are compared by all windows of ``min_words`` words
+   that selected them: windows that agree are joined with the earliest of them.
 5. Matches equally far apart in both documents become one; what they cover is cut from the text.
 
 A document takes time in proportion to its words.  Earliest places are aggregated before each
@@ -33,7 +34,6 @@ from pyspark.sql import functions as F
 from .common import blocks_of, keyed_text, map_arrow, materialize, text_hash, unused
 
 MIN_WORDS, GRAM, SEED = 50, 30, 9
-MOST_ROUNDS = 50
 #: Odd, so that it has an inverse modulo 2^64: a gram's hash is a polynomial of its words' hashes.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -122,10 +122,10 @@ def _around(reach: int, gram: int):
             for i, th, words, met in zip(*(batch.column(c).to_pylist() for c in ("id", "th", "words", "met")), strict=True):
                 for m in met:
                     at = m["at"]
-                    out.append((m["h"], i, th, at, words[4 * max(0, at - reach) : 4 * at], words[4 * (at + gram) : 4 * (at + gram + reach)]))
-            columns = list(zip(*out, strict=True)) or [()] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["h", "id", "th", "at", "before", "behind"])
+                    out.append((m["h"], i, th, at, words[4 * max(0, at - reach) : 4 * at], words[4 * at : 4 * (at + gram)], words[4 * (at + gram) : 4 * (at + gram + reach)]))
+            columns = list(zip(*out, strict=True)) or [()] * 7
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["h", "id", "th", "at", "before", "gram", "behind"])
 
     return run
 
@@ -156,6 +156,27 @@ def _extend(least: int, gram: int):
     return run
 
 
+def _windows(least: int, gram: int):
+    """(h, run, id, th, at) of each window that selected a position; run is its words' hash, at its first word."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = least - gram + 1
+        for batch in batches:
+            out: list[tuple] = []
+            for h, i, th, at, before, own, behind in zip(*(batch.column(c).to_pylist() for c in ("h", "id", "th", "at", "before", "gram", "behind")), strict=True):
+                words = before + own + behind
+                hashes = gram_hashes(np.frombuffer(words, np.uint32), gram)
+                place = len(before) // 4
+                for start in range(max(0, place - width + 1), min(place, len(hashes) - width) + 1):
+                    if start + width - 1 - int(np.argmin(hashes[start : start + width][::-1])) == place:
+                        digest = xxhash.xxh64_intdigest(words[4 * start : 4 * (start + least)], SEED) - (1 << 63)
+                        out.append((h, digest, i, th, at - place + start))
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (*[pa.int64()] * 4, pa.int32()), strict=True)], names=["h", "run", "id", "th", "at"])
+
+    return run
+
+
 def extended(matches: list[tuple[int, int, tuple, int]]) -> list[tuple[int, int, tuple, int]]:
     """(first, last word, earlier document, its word) of matches, those equally far apart in both documents joined to one."""
     out: list[list] = []
@@ -224,26 +245,22 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "do
     met = materialize(chosen.join(shared, "h").select("id", "th", "at", "h"), "met").groupBy("id", "th").agg(F.collect_set(F.struct("at", "h")).alias("met"))
     met = met.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "met")
     held = words.select("id", "th", "words").join(met, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).dropDuplicates(["id", "th"])
-    around = map_arrow(held.select("id", "th", "words", "met"), _around(min_words - gram, gram), "h long, id long, th long, at int, before binary, behind binary")
-    open_ = materialize(around.withColumn("done", F.lit(False)), "positions")
-    found = None
-    for _ in range(MOST_ROUNDS):
-        first = open_.groupBy("h").agg(F.min(F.struct(place.alias("first"), F.col("before").alias("_before"), F.col("behind").alias("_behind"))).alias("x")).select("h", "x.*")
-        later = open_.join(materialize(first, "first-places"), "h").filter(place > F.col("first"))
-        same = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th"))
-        far = later.filter(~F.col("done") & (~same | (F.col("at") - F.col("first.at") >= min_words)))
-        tried = map_arrow(far.select("h", "id", "th", "at", "first", "before", "behind", "_before", "_behind"), _extend(min_words, gram), TRIED)
-        tried = materialize(tried, "tried")
-        fine, alive = tried.filter("hi >= lo"), tried.filter("hi < lo").select("h").distinct()
-        found = fine if found is None else found.unionByName(fine)
-        if fine.isEmpty() or alive.isEmpty():
-            break
-        # what was found may be the place that others repeat
-        now = fine.select(F.col("h").alias("_h"), F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("at").alias("_at"), F.lit(True).alias("_now"))
-        matched = (F.col("h") == F.col("_h")) & F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")) & (F.col("at") == F.col("_at"))
-        left = later.join(alive, "h", "left_semi").join(now, matched, "left")
-        open_ = materialize(left.select("h", "id", "th", "at", "before", "behind", (F.col("done") | F.coalesce("_now", F.lit(False))).alias("done")), "positions")
-    spans = found.groupBy("id", "th").agg(F.collect_list(F.struct("lo", "hi", "at", "first")).alias("spans"))
+    around = map_arrow(held.select("id", "th", "words", "met"), _around(min_words - gram, gram), "h long, id long, th long, at int, before binary, gram binary, behind binary")
+    positions = materialize(around, "positions")
+    least = positions.groupBy("h").agg(F.min(F.struct(place.alias("first"), F.col("before").alias("_before"), F.col("behind").alias("_behind"))).alias("x")).select("h", "x.*")
+    later = positions.join(materialize(least, "first-places"), "h").filter(place > F.col("first"))
+    same = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th"))
+    apart = ~same | (F.col("at") - F.col("first.at") >= min_words)
+    tried = map_arrow(later.filter(apart).select("h", "id", "th", "at", "first", "before", "behind", "_before", "_behind"), _extend(min_words, gram), TRIED)
+    tried = materialize(tried, "tried")
+    unsure = positions.join(tried.filter("hi < lo").select("h").distinct(), "h", "left_semi")
+    windows = materialize(map_arrow(unsure.select("h", "id", "th", "at", "before", "gram", "behind"), _windows(min_words, gram), "h long, run long, id long, th long, at int"), "windows")
+    earliest = windows.groupBy("h", "run").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1").select("h", "run", "first")
+    agreed = windows.join(materialize(earliest, "first-windows"), ["h", "run"]).filter((place > F.col("first")) & apart)
+    span = F.struct("lo", "hi", "at", "first")
+    found = tried.filter("hi >= lo").select("id", "th", span.alias("s"))
+    found = found.unionByName(agreed.select("id", "th", F.col("at").alias("lo"), (F.col("at") + F.lit(min_words - 1)).cast("int").alias("hi"), "at", "first").select("id", "th", span.alias("s")))
+    spans = found.groupBy("id", "th").agg(F.collect_list("s").alias("spans"))
     return map_arrow(spans, _matches, MATCHES)
 
 
