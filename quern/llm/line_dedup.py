@@ -12,21 +12,23 @@ hash, then word number) is deleted.
    That tells whether it is long enough, and the next selected position of a longer match lies no
    further away.  No more than these words of an earlier place are sent to its later ones, of which
    there may be any number.
-4. Where a match is too short, the earliest place has part of a passage only, and others may have more of
-   it in common.  The positions of such hashes are compared by all windows of ``min_words`` words
-   that selected them: windows that agree are joined with the earliest of them.
+4. Where a match is too short, the earliest place has part of the passage only.  Such positions are
+   compared among themselves, by all windows of ``min_words`` words that selected them.
 5. Matches equally far apart in both documents become one; what they cover is cut from the text.
 
-A document takes time in proportion to its words.  Earliest places are aggregated before each
-exchange; joins on frequent hashes are sort-merge joins that adaptive execution splits.
+Whole copies of a text are found by its hash and cut altogether.  A document takes time in proportion
+to its words.  Earliest places are aggregated before each exchange; joins on frequent hashes are
+sort-merge joins that adaptive execution splits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,11 +40,14 @@ MIN_WORDS, GRAM, SEED = 50, 30, 9
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 
-WORDS = "id long, th long, words binary, at array<int>, grams array<long>"
+WORDS = "id long, th long, n int, words binary, at array<int>, grams array<long>"
+#: Of grams that equal the one before (a word said again and again), one in so many may be selected.
+STRIDE = 16
 #: A token of the rebuilt text: a word and the white space before it.
 TOKEN, SPACE, WORD = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+", r"^[\x20\x09-\x0D]*", r"[^\x20\x09-\x0D]+"
 
 
+@lru_cache(maxsize=4)
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.ones(max(1, n), np.uint64)
     if n > 1:
@@ -58,32 +63,43 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def gram_hashes(words: np.ndarray, gram: int) -> np.ndarray:
-    """The hash (uint64) of every ``gram`` consecutive words, which are given by their hashes (uint32)."""
-    n = len(words) - gram + 1
+    """The hash (uint64) of every ``gram`` consecutive words along the last axis, words being given by their hashes."""
+    size = words.shape[-1]
+    n = size - gram + 1
     if n <= 0:
-        return np.empty(0, np.uint64)
-    terms = _mixed(words.astype(np.uint64) + np.uint64(1)) * _powers(BASE, len(words))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)))
-    return _mixed((sums[gram:] - sums[:n]) * _powers(INVERSE, n))
+        return np.empty((*words.shape[:-1], 0), np.uint64)
+    room = 1 << (size - 1).bit_length()  # few sizes of the tables of powers
+    terms = _mixed(words.astype(np.uint64) + np.uint64(1)) * _powers(BASE, room)[:size]
+    sums = np.cumsum(terms, axis=-1, dtype=np.uint64)
+    runs = sums[..., gram - 1 :].copy()
+    runs[..., 1:] -= sums[..., : n - 1]
+    return _mixed(runs * _powers(INVERSE, room)[:n])
 
 
-def selected(hashes: np.ndarray, window: int) -> np.ndarray:
-    """The positions that winnowing selects: the last least one of each window."""
+def selected(hashes: np.ndarray, window: int, valid: np.ndarray | None = None) -> np.ndarray:
+    """The positions that winnowing selects: the last least one of each window (of those ``valid`` says, by their starts)."""
     n = len(hashes)
     if n < window:
         return np.empty(0, np.int64)
-    # the least of each window by blocks: the least up to the end of a block and from the start of the next
-    padded = np.concatenate((hashes, np.full(-n % window, np.iinfo(np.uint64).max, np.uint64))).reshape(-1, window)
+    most = np.uint64((1 << 64) - 1)
+    at = np.arange(n, dtype=np.uint64) & np.uint64(4095)
+    # the place in the low bits, later ones smaller, makes a window's least value tell where it is
+    value = (hashes & ~np.uint64(4095)) | (np.uint64(4095) - at)
+    again = np.zeros(n, bool)
+    again[1:] = (hashes[1:] == hashes[:-1]) & (at[1:] % np.uint64(STRIDE) != 0)
+    value[again] = most
+    # the least of each window: up to the end of a block and from the start of the next
+    padded = np.concatenate((value, np.full(-n % window, most))).reshape(-1, window)
     ahead = np.minimum.accumulate(padded, axis=1).ravel()[:n]
     back = np.minimum.accumulate(padded[:, ::-1], axis=1)[:, ::-1].ravel()[:n]
     least = np.minimum(back[: n - window + 1], ahead[window - 1 :])
-    # a position is selected if its value is the least of a window and no later place in it has that value
+    fine = least != most
+    if valid is not None:
+        fine &= valid
+    start = np.flatnonzero(fine)
+    place = start + ((4095 - (least[start] & np.uint64(4095)).astype(np.int64) - start) & 4095)
     chosen = np.zeros(n, bool)
-    for start in range(0, len(least), 65_536):
-        stop = min(len(least), start + 65_536)
-        part = np.lib.stride_tricks.sliding_window_view(hashes[start : stop + window - 1], window)
-        last = window - 1 - np.argmax(part[:, ::-1] == least[start:stop, None], axis=1)
-        chosen[np.arange(start, stop) + last] = True
+    chosen[place] = True
     return np.flatnonzero(chosen)
 
 
@@ -93,86 +109,110 @@ def _words(least: int, gram: int):
         known: dict[bytes, int] = {}
         for held in blocks_of(batches, "text", 1_000_000):
             table = pa.Table.from_batches(held)
-            every, places, grams = [], [], []
-            for text in table.column("text").to_pylist():
-                words = text.encode().split()
-                if len(known) > 500_000:
-                    known.clear()
-                for w in words:
-                    if w not in known:
-                        known[w] = digest(w, SEED)
-                hashes = np.fromiter((known[w] for w in words), np.uint32, len(words))
-                own = gram_hashes(hashes, gram) if len(words) >= least else np.empty(0, np.uint64)
-                at = selected(own, least - gram + 1)
-                every.append(hashes.tobytes())
-                places.append(at.astype(np.int32))
-                grams.append(own[at].view(np.int64))
-            columns = [pa.array(every, pa.binary()), pa.array(places, pa.list_(pa.int32())), pa.array(grams, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([table.column("id").combine_chunks(), table.column("th").combine_chunks(), *columns], names=["id", "th", "words", "at", "grams"])
+            parts = [t.encode().split() for t in table.column("text").to_pylist()]
+            if len(known) > 500_000:
+                known.clear()
+            for new in set().union(*parts).difference(known):
+                known[new] = digest(new, SEED)
+            sizes = np.array([len(p) for p in parts], np.int64)
+            hashes = np.fromiter((known[w] for p in parts for w in p), np.uint32, int(sizes.sum()))
+            ends = np.cumsum(sizes)
+            grams = gram_hashes(hashes, gram)
+            # a window lies within one text
+            room = np.repeat(ends, sizes) - np.arange(len(hashes))
+            at = selected(grams, least - gram + 1, room[: max(0, len(grams) - least + gram)] >= least)
+            cuts = np.searchsorted(at, np.concatenate(([0], ends))).astype(np.int32)
+            begins = ends - sizes
+            local = at - np.repeat(begins, np.diff(cuts))
+            short = hashes.astype(np.uint16)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    table.column("id").combine_chunks(),
+                    table.column("th").combine_chunks(),
+                    pa.array(sizes, pa.int32()),
+                    pa.array([short[a:b].tobytes() for a, b in zip(begins.tolist(), ends.tolist(), strict=True)], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(cuts), pa.array(local, pa.int32())),
+                    pa.ListArray.from_arrays(pa.array(cuts), pa.array(grams[at].view(np.int64))),
+                ],
+                names=["id", "th", "n", "words", "at", "grams"],
+            )
 
     return run
 
 
+def _binary(rows: np.ndarray) -> pa.Array:
+    """The rows of a matrix as binary values."""
+    width = rows.shape[1] * rows.itemsize
+    offsets = np.arange(0, (len(rows) + 1) * width, width, dtype=np.int32)[: len(rows) + 1]
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """The same back: words (uint16), ``width`` a row."""
+    if not len(column):
+        return np.empty((0, width), np.uint16)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, width)
+
+
+AROUND = "h long, id long, th long, at int, back int, ahead int, around binary"
+
+
 def _around(reach: int, gram: int):
-    """Each met position with the words before and behind its gram, ``reach`` on each side at most."""
+    """Each met position with its gram's words and ``reach`` words on each side, of which ``back`` and ``ahead`` are in the text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
             for i, th, words, met in zip(*(batch.column(c).to_pylist() for c in ("id", "th", "words", "met")), strict=True):
-                for m in met:
-                    at = m["at"]
-                    out.append((m["h"], i, th, at, words[4 * max(0, at - reach) : 4 * at], words[4 * at : 4 * (at + gram)], words[4 * (at + gram) : 4 * (at + gram + reach)]))
-            columns = list(zip(*out, strict=True)) or [()] * 7
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["h", "id", "th", "at", "before", "gram", "behind"])
+                at, h = np.array([m["at"] for m in met], np.int64), pa.array([m["h"] for m in met], pa.int64())
+                text = np.frombuffer(words, np.uint16)
+                padded = np.pad(text, (reach, reach))
+                around = padded[at[:, None] + np.arange(2 * reach + gram)]
+                n = len(at)
+                sides = (np.minimum(at, reach), np.minimum(len(text) - at - gram, reach))
+                yield pa.RecordBatch.from_arrays([h, pa.array([i] * n, pa.int64()), pa.array([th] * n, pa.int64()), pa.array(at, pa.int32()), *(pa.array(x, pa.int32()) for x in sides), _binary(around)], names=["h", "id", "th", "at", "back", "ahead", "around"])
 
     return run
 
 
-def common_words(a: bytes, b: bytes, back: bool) -> int:
-    """How many words (4 bytes each) two stretches have in common, from their starts, or from their ends."""
-    n = min(len(a), len(b)) // 4
-    if not n:
-        return 0
-    x, y = (np.frombuffer(s[len(s) - 4 * n :] if back else s[: 4 * n], np.uint32) for s in (a, b))
-    differ = np.flatnonzero(x[::-1] != y[::-1]) if back else np.flatnonzero(x != y)
-    return int(differ[0]) if len(differ) else n
+def _agreeing(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """How many words the rows of two matrices have in common from the first on, ``most`` at most."""
+    differ = a != b
+    return np.minimum(np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1]), most)
+
+
+TRIED = "h long, id long, th long, at int, first struct<none:boolean,id:long,th:long,at:int>, lo int, hi int, back int, ahead int, around binary"
 
 
 def _extend(least: int, gram: int):
-    """(id, th, at, lo, hi) of each position and, from its own and its earlier place's words, the words it repeats; hi < lo if these are too few."""
+    """The words [lo, hi] that each position repeats, from its own and its earlier place's words; hi < lo if these are too few."""
+    reach, width = least - gram, 2 * least - gram
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lo, hi = [], []
-            for at, a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("at", "before", "behind", "_before", "_behind")), strict=True):
-                left, right = common_words(a, x, True), common_words(b, y, False)
-                long = left + gram + right >= least
-                lo.append(at - left if long else 0)
-                hi.append(at + gram + right - 1 if long else -1)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("h", "id", "th", "at", "first")), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], names=["h", "id", "th", "at", "first", "lo", "hi"])
+            mine, theirs = _matrix(batch.column("around"), width), _matrix(batch.column("_around"), width)
+            number = lambda c: batch.column(c).to_numpy()
+            left = _agreeing(mine[:, :reach][:, ::-1], theirs[:, :reach][:, ::-1], np.minimum(number("back"), number("_back")))
+            right = _agreeing(mine[:, reach + gram :], theirs[:, reach + gram :], np.minimum(number("ahead"), number("_ahead")))
+            at, long = number("at"), left + gram + right >= least
+            lo, hi = np.where(long, at - left, 0), np.where(long, at + gram + right - 1, -1)
+            kept = pc.if_else(pa.array(long), pa.scalar(None, pa.binary()), batch.column("around"))  # the others are looked at again
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("h", "id", "th", "at", "first")), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), batch.column("back"), batch.column("ahead"), kept], names=[f.split()[0] for f in ("h", "id", "th", "at", "first", "lo", "hi", "back", "ahead", "around")])
 
     return run
 
 
 def _windows(least: int, gram: int):
-    """(h, run, id, th, at) of each window that selected a position; run is its words' hash, at its first word."""
+    """(h, run, id, th, at) of each window around a position that may have selected it; run is its words' hash, at its first word."""
+    reach, width = least - gram, 2 * least - gram
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = least - gram + 1
         for batch in batches:
-            out: list[tuple] = []
-            for h, i, th, at, before, own, behind in zip(*(batch.column(c).to_pylist() for c in ("h", "id", "th", "at", "before", "gram", "behind")), strict=True):
-                words = before + own + behind
-                hashes = gram_hashes(np.frombuffer(words, np.uint32), gram)
-                place = len(before) // 4
-                for start in range(max(0, place - width + 1), min(place, len(hashes) - width) + 1):
-                    if start + width - 1 - int(np.argmin(hashes[start : start + width][::-1])) == place:
-                        digest = xxhash.xxh64_intdigest(words[4 * start : 4 * (start + least)], SEED) - (1 << 63)
-                        out.append((h, digest, i, th, at - place + start))
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (*[pa.int64()] * 4, pa.int32()), strict=True)], names=["h", "run", "id", "th", "at"])
+            runs = gram_hashes(_matrix(batch.column("around"), width), least)  # of the windows from each of the words before the gram, and from its own
+            number = lambda c: batch.column(c).to_numpy()
+            start = np.arange(reach + 1)
+            row, column = np.nonzero((start >= reach - number("back")[:, None]) & (start + least <= reach + gram + number("ahead")[:, None]))
+            columns = [number("h")[row], runs[row, column].view(np.int64), batch.column("id").take(pa.array(row)), number("th")[row], number("at")[row] - reach + column]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) if isinstance(c, np.ndarray) else c for c, t in zip(columns, (*[pa.int64()] * 4, pa.int32()), strict=True)], names=["h", "run", "id", "th", "at"])
 
     return run
 
@@ -225,9 +265,6 @@ def _matches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), *(pa.array(x, t) for x, t in zip((cut, kept, found), kinds, strict=True))], names=["id", "th", "cut", "kept", "matches"])
 
 
-TRIED = "h long, id long, th long, at int, first struct<none:boolean,id:long,th:long,at:int>, lo int, hi int"
-
-
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM) -> DataFrame:
     """(id, th, cut, kept, matches) of each document that repeats a passage; th is its text's hash.
 
@@ -238,28 +275,34 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "do
     """
     rows = map_arrow(keyed_text(docs, id_col, text_col, text_hash(text_col).alias("th")), _words(min_words, gram), WORDS)
     words = materialize(rows, "words")
-    chosen = words.select("id", "th", F.explode(F.arrays_zip("at", F.col("grams").alias("h"))).alias("x")).select("id", "th", F.col("x.at").alias("at"), F.col("x.h").alias("h"))
     place = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("th"), F.col("at"))
+    # of whole copies of a text only the first is looked into
+    own = F.struct(F.col("id").isNull().alias("none"), F.col("id"))
+    origin = materialize(words.filter(F.col("n") >= min_words).groupBy("th").agg(F.min(own).alias("o")).select(F.col("th").alias("_th"), F.col("o.none").alias("_none"), F.col("o.id").alias("_id")), "origins")
+    is_first = F.col("id").eqNullSafe(F.col("_id"))
+    picked = words.select("id", "th", "at", "grams").join(origin, F.col("th") == F.col("_th")).filter(is_first).dropDuplicates(["th"])
+    chosen = picked.select("id", "th", F.explode(F.arrays_zip("at", F.col("grams").alias("h"))).alias("x")).select("id", "th", F.col("x.at").alias("at"), F.col("x.h").alias("h"))
     # written tables on both sides of the joins: what an exchange deals out for a frequent hash can then be split
+    chosen = materialize(chosen, "selected")
     shared = materialize(chosen.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "shared-grams")
-    met = materialize(chosen.join(shared, "h").select("id", "th", "at", "h"), "met").groupBy("id", "th").agg(F.collect_set(F.struct("at", "h")).alias("met"))
-    met = met.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "met")
-    held = words.select("id", "th", "words").join(met, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).dropDuplicates(["id", "th"])
-    around = map_arrow(held.select("id", "th", "words", "met"), _around(min_words - gram, gram), "h long, id long, th long, at int, before binary, gram binary, behind binary")
-    positions = materialize(around, "positions")
-    least = positions.groupBy("h").agg(F.min(F.struct(place.alias("first"), F.col("before").alias("_before"), F.col("behind").alias("_behind"))).alias("x")).select("h", "x.*")
+    met = materialize(chosen.join(shared, "h").select("id", "th", "at", "h"), "met").groupBy("th").agg(F.collect_list(F.struct("at", "h")).alias("met"))
+    held = words.select("id", "th", "words").join(origin, F.col("th") == F.col("_th")).filter(is_first).drop("_th", "_none", "_id").join(met, "th").dropDuplicates(["th"])
+    positions = materialize(map_arrow(held.select("id", "th", "words", "met"), _around(min_words - gram, gram), AROUND), "positions")
+    least = positions.groupBy("h").agg(F.min(F.struct(place.alias("first"), F.col("back").alias("_back"), F.col("ahead").alias("_ahead"), F.col("around").alias("_around"))).alias("x")).select("h", "x.*")
     later = positions.join(materialize(least, "first-places"), "h").filter(place > F.col("first"))
-    same = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th"))
-    apart = ~same | (F.col("at") - F.col("first.at") >= min_words)
-    tried = map_arrow(later.filter(apart).select("h", "id", "th", "at", "first", "before", "behind", "_before", "_behind"), _extend(min_words, gram), TRIED)
-    tried = materialize(tried, "tried")
-    unsure = positions.join(tried.filter("hi < lo").select("h").distinct(), "h", "left_semi")
-    windows = materialize(map_arrow(unsure.select("h", "id", "th", "at", "before", "gram", "behind"), _windows(min_words, gram), "h long, run long, id long, th long, at int"), "windows")
+    apart = (F.col("th") != F.col("first.th")) | (F.col("at") - F.col("first.at") >= min_words)
+    tried = materialize(map_arrow(later.filter(apart), _extend(min_words, gram), TRIED), "tried")
+    unsure = tried.filter("hi < lo").select("h", "id", "th", "at", "back", "ahead", "around")
+    windows = materialize(map_arrow(unsure, _windows(min_words, gram), "h long, run long, id long, th long, at int"), "windows")
     earliest = windows.groupBy("h", "run").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1").select("h", "run", "first")
     agreed = windows.join(materialize(earliest, "first-windows"), ["h", "run"]).filter((place > F.col("first")) & apart)
-    span = F.struct("lo", "hi", "at", "first")
-    found = tried.filter("hi >= lo").select("id", "th", span.alias("s"))
-    found = found.unionByName(agreed.select("id", "th", F.col("at").alias("lo"), (F.col("at") + F.lit(min_words - 1)).cast("int").alias("hi"), "at", "first").select("id", "th", span.alias("s")))
+    span = F.struct("lo", "hi", "at", "first").alias("s")
+    found = tried.filter("hi >= lo").select("id", "th", span)
+    found = found.unionByName(agreed.select("id", "th", F.col("at").alias("lo"), (F.col("at") + F.lit(min_words - 1)).cast("int").alias("hi"), "at", "first").select("id", "th", span))
+    copies = words.select("id", "th", "n").join(origin, F.col("th") == F.col("_th")).filter(~is_first)
+    whole = F.struct(F.lit(0).alias("lo"), (F.col("n") - 1).alias("hi"), F.lit(0).alias("at"), F.struct(F.col("_none").alias("none"), F.col("_id").alias("id"), F.col("th"), F.lit(0).alias("at")).alias("first"))
+    # a copy's rows may repeat; its one span is the same in all of them
+    found = found.unionByName(copies.select("id", "th", whole.alias("s")).distinct())
     spans = found.groupBy("id", "th").agg(F.collect_list("s").alias("spans"))
     return map_arrow(spans, _matches, MATCHES)
 
