@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import blocks_of, keyed_text, map_arrow, materialize, text_hash, unused
 
-MIN_WORDS, GRAM, SEED = 50, 30, 9
+MIN_WORDS, GRAM, SEED = 50, 25, 9
 #: Odd, so that it has an inverse modulo 2^64: a gram's hash is a polynomial of its words' hashes.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -103,19 +103,53 @@ def selected(hashes: np.ndarray, window: int, valid: np.ndarray | None = None) -
     return np.flatnonzero(chosen)
 
 
+#: Bytes whose words are hashed at once (one longer word is taken whole).
+HASHED = 1 << 20
+BYTES = np.random.default_rng(SEED).integers(1, 1 << 63, 256, np.uint64)
+
+
+def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, words of each text) of texts that lie on end in ``data`` (bytes) between ``bounds``.
+
+    Words are runs of anything but the blank and bytes 9 to 13; a hash is a polynomial of its bytes.
+    """
+    space = (data == 32) | ((data >= 9) & (data <= 13))
+    begin, last = ~space, ~space
+    begin[1:] &= space[:-1]
+    last[:-1] &= space[1:]
+    full = np.flatnonzero(np.diff(bounds))  # words end where texts do
+    begin[bounds[full]] = ~space[bounds[full]]
+    last[bounds[full + 1] - 1] = ~space[bounds[full + 1] - 1]
+    starts, ends = np.flatnonzero(begin), np.flatnonzero(last) + 1
+    out = np.empty(len(starts), np.uint32)
+    at = 0
+    while at < len(starts):
+        stop = max(at + 1, int(np.searchsorted(ends, starts[at] + HASHED, "right")))
+        low, high = starts[at], ends[stop - 1]
+        room = 1 << int(high - low - 1).bit_length()
+        sums = np.cumsum(BYTES[data[low:high]] * _powers(BASE, room)[: high - low], dtype=np.uint64)
+        own = sums[ends[at:stop] - low - 1]
+        own[1:] -= sums[starts[at + 1 : stop] - low - 1]
+        out[at:stop] = _mixed(own * _powers(INVERSE, room)[starts[at:stop] - low]).astype(np.uint32)
+        at = stop
+    return out, np.diff(np.searchsorted(starts, bounds))
+
+
+def _texts(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column of texts, on end, and where each begins and ends."""
+    array = column.combine_chunks()
+    array = array.chunk(0) if isinstance(array, pa.ChunkedArray) else array
+    _, offsets, data = array.buffers()
+    bounds = np.frombuffer(offsets, np.int64 if pa.types.is_large_string(array.type) else np.int32)[array.offset : array.offset + len(array) + 1].astype(np.int64)
+    whole = np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8)
+    return whole[bounds[0] : bounds[-1]], bounds - bounds[0]
+
+
 def _words(least: int, gram: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh32_intdigest
-        known: dict[bytes, int] = {}
         for held in blocks_of(batches, "text", 1_000_000):
             table = pa.Table.from_batches(held)
-            parts = [t.encode().split() for t in table.column("text").to_pylist()]
-            if len(known) > 500_000:
-                known.clear()
-            for new in set().union(*parts).difference(known):
-                known[new] = digest(new, SEED)
-            sizes = np.array([len(p) for p in parts], np.int64)
-            hashes = np.fromiter((known[w] for p in parts for w in p), np.uint32, int(sizes.sum()))
+            hashes, sizes = word_hashes(*_texts(table.column("text")))
             ends = np.cumsum(sizes)
             grams = gram_hashes(hashes, gram)
             # a window lies within one text
@@ -124,13 +158,14 @@ def _words(least: int, gram: int):
             cuts = np.searchsorted(at, np.concatenate(([0], ends))).astype(np.int32)
             begins = ends - sizes
             local = at - np.repeat(begins, np.diff(cuts))
-            short = hashes.astype(np.uint16)
+            short = hashes.astype(np.uint16).tobytes()
+            bounds = (2 * np.concatenate(([0], ends))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     table.column("id").combine_chunks(),
                     table.column("th").combine_chunks(),
                     pa.array(sizes, pa.int32()),
-                    pa.array([short[a:b].tobytes() for a, b in zip(begins.tolist(), ends.tolist(), strict=True)], pa.binary()),
+                    pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(short)]),
                     pa.ListArray.from_arrays(pa.array(cuts), pa.array(local, pa.int32())),
                     pa.ListArray.from_arrays(pa.array(cuts), pa.array(grams[at].view(np.int64))),
                 ],
@@ -162,8 +197,11 @@ def _around(reach: int, gram: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, th, words, met in zip(*(batch.column(c).to_pylist() for c in ("id", "th", "words", "met")), strict=True):
-                at, h = np.array([m["at"] for m in met], np.int64), pa.array([m["h"] for m in met], pa.int64())
+            met = batch.column("met")
+            each, every = met.offsets.to_numpy(), met.values
+            places, hashes = every.field("at").to_numpy().astype(np.int64), every.field("h")
+            for k, (i, th, words) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("id", "th", "words")), strict=True)):
+                at, h = places[each[k] : each[k + 1]], hashes[each[k] : each[k + 1]]
                 text = np.frombuffer(words, np.uint16)
                 padded = np.pad(text, (reach, reach))
                 around = padded[at[:, None] + np.arange(2 * reach + gram)]
@@ -217,26 +255,17 @@ def _windows(least: int, gram: int):
     return run
 
 
-def extended(matches: list[tuple[int, int, tuple, int]]) -> list[tuple[int, int, tuple, int]]:
-    """(first, last word, earlier document, its word) of matches, those equally far apart in both documents joined to one."""
-    out: list[list] = []
-    for lo, hi, place, at in sorted(matches, key=lambda w: (w[2], w[3] - w[0], w[0], w[1])):
-        if out and out[-1][2] == place and out[-1][3] - out[-1][0] == at - lo and lo <= out[-1][1] + 1:
-            out[-1][1] = max(out[-1][1], hi)
-        else:
-            out.append([lo, hi, place, at])
-    return sorted(tuple(m) for m in out)
-
-
-def covered(matches: list[tuple[int, int, tuple, int]]) -> list[tuple[int, int]]:
-    """The words that matches cover, as runs."""
-    out: list[list[int]] = []
-    for lo, hi, *_ in matches:
-        if out and lo <= out[-1][1] + 1:
-            out[-1][1] = max(out[-1][1], hi)
-        else:
-            out.append([lo, hi])
-    return [(a, b) for a, b in out]
+def merged(group: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first, last) of the runs that the spans of each group cover, in order; row is the span that begins it."""
+    order = np.lexsort((hi, lo, group))
+    g, a = group[order].astype(np.int64) << 32, lo[order]
+    reach = np.maximum.accumulate(g + hi[order])  # of the spans so far, those of earlier groups being lower
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = g[1:] + a[1:] > np.maximum(reach[:-1], g[1:] - 1) + 1
+    fresh[1:] |= g[1:] != g[:-1]
+    starts = np.flatnonzero(fresh)
+    stops = np.append(starts[1:], len(order)) - 1
+    return order[starts], a[starts], (reach - g)[stops[: len(starts)]]
 
 
 def between(cut: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
@@ -252,17 +281,36 @@ SPAN, STRETCH = ([(c, pa.int32()) for c in names] for names in (("lo", "hi"), ("
 MATCHES = "id long, th long, cut array<struct<lo:int,hi:int>>, kept array<struct<at:int,n:int,cut:int>>, matches array<struct<lo:int,hi:int,id:long,word:int>>"
 
 
+def _lists(owner: np.ndarray, n: int, fields: dict[str, np.ndarray], kinds: list) -> pa.Array:
+    """A list of structs for each of ``n`` owners, whose rows are in order."""
+    bounds = np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays([pa.array(fields[c], t) if isinstance(fields[c], np.ndarray) else fields[c] for c, t in kinds], names=[c for c, _ in kinds]))
+
+
 def _matches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        cut, kept, found = [], [], []
-        for spans in batch.column("spans").to_pylist():
-            matches = extended([(s["lo"], s["hi"], (s["first"]["none"], s["first"]["id"] or 0, s["first"]["th"]), s["first"]["at"] - s["at"] + s["lo"]) for s in spans])
-            runs = covered(matches)
-            cut.append([{"lo": a, "hi": b} for a, b in runs])
-            kept.append([{"at": a, "n": n, "cut": c} for a, n, c in between(runs)])
-            found.append([{"lo": a, "hi": b, "id": None if none else i, "word": word} for a, b, (none, i, _), word in matches])
-        kinds = (pa.list_(pa.struct(fields)) for fields in (SPAN, STRETCH, [*SPAN, ("id", pa.int64()), ("word", pa.int32())]))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), *(pa.array(x, t) for x, t in zip((cut, kept, found), kinds, strict=True))], names=["id", "th", "cut", "kept", "matches"])
+        n, spans = batch.num_rows, batch.column("spans")
+        owner = np.repeat(np.arange(n), np.diff(spans.offsets.to_numpy()))
+        start, stop = spans.offsets[0].as_py(), spans.offsets[-1].as_py()
+        every = spans.values.slice(start, stop - start)
+        first = every.field("first")
+        lo, hi, at, there, th = (x.to_numpy().astype(np.int64) for x in (every.field("lo"), every.field("hi"), every.field("at"), first.field("at"), first.field("th")))
+        # spans equally far from the same text's words become one match
+        _, place = np.unique(np.column_stack((owner, th, there - at)), axis=0, return_inverse=True)
+        rows, a, b = merged(place.ravel(), lo, hi)
+        order = np.lexsort((b, a, owner[rows]))
+        rows, a, b = rows[order], a[order], b[order]
+        ids = first.field("id").take(pa.array(rows))
+        matches = _lists(owner[rows], n, {"lo": a, "hi": b, "id": ids, "word": there[rows] - at[rows] + a}, [*SPAN, ("id", pa.int64()), ("word", pa.int32())])
+        rows, a, b = merged(owner, lo, hi)
+        cut = _lists(owner[rows], n, {"lo": a, "hi": b}, SPAN)
+        bounds = np.searchsorted(owner[rows], np.arange(n + 1)).tolist()
+        # a whole copy keeps nothing
+        copy = np.zeros(n, bool)
+        copy[owner[(th == batch.column("th").to_numpy()[owner]) & (lo == 0)]] = True
+        runs = list(zip(a.tolist(), b.tolist(), strict=True))
+        kept = [[] if copy[k] else [dict(zip(("at", "n", "cut"), x, strict=True)) for x in between(runs[bounds[k] : bounds[k + 1]])] for k in range(n)]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), cut, pa.array(kept, pa.list_(pa.struct(STRETCH))), matches], names=["id", "th", "cut", "kept", "matches"])
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM) -> DataFrame:
@@ -323,7 +371,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     # the cuts grow with the documents, so they are never broadcast: the plan is the same at every size
     joined = docs.withColumn(f"{p}hash", text_hash(text_col)).join(runs.hint("merge"), same, "left")
     cut, old = F.col(f"{p}cut"), F.col(text_col).cast("string")
-    joined = joined.withColumn(f"{p}tokens", F.when(cut.isNotNull(), F.regexp_extract_all(old, F.lit(TOKEN), F.lit(0))))
+    joined = joined.withColumn(f"{p}tokens", F.when(F.size(f"{p}kept") > 0, F.regexp_extract_all(old, F.lit(TOKEN), F.lit(0))))
     tokens = F.col(f"{p}tokens")
 
     def stretch(s):
@@ -334,7 +382,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
         return F.concat(space, F.regexp_extract(token, WORD, 0), F.array_join(rest, ""))
 
     pieces = F.transform(F.filter(f"{p}kept", lambda s: (s["n"] > 0) & (s["at"] <= F.size(tokens))), stretch)
-    joined = joined.withColumn(f"{p}text", F.when(cut.isNull(), F.col(text_col)).otherwise(F.array_join(pieces, "")))
+    joined = joined.withColumn(f"{p}text", F.when(cut.isNull(), F.col(text_col)).when(F.size(f"{p}kept") == 0, F.lit("")).otherwise(F.array_join(pieces, "")))
     text = F.col(f"{p}text")
     if details:
         removed = F.coalesce(F.aggregate(cut, F.lit(0), lambda n, s: n + s["hi"] - s["lo"] + 1), F.lit(0))

@@ -200,6 +200,12 @@ def test_passages_odd(odd, odd_rows, empty, clashing, unharmed, same_rows):
 def test_winnowing_by_brute_force():
     """Grams are hashed alike wherever they stand; each window's last least hash is selected."""
     rng = np.random.default_rng(9)
+    texts = ["", "one two", "  \n", "one", "x" * 3_000_000, " two  one\ttwo\x0b", "é one", *(" ".join(f"{k}" for k in range(n)) for n in (1, 200_000))]
+    data = [x.encode() for x in texts]
+    hashes, sizes = line_dedup.word_hashes(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    words = [w for x in data for w in x.split()]
+    assert sizes.tolist() == [len(x.split()) for x in data] and len(set(zip(words, hashes.tolist(), strict=True))) == len(set(words))
+    assert len(set(hashes.tolist())) > 0.9999 * len(set(words))
     for n in (0, 5, 29, 30, 49, 50, 51, 300):
         words = rng.integers(0, 3, n).astype(np.uint32)
         grams = line_dedup.gram_hashes(words, 30)
@@ -215,6 +221,23 @@ def test_winnowing_by_brute_force():
         assert line_dedup.selected(hashes, 21).tolist() == want
 
 
+def test_merged_spans():
+    rng = np.random.default_rng(13)
+    group, lo = rng.integers(0, 20, 300), rng.integers(0, 400, 300)
+    hi = lo + rng.integers(0, 12, 300)
+    rows, a, b = line_dedup.merged(group, lo, hi)
+    got = sorted(zip(group[rows].tolist(), a.tolist(), b.tolist(), strict=True))
+    want = []
+    for g in range(20):
+        inside = sorted({i for x, y in zip(lo[group == g], hi[group == g], strict=True) for i in range(x, y + 1)})
+        for i in inside:
+            if want and want[-1][0] == g and want[-1][2] == i - 1:
+                want[-1][2] = i
+            else:
+                want.append([g, i, i])
+    assert got == [tuple(x) for x in want]
+
+
 def test_matches_extend(spark):
     """A match has its whole length and the place it repeats."""
     p = [f"y{j}" for j in range(300)]
