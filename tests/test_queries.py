@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__
-from quern.plans import dialect_queries, operator_queries
+from quern.plans import dialect_queries, operator_queries, procedure_queries
 from quern.plans.oracle_check import difference
 from quern.session import engine_for
 
@@ -19,6 +19,11 @@ def test_operator(spark, small, name):
     assert difference(spark, small, operator_queries.QUERIES[name], operator_queries.DUCKDB[name]) is None
 
 
+@pytest.mark.parametrize("name", procedure_queries.QUERIES)
+def test_procedure(spark, small, name):
+    assert difference(spark, small, procedure_queries.QUERIES[name], procedure_queries.DUCKDB[name]) is None
+
+
 def test_entry(spark):
     df = __spark_entry__.entry(spark)
     assert df.count() > 0
