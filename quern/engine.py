@@ -18,6 +18,7 @@ from .sql import ast as A
 from .sql.formats import quote
 from .sql.lowering import Columns, Lowering, name
 from .sql.parser import parse
+from .storage import materialize
 from .types import kind, spark_type
 
 _numbers = itertools.count()
@@ -201,6 +202,11 @@ class Engine:
     def numbered_view(self, text: str) -> str:
         return self._view(with_rownum(self.spark.sql(text), "_rownum"))
 
+    def written_view(self, text: str) -> str:
+        """The rows of a query with one column, written, so that every use sees the same."""
+        df = self.spark.sql(text).toDF("v")
+        return self._view(df if df.dtypes[0][1] == "void" else materialize(df, "subquery"))
+
     def reserve(self, parts: tuple[str, ...], text: str) -> Numbers:
         """As many numbers of a sequence as a written table has rows."""
         return self.catalog.sequence(parts).reserve(self.spark.sql(text).count())

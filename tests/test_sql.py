@@ -193,6 +193,33 @@ def test_pushdown(engine):
     assert "GreaterThan(l_quantity" in plan and "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in plan
 
 
+@pytest.mark.parametrize("condition", ["o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)", "NOT (o_orderkey IN (SELECT l_orderkey FROM lineitem) OR o_custkey = 1)", "o_orderkey <> ALL (SELECT l_orderkey FROM lineitem)"])
+def test_not_in_broadcasts_nothing(spark, engine, condition):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = engine.sql(f"SELECT o_orderkey FROM orders WHERE {condition}")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize(
+    ("values", "true", "unknown"),
+    [([1, 4, 7], [2, 5], [3]), ([1, None], [], [2, 3, 4, 5]), ([None], [], [1, 2, 3, 4, 5]), ([], [1, 2, 3, 4, 5], [])],
+)
+@pytest.mark.parametrize("form", ["x NOT IN (SELECT v FROM s)", "NOT x IN (SELECT v FROM s)", "x <> ALL (SELECT v FROM s)", "NOT (x = ANY (SELECT v FROM s))", "x NOT IN (SELECT v FROM s ORDER BY v FETCH FIRST 9 ROWS ONLY)"])
+def test_not_in_nulls(spark, values, true, unknown, form):
+    engine = Engine(spark)
+    engine.register("a", spark.createDataFrame([(i, None if i == 3 else i) for i in range(1, 6)], "id int, x int"))
+    engine.register("s", spark.createDataFrame([(v,) for v in values], "v int"))
+    ids = lambda text: sorted(r[0] for r in engine.sql(f"SELECT id FROM a WHERE {text}").collect())
+    assert (ids(form), ids(f"({form}) IS NULL")) == (true, unknown)
+    assert ids(f"NOT ({form})") == sorted({1, 2, 3, 4, 5} - {*true, *unknown})
+    assert engine.sql(f"DELETE FROM a WHERE {form}").first()[0] == len(true)
+    assert sorted(r[0] for r in spark.table("a").collect()) == sorted({1, 2, 3, 4, 5} - {*true})
+
+
 def test_parse_keeps_precedence():
     a = parse("SELECT 1 FROM t WHERE NOT a = 1 AND b = 2 OR c = 3").body.where
     assert a.op == "OR" and a.left.op == "AND" and a.left.left.op == "NOT"
