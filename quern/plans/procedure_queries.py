@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..engine import Engine
 from ..proc import Runtime
 from ..session import engine_for
-from ..sources.readers import Jdbc
-from ..storage import shared_path
+from ..sources.readers import Derby
+from ..storage import local_file, shared_path
 from .migration import ColumnSpec, Migration, Schema
 from .operator_queries import Query, registrar, table
 
@@ -277,13 +277,13 @@ def sequence_cycles(spark: SparkSession, folder: str) -> DataFrame:
 @against("SELECT c_custkey, c_name, c_acctbal FROM customer")
 def jdbc_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Written to and read from a database by JDBC, in ranges of the key; the database is the one among Spark's jars."""
-    path = shared_path(spark, "jdbc").removeprefix("file://").removeprefix("file:")
-    spark._jvm.System.setProperty("derby.stream.error.file", f"{path}.log")
-    base = Jdbc(f"jdbc:derby:{path};create=true", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
-    customer = table(spark, folder, "customer").select("c_custkey", "c_name", "c_acctbal")
-    base.write(customer.coalesce(4), "customer_sink", mode="overwrite")
-    most = base.read(spark, '(SELECT MAX("c_custkey") AS m FROM customer_sink) t').first()[0]
-    return base.read(spark, "customer_sink", "c_custkey", (0, int(most) + 1), 4)
+    path, packed, log = (local_file(shared_path(spark, name)) for name in ("jdbc", "jdbc-packed", "jdbc-log"))
+    spark._jvm.System.setProperty("derby.stream.error.file", log)
+    base = Derby(path)
+    base.write(table(spark, folder, "customer").select("c_custkey", "c_name", "c_acctbal"), "customer_sink", mode="overwrite")
+    read = base.readable(spark, packed)
+    most = read.read(spark, '(SELECT MAX("c_custkey") AS m FROM customer_sink) t').first()[0]
+    return read.read(spark, "customer_sink", "c_custkey", (0, max(int(most or 0), 0) + 1), 4)
 
 
 def _schema(spark: SparkSession, folder: str) -> Schema:

@@ -43,6 +43,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def local_file(path: str) -> str:
+    """A path in the shared folder for programs that know local files only."""
+    kind, colon, rest = path.partition(":")
+    if colon and kind != "file":
+        raise RuntimeError(f"{path} is not a local file: spark.checkpoint.dir must name a folder of local files for this")
+    return "/" + (rest if colon else path).lstrip("/")
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to and read from the shared folder."""
     path = shared_path(df.sparkSession, name)

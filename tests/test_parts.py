@@ -1,7 +1,12 @@
 """Types, catalog, functions, transfer, integrity, data changes, streams."""
 
 import datetime
+import os
+import subprocess
+import sys
+from pathlib import Path
 
+import pyspark
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -164,6 +169,44 @@ def test_jdbc(spark, tmp_path):
     assert [tuple(r) for r in readers.read_dictionary(spark, base, "views", ["o'hare"]).collect()] == [("O'HARE", "W", "SELECT 2")]
 
 
+def test_derby(spark, tmp_path):
+    """A database of one process: what the driver has written, whole and in batches, as others may read it."""
+    spark._jvm.System.setProperty("derby.stream.error.file", str(tmp_path / "derby.log"))
+    base = readers.Derby(f"{tmp_path}/db")
+    df = spark.createDataFrame([(i, f"n'{i}" if i % 5 else "", None if i % 7 == 0 else i / 3) for i in range(100)], "id int, label string, amount double")
+    base.write(df.repartition(3), "things", mode="overwrite", batch=8)
+    base.write(df.limit(0), "things")
+    base.write(df.limit(3).select("amount", "id", "label"), "things")
+    read = base.readable(spark, f"{tmp_path}/packed")
+    assert sorted(map(str, read.read(spark, "things", "id", (0, 100), 4).collect())) == sorted(map(str, df.collect() + df.limit(3).collect()))
+    base.write(df.filter("id < 5"), "things", mode="overwrite")
+    assert read.read(spark, "things").count() == 103
+    assert base.readable(spark, f"{tmp_path}/packed-again").read(spark, "things").count() == 5
+
+
+def test_derby_in_a_cluster(tmp_path):
+    """The round trip where the executors are processes of their own."""
+    home = tmp_path / "home"
+    (home / "work").mkdir(parents=True)
+    for p in Path(pyspark.__file__).parent.iterdir():  # a home whose folder of work may be written
+        if p.name != "work":
+            (home / p.name).symlink_to(p)
+    program = f"""
+from pyspark.sql import SparkSession
+import __spark_entry__
+spark = SparkSession.builder.config(map={{"spark.master": "local-cluster[2,1,1024]", "spark.executor.memory": "512m", "spark.ui.enabled": "false", "spark.checkpoint.dir": "file://{tmp_path}/shared", "spark.sql.warehouse.dir": "{tmp_path}/warehouse"}}).getOrCreate()
+got = __spark_entry__.queries()["jdbc_round_trip"](spark, "/root/testdata/sf0.001").collect()
+want = spark.read.parquet("/root/testdata/sf0.001/customer.parquet").select("c_custkey", "c_name", "c_acctbal").collect()
+assert sorted(got) == sorted(want) and want
+print("alike")
+spark.stop()
+"""
+    root = str(Path(__file__).parent.parent)
+    env = {k: v for k, v in os.environ.items() if not k.startswith(("SPARK", "PYSPARK"))} | {"PYTHONPATH": root, "SPARK_HOME": str(home), "SPARK_SCALA_VERSION": "2.13", "SPARK_LOCAL_IP": "127.0.0.1"}
+    ran = subprocess.run([sys.executable, "-c", program], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert "alike" in ran.stdout, ran.stderr[-3000:]
+
+
 def test_integrity(spark):
     df = spark.createDataFrame([(1, 1), (1, 1), (2, None), (None, 3)], "a int, b int")
     assert {tuple(r) for r in integrity.key_violations(df, ["a"]).collect()} == {(1, 2), (None, 1)}
